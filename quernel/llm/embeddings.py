@@ -49,21 +49,15 @@ def rotations(dim: int, n: int) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(n)], axis=1)
 
 
-def unit_rows(values: list) -> list[np.ndarray | None]:
-    """Vectors of length 1 in double precision; None where null, empty, zero, or with a null or non-finite component."""
-    out = []
-    for v in values:
-        a = None if v is None or any(x is None for x in v) else np.array(v, float)
-        if a is None or not len(a) or not np.isfinite(a).all():
-            out.append(None)
-            continue
-        top = np.abs(a).max()
-        out.append(None if top == 0 else (b := a / top) / np.linalg.norm(b))
-    return out
-
-
-def _place(bits: int, tables: int):
-    """Batches of (label, node, vector) to one row a table: key, vector as doubles."""
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Finite non-zero rows at length 1 in double precision, also where squares would overflow or vanish."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _place(bits: int, tables: int, kind: str):
+    """Batches of (label, node, vector) to one row a table: key, and the vector's bytes as numpy type ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
@@ -71,17 +65,17 @@ def _place(bits: int, tables: int):
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
                 label, node = part.column(0).to_numpy(), part.column(1).to_numpy()
-                vectors = unit_rows(part.column(2).to_pylist())
+                vectors = part.column(2).to_pylist()
                 for dim in {len(v) for v in vectors}:
                     at = np.array([i for i, v in enumerate(vectors) if len(v) == dim])
-                    x = np.stack([vectors[i] for i in at])
+                    x = np.array([vectors[i] for i in at])
                     if dim not in turned:
                         turned[dim] = rotations(dim, ROTATIONS + -(-bits * tables // dim))[:, ROTATIONS * dim :][:, : bits * tables]
-                    sign = (x @ turned[dim] > 0).reshape(len(x), tables, bits)
+                    sign = (unit_rows(x) @ turned[dim] > 0).reshape(len(x), tables, bits)
                     keys = sign @ (1 << np.arange(bits))
-                    body = pa.array([r.tobytes() for r in x], pa.binary())
+                    body = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                     for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([pa.array(label[at]), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t].astype(np.int32)), pa.array(node[at]), body], names=["label", "tab", "bucket", "node", "unit"])
+                        yield pa.RecordBatch.from_arrays([pa.array(label[at]), pa.array(np.full(len(at), t, np.int32)), pa.array(keys[:, t].astype(np.int32)), pa.array(node[at]), body], names=["label", "tab", "bucket", "node", "vector"])
 
     return run
 
@@ -94,7 +88,7 @@ def candidates(x: np.ndarray, rotation: np.ndarray, rows: slice, cosine: float,
     return estimate + error >= cosine
 
 
-def _judge(cosine: float, keys: list[str], count: bool):
+def _judge(cosine: float, keys: list[str], count: bool, kind: str):
     """Pairs within groups of ``keys``: links of each vector if ``count``, else edges of the partial components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +96,12 @@ def _judge(cosine: float, keys: list[str], count: bool):
         for group in groups(batches, [*keys, "tile_a", "tile_b"]):
             if group.num_rows < 2:
                 continue
-            bodies = group.column("unit").to_pylist()
+            bodies = group.column("vector").to_pylist()
             for size in {len(b) for b in bodies}:  # vectors of different lengths have no cosine
                 at = [i for i, b in enumerate(bodies) if len(b) == size]
                 if len(at) < 2:
                     continue
-                x = np.frombuffer(b"".join(bodies[i] for i in at)).reshape(len(at), -1)
+                x = unit_rows(np.frombuffer(b"".join(bodies[i] for i in at), kind).reshape(len(at), -1))
                 node = group.column("node").to_numpy()[at]
                 block = group.column("block").to_numpy()[at]
                 copies = group.column("copies").to_numpy()[at] if count else None
@@ -148,11 +142,11 @@ def _judge(cosine: float, keys: list[str], count: bool):
     return run
 
 
-def _within(placed: DataFrame, keys: list[str], cosine: float, tile: int, count: bool) -> DataFrame:
+def _within(placed: DataFrame, keys: list[str], cosine: float, tile: int, count: bool, kind: str) -> DataFrame:
     cut = tiles(placed, keys, F.col("node"), tile)
     keys = [*keys, "tile_a", "tile_b"]
     met = cut.repartition(*keys).sortWithinPartitions(*keys)
-    return met.mapInArrow(_judge(cosine, keys[:-2], count), "node long, links long" if count else "a long, b long")
+    return met.mapInArrow(_judge(cosine, keys[:-2], count, kind), "node long, links long" if count else "a long, b long")
 
 
 def valid(vector: str = "embedding"):
@@ -179,11 +173,13 @@ def near_vectors(df: DataFrame, vector: str = "embedding", cosine: float = COSIN
     largest = nodes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     bits, tables = plan(largest, cosine, missed)
     coded = nodes.select(F.xxhash64("label").alias("label"), "node", "v")
-    schema = "label long, tab int, bucket int, node long, unit binary"
-    placed = materialize(coded.mapInArrow(_place(bits, tables), schema), "tables")
-    joined = materialize(connected_components(_within(placed, ["label", "tab", "bucket"], cosine, tile, False)), "components")
-    members = placed.where("tab = 0").select("node", "unit").join(joined, "node").join(nodes.select("node", "copies"), "node")
-    counts = _within(materialize(members, "members"), ["root"], cosine, tile, True).groupBy("node").agg(F.sum("links").alias("links"))
+    kind = "<f4" if df.schema[vector].dataType.elementType == T.FloatType() else "<f8"
+    schema = "label long, tab int, bucket int, node long, vector binary"
+    placed = coded.mapInArrow(_place(bits, tables, kind), schema)
+    joined = materialize(connected_components(_within(placed, ["label", "tab", "bucket"], cosine, tile, False, kind)), "components")
+    members = coded.join(joined.select("node"), "node", "left_semi").select("label", "node", "v").mapInArrow(_place(1, 1, kind), schema).select("node", "vector")
+    members = members.join(joined, "node").join(nodes.select("node", "copies"), "node")
+    counts = _within(materialize(members, "members"), ["root"], cosine, tile, True, kind).groupBy("node").agg(F.sum("links").alias("links"))
     facts = nodes.join(counts, "node", "left").join(joined, "node", "left")
     # sent back by a hash of label and vector; the vector itself settles collisions
     facts = materialize(facts.select("hash", F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")), "facts")
