@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.common import append_columns
+from quernel.plans.storage import materialize
 
 KINDS = ("assign", "access", "hex", "crf")
 LEAST = 8
@@ -240,13 +241,19 @@ def tagged_spans(text: str, model: Model) -> list[tuple[str, int, int]]:
 
 
 def training_texts(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """About ``sample`` texts: by the hash of doc_id, half of those with what looks like a base span, half of the rest."""
-    likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", likely.alias("likely"))
-    counts = {r["likely"]: r["count"] for r in rows.groupBy("likely").count().collect()}
+    """About ``sample`` texts: by the hash of doc_id, half of those with a base span, half of the rest.
+
+    One pass marks every document by the base patterns; the table of marks says how many to take of either kind.
+    """
+    fields = [T.StructField("likely", T.BooleanType())]
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    marked = append_columns(rows, lambda: lambda texts: ([bool(base_spans(t)) for t in texts],), fields, keep_source=False)
+    marked = materialize(marked, "marks")
+    counts = {r["likely"]: r["count"] for r in marked.groupBy("likely").count().collect()}
     unit = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
     rate = F.when(F.col("likely"), min(1.0, sample / 2 / max(1, counts.get(True, 0)))).otherwise(min(1.0, sample / 2 / max(1, counts.get(False, 0))))
-    return sorted(r["text"] for r in rows.where(unit < rate).collect())
+    chosen = F.broadcast(marked.where(unit < rate).select("doc_id").distinct())  # about ``sample`` ids
+    return sorted(r["text"] for r in rows.join(chosen, "doc_id", "left_semi").collect())
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
