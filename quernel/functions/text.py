@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,20 +26,25 @@ def chars(c: Column) -> Column:
     return F.filter(F.split(c, "", -1), lambda x: x != "")
 
 
-def repetition(items: Column, n: int = 4) -> Column:
-    """Share of the windows of n items that occurred before; 0 for fewer than n items, null for null."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once a row; inside lambdas an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(items: Column, n: int, window: Callable[[Column, Column], Column]) -> Column:
     count = F.size(items) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(items, i, F.lit(n)))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: window(items, i))
     return F.when(items.isNull(), None).when(count < 1, F.lit(0.0)).otherwise((count - F.size(F.array_distinct(grams))) / count)
 
 
+def repetition(items: Column, n: int = 4) -> Column:
+    """Share of the windows of n items that occurred before; 0 for fewer than n items, null for null."""
+    return let(items, lambda x: _repeated(x, n, lambda y, i: F.slice(y, i, F.lit(n))))
+
+
 def char_repetition(c: Column, n: int = 4) -> Column:
     """``repetition`` of the code points besides white space; windows are compared as strings."""
-    text = squeeze(c)
-    count = F.length(text) - (n - 1)
-    letters = chars(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""))
-    return F.when(text.isNull(), None).when(count < 1, F.lit(0.0)).otherwise((count - F.size(F.array_distinct(grams))) / count)
+    return let(chars(squeeze(c)), lambda x: _repeated(x, n, lambda y, i: F.array_join(F.slice(y, i, F.lit(n)), "")))
 
 
 def has_loop(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.attributes import coverage
-from quernel.functions.text import chars, char_repetition, has_loop, occurrences, squeeze
+from quernel.functions.text import char_repetition, chars, has_loop, let, occurrences, squeeze
 
 # Names of the features of a candidate, and the words that mark a malformed one.
 FEATURES = ("bias", "attr_coverage", "length_quality", "char_repeat", "token_repeat", "eos_complete", "malformed")
@@ -15,7 +15,7 @@ MALFORMED = "�|嘿嘿|sos|mrang|不锈钢|遗传|危机|透视效果|防晒外
 
 
 def _repeat(items: Column) -> Column:
-    return 1 - F.size(F.array_distinct(items)) / F.greatest(F.size(items), F.lit(1))
+    return let(items, lambda x: 1 - F.size(F.array_distinct(x)) / F.greatest(F.size(x), F.lit(1)))
 
 
 def features(text: Column, wanted: Column) -> Column:
@@ -115,17 +115,18 @@ def ppo_surrogate(ratio: Column, advantage: Column, clip: float = 0.2) -> Column
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / _sum(e))
+    shifted = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(shifted, lambda e: let(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def top_experts(logits: Column, k: int) -> Column:
     """array<struct<prob, expert, weight>> of the k likeliest experts, weights scaled to sum to 1; ties by expert."""
     indexed = F.transform(softmax(logits), lambda p, i: F.struct((-p).alias("neg"), i.alias("expert")))
-    best = F.slice(F.array_sort(indexed), 1, k)
-    total = _sum(F.transform(best, lambda b: -b["neg"])) + 1e-20
-    return F.transform(best, lambda b: F.struct((-b["neg"]).alias("prob"), b["expert"].cast("long").alias("expert"), (-b["neg"] / total).alias("weight")))
+
+    def scaled(best: Column, total: Column) -> Column:
+        return F.transform(best, lambda b: F.struct((-b["neg"]).alias("prob"), b["expert"].cast("long").alias("expert"), (-b["neg"] / total).alias("weight")))
+
+    return let(F.slice(F.array_sort(indexed), 1, k), lambda best: let(_sum(F.transform(best, lambda b: -b["neg"])) + 1e-20, lambda total: scaled(best, total)))
 
 
 def cosine_rate(step: Column, total: int, rate: float) -> Column:
