@@ -97,8 +97,8 @@ class Rules:
         by_first: dict[str, list[tuple[str, list[str]]]] = {}
         for name, sequence in sorted(rules, key=lambda r: -len(r[1])):
             by_first.setdefault(sequence[0], []).append((name, sequence))
-        # rare words that cover the table: texts without any of them have no known sentence
-        left, cover = {i: set(re.findall(r"[a-z0-9]{4,}", i)) for i in ids}, []
+        # long words that cover the table: texts without any of them have no known sentence
+        left, cover = {i: set(re.findall(r"[a-z0-9]{7,}", i)) or set(i.split()) for i in ids}, []
         while left:
             best = max(sorted({w for ws in left.values() for w in ws}), key=lambda w: (sum(w in ws for ws in left.values()), len(w)))
             cover.append(best)
