@@ -98,6 +98,42 @@ def normalise(text: str) -> str:
     return text.lower()
 
 
+class Pretokenizer:
+    """Texts to pre-tokens as UTF-8.
+
+    Patterns do it wherever this Python's Unicode tables know all characters. Texts with characters newer than those
+    are cut by the vocabulary file's own normaliser and splitter, whose tables may be newer.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.library = path, None
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.known: set[str] = set()
+
+    def newer(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            rest = set(text) - self.known
+            odd = {c for c in rest if unicodedata.category(c) == "Cn"}
+            self.known |= rest - odd
+            return bool(odd)
+
+    def __call__(self, text: str) -> list[str]:
+        if not self.newer(text):
+            return self.words.findall(normalise(text))
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.bytes = {letter: b for b, letter in _byte_letters().items()}
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(self.bytes[c] for c in piece).decode("utf-8") for piece, _ in pieces]
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMIT, keep_text: bool = True) -> DataFrame:
     """Append n_bytes, n_tokens and over_limit (n_tokens > ``limit``) to every row.
 
@@ -110,7 +146,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMI
     def start():
         merger = PairMerger(path)
         special = regex.compile("|".join(map(regex.escape, merger.specials))) if merger.specials else None
-        words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        words = Pretokenizer(path)
         known: dict[str, int] = {}
 
         def work(texts):
@@ -120,11 +156,11 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMI
                 n_bytes.append(len(t.encode("utf-8", "surrogatepass")))
                 extra.append(0)
                 if special is None or "<|" not in t:
-                    found.append(words.findall(normalise(t)))
+                    found.append(words(t))
                 else:
                     parts = special.split(t)
                     extra[-1] = len(parts) - 1
-                    found.append([w for p in parts for w in words.findall(normalise(p))])
+                    found.append([w for p in parts for w in words(p)])
             new = list(set(chain.from_iterable(found)).difference(known))
             if len(known) + len(new) > KNOWN_WORDS:
                 known.clear()
