@@ -69,7 +69,7 @@ def test_tokens_agree_with_the_library(spark, sf_dir, odd):
     library = Tokenizer.from_file(tokens.vocabulary())
     rng = random.Random(4)
     alphabet = "aaabcdeéß ΣσςİI'strelvdm<|endoftext|>日本́ \n\x1c\x85 12_"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["aaaaaaaaaaa<|startoftext|><|endoftext|>'s"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["aaaaaaaaaaa<|startoftext|><|endoftext|>'s", "aꟋb\ua7dc1 \U00016ea0<|endoftext|>Ა\u0558x \u2603“q”"]
     df = documents(spark, [(i, t, "x", "y", 1) for i, t in enumerate(texts)] + [(i + 1000, t, "x", "y", 1) for i, (_, t, *_) in enumerate(odd_rows())])
     df = df.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 10_000).select(*df.columns))
     for r in tokens.count_tokens(df, tokens.vocabulary()).collect():
