@@ -137,3 +137,13 @@ def first_eos(ids: Column, eos: int) -> Column:
     """1-based place of the first end token, else the full length."""
     at = F.array_position(ids, eos)
     return F.when(at > 0, at).otherwise(F.size(ids)).cast("long")
+
+
+def upto_eos(ids: Column, eos: int) -> Column:
+    """1 for every place up to and with the first end token, 0 after it."""
+    return let(first_eos(ids, eos), lambda n: F.transform(ids, lambda x, i: (i < n).cast("int")))
+
+
+def last_kept(values: Column, mask: Column) -> Column:
+    """The value at the last place that ``mask`` (ones, then zeros) keeps; null without one."""
+    return F.get(values, F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int")) - 1)
