@@ -66,6 +66,39 @@ def tiles(df: DataFrame, keys: list[str], item: Column, most: int) -> DataFrame:
     return cut.withColumns({"tile_a": F.least("block", "other"), "tile_b": F.greatest("block", "other")}).drop("blocks", "other")
 
 
+def connecting_edges(df: DataFrame, keys: list[str], node: str, most: int, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect what is linked within groups of ``keys``, of whatever size.
+
+    ``judge`` takes rows with ``tile_a``, ``tile_b`` and ``block`` and returns the edges found within each tile: between
+    rows of different blocks, or between all rows if there is one block. Groups of up to ``most`` rows are one tile.
+    Larger ones are cut into blocks of about ``most`` rows. Every block first meets block 0, which costs as much as the
+    group has rows. Mostly one component then holds nearly all of the group, and pairs within it need no look: only the
+    rows left out of it still meet all the others, in tiles.
+    """
+    one = {"tile_a": F.lit(0), "tile_b": F.lit(0), "block": F.lit(0)}
+    hot = materialize(df.groupBy(*keys).count().where(F.col("count") > most), "hot")
+    if hot.isEmpty():
+        return judge(df.withColumns(one))
+    blocks = hot.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("_blocks"))
+    cut = df.join(blocks, keys, "left").withColumn("_own", F.pmod(F.xxhash64(node), F.coalesce("_blocks", F.lit(1))).cast("int"))
+    everywhere = F.when(F.col("_own") == 0, F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)).otherwise(F.array("_own"))
+    first = cut.withColumn("tile_b", F.explode(everywhere)).withColumns({"tile_a": F.lit(0), "block": F.lit(0)}).drop("_blocks", "_own")
+    edges = materialize(judge(first), "edges")
+    roots = connected_components(edges)
+    members = cut.where("_blocks is not null").select(*keys, node, "_blocks", "_own").join(roots.withColumnRenamed("node", node), node, "left")
+    members = materialize(members.withColumn("_label", F.coalesce("root", node)), "members")
+    largest = members.groupBy(*keys, "_label").count().groupBy(*keys).agg(F.max_by("_label", F.struct("count", "_label")).alias("_main"))
+    rest = materialize(members.join(largest, keys).where("_label <> _main").select(*keys, node, "_blocks"), "rest")
+    if rest.isEmpty():
+        return edges
+    turns = materialize(rest.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_turns")), "turns")
+    every = cut.join(turns, keys).withColumn("tile_a", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
+    every = every.withColumns({"tile_b": F.col("_own"), "block": F.lit(0)}).drop("_blocks", "_own", "_turns")
+    out = df.join(rest, [*keys, node]).join(turns, keys).withColumn("tile_a", F.pmod(F.xxhash64(node, F.lit(1)), F.col("_turns")).cast("int"))
+    out = out.withColumn("tile_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("block", F.lit(1)).drop("_blocks", "_turns")
+    return edges.unionByName(judge(every.unionByName(out)))
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal ``keys`` from batches sorted by them, across batch borders."""
     held: list[pa.RecordBatch] = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import connected_components, groups, tiles, unite
+from quernel.llm.common import connected_components, connecting_edges, groups, tiles, unite
 from quernel.plans.storage import materialize
 
 COSINE = 0.93
@@ -143,10 +143,12 @@ def _judge(cosine: float, keys: list[str], count: bool, kind: str):
 
 
 def _within(placed: DataFrame, keys: list[str], cosine: float, tile: int, count: bool, kind: str) -> DataFrame:
-    cut = tiles(placed, keys, F.col("node"), tile)
-    keys = [*keys, "tile_a", "tile_b"]
-    met = cut.repartition(*keys).sortWithinPartitions(*keys)
-    return met.mapInArrow(_judge(cosine, keys[:-2], count, kind), "node long, links long" if count else "a long, b long")
+    def judge(rows: DataFrame) -> DataFrame:
+        by = [*keys, "tile_a", "tile_b"]
+        met = rows.repartition(*by).sortWithinPartitions(*by)
+        return met.mapInArrow(_judge(cosine, keys, count, kind), "node long, links long" if count else "a long, b long")
+
+    return judge(tiles(placed, keys, F.col("node"), tile)) if count else connecting_edges(placed, keys, "node", tile, judge)
 
 
 def valid(vector: str = "embedding"):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import append_columns, connected_components, groups, tiles, unite
+from quernel.llm.common import append_columns, connected_components, connecting_edges, groups, unite
 from quernel.plans.storage import materialize
 
 SEED = 42
@@ -109,15 +109,17 @@ def _cell_links(bits: int):
 def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between rows of ``nodes`` (node, fp; fp distinct) that connect exactly what links within ``bits``.
 
-    At most one edge per fingerprint and cell. Cells of over ``tile`` fingerprints are cut into tiles.
+    At most one edge per fingerprint and tile. Cells of over ``tile`` fingerprints are cut into tiles.
     """
     if bits >= GROUPS:
         raise ValueError(f"the grid finds up to {GROUPS - 1} differing bits")
     placed = nodes.withColumn("at", F.explode(cells("fp"))).select("node", "fp", "at.*")
-    placed = tiles(placed, ["cell_group", "cell"], F.col("fp"), tile)
-    keys = ["cell_group", "cell", "tile_a", "tile_b"]
-    spread = placed.repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(_cell_links(bits), "a long, b long")
+
+    def judge(rows: DataFrame) -> DataFrame:
+        keys = ["cell_group", "cell", "tile_a", "tile_b"]
+        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cell_links(bits), "a long, b long")
+
+    return connecting_edges(placed, ["cell_group", "cell"], "node", tile, judge)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", bits: int = BITS, words: int = WORDS) -> DataFrame:
