@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is logistic in the summed scores of its words; the
-document's is the noisy-or of its sentences, 1 - prod(1 - p). Only documents are labelled: the gradient of the
+document's is the noisy-or of its sentences, 1 - prod(1 - p). A word counts once a sentence. Only documents are labelled: the gradient of the
 noisy-or's likelihood shares a toxic document's blame among its sentences, and the fitted sentence scores then locate
 the offending ones. A word's score is the sum of the weights of its prefixes and itself, hashed. Weights are never
 negative: harmless words around an offence don't make up for it, in sentences of any length.
@@ -24,11 +24,12 @@ from quernel.llm.common import append_columns, class_sample, remainder
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 PER_CLASS = 2500  # labelled documents of each class that a fit looks at
-MOST_BIAS = -6.5  # of a sentence without telling words: hundreds of them leave a document below the threshold
+BIAS = -4.0  # log-odds of a sentence without telling words; given, not learnt, as weights can only add to it
+EVIDENCE = 2.0  # of a sentence's words below which it does not count in a score, however many such sentences there are
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 EPOCHS = 80
-SPARSENESS = 3e-5  # slope of the penalty on the sum of weights
+SPARSENESS = 1e-5  # slope of the penalty on the sum of weights
 LEAST_DOCUMENTS = 4  # features of fewer training documents have no weight
 KNOWN_WORDS = 400_000
 WORD = r"[^\W\d_]+"
@@ -61,7 +62,7 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     words, sentence_of, doc_of = [], [], []
     for d, (text, _) in enumerate(documents):
         for part in sentence_re.findall((text or "").lower()):
-            found = word_re.findall(part)
+            found = sorted(set(word_re.findall(part)))
             if found:
                 words += [index.setdefault(w, len(index)) for w in found]
                 sentence_of += [len(doc_of)] * len(found)
@@ -81,8 +82,8 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     feature_word = feature_word[stay]
     n_sentences, n_docs = len(doc_of), len(labels)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n_docs - labels.sum()))
-    theta, bias = np.zeros(len(kept)), MOST_BIAS
-    moments = [np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)]
+    theta, bias = np.zeros(len(kept)), BIAS
+    moments = [np.zeros(len(kept)), np.zeros(len(kept))]
     for epoch in range(1, epochs + 1):
         score = np.bincount(feature_word, theta[feature], minlength=len(index))
         z = np.clip(bias + np.bincount(sentence_of, score[words], minlength=n_sentences), -30, 30)
@@ -91,11 +92,11 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
         blame = np.where(labels == 1, -share * clean / np.maximum(1 - clean, 1e-9), share)
         by_sentence = blame[doc_of] * p
         by_word = np.bincount(words, by_sentence[sentence_of], minlength=len(index))
-        slope = np.append(np.bincount(feature, by_word[feature_word], minlength=len(kept)) + SPARSENESS, by_sentence.sum())
+        slope = np.bincount(feature, by_word[feature_word], minlength=len(kept)) + SPARSENESS
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.99 * moments[1] + 0.01 * slope**2
         step = 0.15 * (moments[0] / (1 - 0.9**epoch)) / (np.sqrt(moments[1] / (1 - 0.99**epoch)) + 1e-5)
-        theta, bias = np.maximum(theta - step[:-1], 0), min(bias - step[-1], MOST_BIAS)
+        theta = np.maximum(theta - step, 0)
     heavy = np.abs(theta) > 1e-3
     return Model(float(bias), dict(zip(kept[heavy].tolist(), theta[heavy].tolist())))
 
@@ -144,13 +145,12 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", threshold:
                 for w in set(word_re.findall(low)).difference(known):
                     word_score(w)
                 for m in sentence_re.finditer(low):
-                    ws = word_re.findall(m[0])
-                    if ws:
-                        z = min(30.0, bias + sum(map(known.__getitem__, ws)))
-                        if z > -25.0:
-                            clean -= math.log1p(math.exp(z))
-                            if z >= 0:
-                                bad.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + math.exp(-z))})
+                    evidence = sum(map(known.__getitem__, set(word_re.findall(m[0]))))
+                    if evidence >= EVIDENCE:
+                        z = min(30.0, bias + evidence)
+                        clean -= math.log1p(math.exp(z))
+                        if z >= 0:
+                            bad.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + math.exp(-z))})
                 scores.append(-math.expm1(clean) if clean else 0.0)
                 predicted.append(int(scores[-1] >= threshold))
                 offending.append(bad)
