@@ -5,10 +5,14 @@ over the root of the product of their numbers. Nystroem landmarks approximate it
 regression is solved in the landmarks' space, and texts are scored in batches: presence matrix times coefficients.
 The kernel is an inner product of presence vectors, so landmarks and coefficients fold into one matrix of n-grams by
 languages; scores are the same as through the landmarks.
+
+Long texts are sums of pieces of PIECE code points, every piece weighing as much as it is long: a passage in another
+language then counts by its length and not by how many new n-grams it brings.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +24,8 @@ from quernel.llm.common import append_columns, class_sample, remainder
 
 BITS = 16
 ORDERS = 3
+PIECE = 1000  # code points
+PIECES = 500  # of each language that a fit looks at, dealt by a hash of the piece
 PER_LANGUAGE = 400  # labelled documents of each language that a fit looks at
 LANDMARKS = 240
 RIDGE = 1e-2
@@ -60,18 +66,22 @@ class Grams:
         out = np.concatenate([blank, out, blank])
         return out[np.r_[True, (out[1:] != 32) | (out[:-1] != 32)]]  # runs of blanks count as one
 
-    def mark(self, text: str | None, row: np.ndarray) -> bool:
-        """Set the buckets present in ``text``; False if it has no letter."""
+    def pieces(self, text: str | None) -> list[np.ndarray]:
+        """Codes of a text in pieces; none without a letter. A short rest belongs to the piece before it."""
         c = self.codes(text) if text else None
         if c is None:
-            return False
+            return []
+        n = max(1, round(len(c) / PIECE))
+        return [c[len(c) * i // n : len(c) * (i + 1) // n] for i in range(n)]
+
+    def mark(self, c: np.ndarray, row: np.ndarray) -> None:
+        """Set the buckets of the n-grams of a piece."""
         h = c * np.uint32(0x9E3779B1)
         row[h >> np.uint32(32 - BITS)] = True
         for n in range(1, ORDERS):
             h = (h[:-1] ^ np.uint32(n)) * np.uint32(0x85EBCA6B) + c[n:] * np.uint32(0xC2B2AE35)
             h = h ^ (h >> np.uint32(15))
             row[(h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)] = True
-        return True
 
 
 @dataclass
@@ -83,12 +93,17 @@ class Model:
 
 
 def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, keep_support: bool = False) -> Model:
-    """Fit on (text, language); texts without a letter are left out. Landmarks are dealt over the languages in turn."""
+    """Fit on pieces of (text, language); texts without a letter are left out. Landmarks are dealt over the languages in turn."""
     grams = Grams()
-    marked, names = [], []
+    found: dict[str, list[tuple[int, bytes]]] = {}
     for text, lang in rows:
-        row = np.zeros(1 << BITS, bool)
-        if grams.mark(text, row):
+        for c in grams.pieces(text):
+            found.setdefault(lang, []).append((zlib.crc32(c.tobytes()), c.tobytes()))
+    marked, names = [], []
+    for lang, parts in sorted(found.items()):
+        for _, c in sorted(parts)[:PIECES]:
+            row = np.zeros(1 << BITS, bool)
+            grams.mark(np.frombuffer(c, np.uint32), row)
             marked.append(np.packbits(row))
             names.append(lang)
     languages = sorted(set(names))
@@ -142,22 +157,32 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = T
         weights, languages = model.weights, np.array([*model.languages, UNKNOWN], object)
 
         def work(texts):
-            names, scores = [], []
-            for i in range(0, len(texts), 64):
-                part = texts[i : i + 64]
-                marks = np.zeros((len(part), 1 << BITS), bool)
-                known = np.array([grams.mark(t, row) for t, row in zip(part, marks)], bool)
-                if not len(languages) - 1:
-                    known[:] = False
-                best, score = np.full(len(part), len(languages) - 1), np.zeros(len(part))
-                if known.any():
-                    x = marks[known]
-                    f = (x.astype(np.float32) @ weights) / np.sqrt(x.sum(1, keepdims=True))
-                    e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)).astype(float))
-                    best[known] = f.argmax(1)
-                    score[known] = (e / e.sum(1, keepdims=True)).max(1)
-                names += languages[best].tolist()
-                scores += score.tolist()
+            owner, length, votes = [], [], np.zeros((len(texts), max(1, len(model.languages))))
+            queue: list[np.ndarray] = []
+
+            def score_queue():
+                marks = np.zeros((len(queue), 1 << BITS), bool)
+                for c, row in zip(queue, marks):
+                    grams.mark(c, row)
+                f = (marks.astype(np.float32) @ weights) / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
+                np.add.at(votes, owner[-len(queue) :], f * np.array(length[-len(queue) :])[:, None])
+                queue.clear()
+
+            for i, t in enumerate(texts):
+                for c in grams.pieces(t) if len(model.languages) else ():
+                    queue.append(c)
+                    owner.append(i)
+                    length.append(len(c))
+                    if len(queue) == 64:
+                        score_queue()
+            if queue:
+                score_queue()
+            total = np.bincount(owner, length, minlength=len(texts)) if owner else np.zeros(len(texts))
+            f = votes / np.maximum(total, 1)[:, None]
+            e = np.exp(SHARPNESS * (f - f.max(1, keepdims=True)))
+            known = total > 0
+            names = languages[np.where(known, f.argmax(1), len(languages) - 1)].tolist()
+            scores = np.where(known, (e / e.sum(1, keepdims=True)).max(1), 0.0).tolist()
             return names, scores
 
         return work
