@@ -340,11 +340,19 @@ def test_languages(spark, sf_dir, odd):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit([])).collect()} == {"und"}
 
 
+def test_a_passage_counts_by_its_length(spark):
+    french = "ou et le la des que pour avec dans sur une est pas " * 8
+    rows = [(prose(i, 60), "en") for i in range(30)] + [(" ".join(french.split()[i:] + french.split()[:i]), "fr") for i in range(30)]
+    model = langid.fit(rows)
+    df = spark.createDataFrame([(1, prose(99, 700) + french * 3), (2, french * 12 + prose(98, 200))], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(df, model).orderBy("doc_id").collect()] == ["en", "fr"]
+
+
 def test_folded_weights_score_as_the_kernel_does():
     rows = [(prose(i, 30), "en") for i in range(20)] + [("ou et le la des " * 5 + str(i), "fr") for i in range(20)]
     model = langid.fit(rows, landmarks=10, keep_support=True)
     row = np.zeros(1 << langid.BITS, bool)
-    langid.Grams().mark("the and le la of", row)
+    langid.Grams().mark(langid.Grams().pieces("the and le la of")[0], row)
     kernel = row.astype(float) @ model.support.T / np.sqrt(row.sum())
     assert kernel @ model.coefficients == pytest.approx(row @ model.weights / np.sqrt(row.sum()), rel=1e-3)
 
