@@ -4,20 +4,23 @@ Fingerprints: every 3-word shingle of a whole text is hashed with XXH64 (seed 42
 of them. Near-duplicates differ in 3 bits or fewer.
 
 Search: a fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two such
-vectors is a lower bound of their Hamming distance, and it is the sum of the distances over four groups of eight
-segments. At a bound of 3, one of the four groups has distance 0: the grid is joined on the cells of each group, within
-a cell the range of total bit counts (again a lower bound) is searched, and pairs in range are verified exactly.
-Only distinct fingerprints take part. A cell yields its partial components, one row per linked fingerprint, never pairs.
+vectors is a lower bound of their Hamming distance, and it is the sum of the distances over groups of segments. At a
+bound of 3, all groups but three have distance 0: the grid is joined on the cells of each choice of all groups but three
+(four groups: each group by itself), within a cell the range of total bit counts (again a lower bound) is searched, and
+pairs in range are verified exactly. More groups make more and finer cells; their number follows from the number of
+fingerprints, and every number of groups finds the same links. Only distinct fingerprints take part. A cell yields its
+partial components, one row per linked fingerprint, never pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +30,9 @@ from quernel.plans.storage import materialize
 SEED = 42
 WORDS = 3
 BITS = 3  # differing bits of linked fingerprints
-GROUPS = 4
+SEGMENTS = 32
+MEETINGS = 1 << 14  # fingerprints that one may be compared with, as expected of random bits, before the grid gets finer
+MOST_GROUPS = 8
 TILE = 4096  # fingerprints of a cell met at once
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -64,16 +69,36 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS, keep_tex
     return append_columns(df, start, [T.StructField("fingerprint", T.LongType())], text, keep_text)
 
 
-def cells(fp: str = "fingerprint"):
-    """The ``GROUPS`` grid cells of a fingerprint: in each 16-bit group, the counts of its eight two-bit segments."""
-    low = F.lit(0x5555)
+def choices(count: int, bits: int = BITS) -> list[list[int]]:
+    """Segments of each choice of all groups but ``bits``, of ``count`` groups over the segments."""
+    if bits >= count:
+        raise ValueError(f"{count} groups find up to {count - 1} differing bits")
+    members = np.array_split(np.arange(SEGMENTS), count)
+    return [np.concatenate(chosen).tolist() for chosen in combinations(members, count - bits)]
 
-    def cell(g: int):
-        part = F.shiftrightunsigned(F.col(fp), 16 * g).bitwiseAND(F.lit(0xFFFF)).cast("int")
-        # per segment the high and the low bit added: 0, 1 or 2 in its two bits
-        return part.bitwiseAND(low) + F.shiftright(part, 1).bitwiseAND(low)
 
-    return F.array(*[F.struct(F.lit(g).alias("cell_group"), cell(g).alias("cell")) for g in range(GROUPS)])
+def plan(fingerprints: int, bits: int = BITS, meetings: float = MEETINGS) -> int:
+    """Groups of the grid: the fewest at which a fingerprint is expected to meet up to ``meetings`` others.
+
+    Two random segments have equal bit counts in 3 of 8 cases.
+    """
+    for count in range(bits + 1, max(bits + 1, MOST_GROUPS) + 1):
+        if fingerprints * sum(0.375 ** len(segments) for segments in choices(count, bits)) <= meetings:
+            break
+    return count
+
+
+def cells(fp: str, count: int, bits: int = BITS) -> Column:
+    """The grid cells of a fingerprint: for each choice of groups, the bit counts of its segments, two bits each."""
+    low = F.lit(0x5555555555555555)
+    even, odd = F.col(fp).bitwiseAND(low), F.shiftrightunsigned(F.col(fp), 1).bitwiseAND(low)
+    counts = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
+
+    def mask(segments: list[int]) -> Column:
+        value = sum(3 << 2 * s for s in segments)
+        return F.lit(value - (1 << 64) if value >= 1 << 63 else value).cast("long")
+
+    return F.array(*[F.struct(F.lit(k).alias("cell_group"), counts.bitwiseAND(mask(s)).alias("cell")) for k, s in enumerate(choices(count, bits))])
 
 
 def _cell_links(bits: int):
@@ -106,14 +131,14 @@ def _cell_links(bits: int):
     return run
 
 
-def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
+def links(nodes: DataFrame, bits: int = BITS, tile: int = TILE, count: int | None = None) -> DataFrame:
     """Edges (a, b) between rows of ``nodes`` (node, fp; fp distinct) that connect exactly what links within ``bits``.
 
-    At most one edge per fingerprint and tile. Cells of over ``tile`` fingerprints are cut into tiles.
+    At most one edge per fingerprint and tile. Cells of over ``tile`` fingerprints are cut into tiles. ``count`` is the
+    number of groups of the grid; without it, that of ``plan``.
     """
-    if bits >= GROUPS:
-        raise ValueError(f"the grid finds up to {GROUPS - 1} differing bits")
-    placed = nodes.withColumn("at", F.explode(cells("fp"))).select("node", "fp", "at.*")
+    count = count or plan(nodes.count(), bits)
+    placed = nodes.withColumn("at", F.explode(cells("fp", count, bits))).select("node", "fp", "at.*")
 
     def judge(rows: DataFrame) -> DataFrame:
         keys = ["cell_group", "cell", "tile_a", "tile_b"]

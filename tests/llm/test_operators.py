@@ -1,9 +1,11 @@
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -384,8 +386,8 @@ def test_fingerprints(odd):
     assert by[1] == by[2] == by[3] == 1 and by[6] == by[7] == 6 and by[None] is None
 
 
-@pytest.mark.parametrize("tile", [4096, 8])
-def test_links_agree_with_brute_force(spark, tile):
+@pytest.mark.parametrize("tile,count", [(4096, None), (8, None), (4096, 5), (8, 6), (4096, 8)])
+def test_links_agree_with_brute_force(spark, tile, count):
     rng = random.Random(9)
     fps = set()
     for _ in range(60):
@@ -409,10 +411,23 @@ def test_links_agree_with_brute_force(spark, tile):
                 p, q = sorted((find(i), find(j)))
                 parent[q] = p
     nodes = spark.createDataFrame([(i, f - (1 << 64) if f >= 1 << 63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    roots = {r["node"]: r["root"] for r in common.connected_components(simhash.links(nodes, tile=tile)).collect()}
+    roots = {r["node"]: r["root"] for r in common.connected_components(simhash.links(nodes, tile=tile, count=count)).collect()}
     assert [roots.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
+def test_grid_gets_finer_with_the_number_of_fingerprints():
+    counts = [simhash.plan(10**k) for k in range(12)]
+    assert counts == sorted(counts) and counts[6] == 4 and counts[10] == 7
+    for count in range(4, 9):
+        segments = simhash.choices(count)
+        assert len(segments) == math.comb(count, 3)
+        # whichever three segments differ, a choice without them is left
+        for apart in combinations(range(0, 32, 3), 3):
+            assert any(not set(apart) & set(s) for s in segments)
+    with pytest.raises(ValueError):
+        simhash.choices(3)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (5, 6)]
     got = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
