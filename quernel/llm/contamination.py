@@ -11,9 +11,12 @@ Items go to the executors in blocks of bounded size, one pass over the documents
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,18 +54,60 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes], text: str
     return {bytes(r["word"]): r["n"] for r in rows}
 
 
-def build_index(items: list[tuple[str, str]], frequency: dict[bytes, int], size: int = WINDOW) -> dict[bytes, list[tuple[int, list[bytes], str]]]:
-    """By prefix word: (place of the word in the window, the window, item)."""
-    index: dict[bytes, list[tuple[int, list[bytes], str]]] = {}
-    made = set()
-    for item, text in items:
-        for w in windows(words(text), size):
-            key = (item, b" ".join(w))
+@dataclass
+class Index:
+    """Windows of a block of items, as numbers: words of all items one after another, windows sorted by prefix word."""
+
+    names: list[str]  # ids of the items
+    numbers: dict[bytes, int]  # of words
+    words: array  # numbers of the words of all items
+    spans: dict[bytes, tuple[int, int]]  # by prefix word: its windows
+    begin: array  # of a window in ``words``
+    length: array
+    at: array  # place of the prefix word in the window
+    item: array
+
+    def find(self, ws: list[bytes]) -> tuple[set[int], set[str]]:
+        """Places of the words in occurrences of windows, and the items of those windows."""
+        hit: set[int] = set()
+        by: set[str] = set()
+        if not self.spans or self.spans.keys().isdisjoint(ws):
+            return hit, by
+        number, span = self.numbers.get, self.spans.get
+        own = array("i", [number(w, -1) for w in ws])
+        for q, w in enumerate(ws):
+            for k in range(*found) if (found := span(w)) else ():
+                first, n, begin = q - self.at[k], self.length[k], self.begin[k]
+                if first >= 0 and first + n <= len(own) and own[first : first + n] == self.words[begin : begin + n]:
+                    hit.update(range(first, first + n))
+                    by.add(self.names[self.item[k]])
+        return hit, by
+
+
+def build_index(items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], size: int = WINDOW) -> Index:
+    """Windows of ``items`` (id, words); those that an item repeats stand once."""
+    numbers: dict[bytes, int] = {}
+    flat, prefix = array("i"), array("i")
+    columns = [array("i") for _ in range(4)]
+    for k, (_, ws) in enumerate(items):
+        offset, made = len(flat), set()
+        flat.extend(numbers.setdefault(w, len(numbers)) for w in ws)
+        for first, window in enumerate(windows(ws, size)):
+            n = len(window)
+            key = flat[offset + first : offset + first + n].tobytes()
             if key not in made:
                 made.add(key)
-                at = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i]))
-                index.setdefault(w[at], []).append((at, w, item))
-    return index
+                at = min(range(n), key=lambda i: (frequency.get(window[i], 0), window[i]))  # noqa: B023
+                prefix.append(numbers[window[at]])
+                for column, value in zip(columns, (offset + first, n, at, k)):
+                    column.append(value)
+    order = np.argsort(np.array(prefix, np.int32), kind="stable")
+    sorted_prefix = np.array(prefix, np.int32)[order]
+    values, starts = np.unique(sorted_prefix, return_index=True)
+    spelled = list(numbers)
+    ends = [*starts[1:].tolist(), len(order)]
+    spans = {spelled[v]: (a, b) for v, a, b in zip(values.tolist(), starts.tolist(), ends)}
+    return Index([name for name, _ in items], numbers, flat, spans, *(array("i", np.array(c, np.int32)[order].tobytes()) for c in columns))
 
 
 def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -85,24 +130,18 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", size: i
     out = docs
     hits, found = [], []
     for k, block in enumerate(_blocks(items, block_bytes)):
-        vocabulary = frozenset(w for _, t in block for w in words(t))
+        known = [(item, words(t)) for item, t in block]
+        vocabulary = frozenset(w for _, ws in known for w in ws)
         frequency = document_frequency(docs, vocabulary, text) if vocabulary else {}
-        index = build_index(block, frequency, size)
+        index = build_index(known, frequency, size)
 
         def start(index=index):
             def work(texts):
                 counts, places, names = [], [], []
                 for t in texts:
                     ws = words(t)
+                    hit, by = index.find(ws)
                     counts.append(len(ws))
-                    hit, by = set(), set()
-                    if index and not index.keys().isdisjoint(ws):
-                        for q, w in enumerate(ws):
-                            for at, window, item in index.get(w, ()):
-                                first = q - at
-                                if first >= 0 and first + len(window) <= len(ws) and ws[first : first + len(window)] == window:
-                                    hit.update(range(first, first + len(window)))
-                                    by.add(item)
                     places.append(sorted(hit))
                     names.append(sorted(by))
                 return counts, places, names
