@@ -158,6 +158,16 @@ def style_parity_audit(spark, sf_dir):
     return runs.audit_pairs(both, ["source_index"], "style", "attributes")
 
 
+@query("""SELECT p_partkey - CAST(p_partkey % 7 = 0 AS INT) AS source_index, CASE WHEN count(*) > 1 THEN 'ambiguous' WHEN min(p_partkey % 5) = 0 THEN 'unpaired' ELSE 'paired' END AS outcome, count(*) AS n_structured,
+ CAST(sum(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_natural FROM part GROUP BY 1""")
+def style_parity_audit_all(spark, sf_dir):
+    """All parts; every seventh key is folded onto its neighbour, so that twins, repeats and lone rows occur everywhere."""
+    s = _parsed(spark, sf_dir, "structured").select("p_partkey", F.lit("structured").alias("style"), "attributes")
+    n = _parsed(spark, sf_dir, "natural").where("p_partkey % 5 <> 0").select("p_partkey", F.lit("natural").alias("style"), "attributes")
+    both = s.unionByName(n).withColumn("source_index", F.col("p_partkey") - (F.col("p_partkey") % 7 == 0).cast("int"))
+    return runs.audit_pairs(both, ["source_index"], "style", "attributes")
+
+
 @query(f"""WITH {_PROMPT_SQL}, u AS (SELECT DISTINCT p_partkey, x.v AS v, c FROM (SELECT p_partkey, unnest(attrs) AS x FROM a), (VALUES ('-'), (' '), ('/'), (',')) t(c) WHERE contains(x.v, c)) SELECT c AS mark, count(*) AS n FROM u GROUP BY c""")
 def punctuation_in_values(spark, sf_dir):
     marks = F.array(*[F.lit(c) for c in "- /,"])

@@ -19,3 +19,9 @@ def test_entry(spark, sf_dir):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_parity_is_audited_over_all_parts(spark, sf_dir):
+    r = queries.queries()["style_parity_audit_all"](spark, sf_dir).groupBy().sum("n_structured").first()[0]
+    outcomes = {x["outcome"] for x in queries.queries()["style_parity_audit_all"](spark, sf_dir).select("outcome").distinct().collect()}
+    assert r == spark.read.parquet(f"{sf_dir}/part.parquet").count() and outcomes == {"ambiguous", "paired", "unpaired"}
