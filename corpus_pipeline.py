@@ -41,7 +41,7 @@ def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have tempered shares of the tokens."""
+    """A sample of the share ``mixing.KEEP`` of the tokens, whose sources, languages and topics have tempered shares."""
     return mixing.sample(docs)
 
 

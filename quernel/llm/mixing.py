@@ -4,6 +4,9 @@ Tokens are summed by cell (source, language, topic). The cells' weights are rake
 each language and each topic in turn until all three margins agree. A document's probability is its cell's weight per
 token, scaled; documents are sampled by a hash of their id against it, so a sample is the same on every cluster.
 
+The sample has a stated share of all tokens, whatever the rarest cell. No cell can give more than all its tokens: that
+is its cap, raking holds every weight under it, and what a cell or a value cannot give is raked over the others.
+
 Everything is a DataFrame operation. Raking works on the cells alone, not on documents: three windows an iteration over
 a table with one row a cell.
 """
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from quernel.plans.storage import discard, materialize
 
 ALPHA = 0.7  # exponent that tempers the observed shares to default targets
+KEEP = 0.5  # share of all tokens that a sample has without a budget
 TOLERANCE = 1e-6
 ROUNDS, STEPS = 12, 4  # at most, and iterations of a round; rounds are written tables
 SMALL = 100_000  # cells up to which raking stays in one partition
@@ -54,12 +58,26 @@ def tempered(cell_tokens: DataFrame, margin: str, alpha: float = ALPHA) -> DataF
     return by.join(F.broadcast(total)).select("value", (F.col("power") / F.col("total")).alias("share"))
 
 
-def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, steps: int = STEPS) -> DataFrame:
+def _fill(raw: str, cap: str, target: Column, by: list[Column | str], reached: Column | None = None) -> Column:
+    """What a row asks the factor to be for which least(cap, factor * raw) sums to ``target`` over the rows of equal ``by``.
+
+    A row asks as if all rows before it, in the order in which a growing factor reaches the caps, were at their caps and
+    no other; the factor is the largest that any asks for. Where all caps are under the target it puts all at their caps.
+    """
+    reached = F.when(F.col(raw) > 0, F.col(cap) / F.col(raw)).otherwise(float("inf")) if reached is None else reached
+    up = Window.partitionBy(*by).orderBy(reached, *MARGINS).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy(reached.desc(), *[F.desc(m) for m in MARGINS]).rowsBetween(Window.unboundedPreceding, 0)
+    rest = F.sum(raw).over(down)
+    return F.when(rest > 0, (target - F.coalesce(F.sum(cap).over(up), F.lit(0.0))) / rest)
+
+
+def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, steps: int = STEPS, keep: float | None = None) -> DataFrame:
     """``cell_tokens`` with ``weight``, whose margins agree with ``targets`` (value, share) by name of the margin.
 
     Stops when no margin is off by over ``tolerance``, or after ``rounds`` times ``steps`` iterations (targets may
     contradict each other where cells are missing). Values without a target keep the share they have among all; a
-    target of values without cells is spread over the others.
+    target of values without cells is spread over the others. With ``keep``, a share of all tokens up to 1, no weight is
+    over what its cell's tokens are of that many; targets over what a value's cells can give are spread over the others.
     """
     out = cell_tokens
     for name in targets:
@@ -76,11 +94,27 @@ def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float
         first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINS)) == 1
         out = out.withColumn("_one", F.when(first, F.col(f"to_{name}")).otherwise(0.0))
         out = out.withColumn(f"to_{name}", F.col(f"to_{name}") / F.sum("_one").over(everything)).drop("_one")
+    if keep is not None:
+        out = out.withColumn("raw", F.col("weight")).withColumn("cap", F.col("weight") / F.lit(float(keep)))
+        for name in targets:
+            first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINS)) == 1
+            out = out.withColumn("_most", F.sum("cap").over(Window.partitionBy(name)))
+            # of the rows of a value one counts
+            out = out.withColumns({"_one": F.when(first, F.col(f"to_{name}")).otherwise(0.0), "_cap": F.when(first, F.col("_most")).otherwise(0.0)})
+            reached = F.when(F.col(f"to_{name}") > 0, F.col("_most") / F.col(f"to_{name}")).otherwise(float("inf"))
+            out = out.withColumn("_factor", _fill("_one", "_cap", F.lit(1.0), [F.lit(1)], reached))
+            out = out.withColumn(f"to_{name}", F.least("_most", F.col(f"to_{name}") * F.coalesce(F.max("_factor").over(everything), F.lit(1.0))))
+            out = out.drop("_most", "_one", "_cap", "_factor")
     out = materialize(out, "cells")
     for _ in range(rounds):
         step = out.coalesce(1) if small else out
         for _ in range(steps):
             for name in targets:
+                if keep is not None:
+                    step = step.withColumn("_factor", _fill("raw", "cap", F.col(f"to_{name}"), [name]))
+                    step = step.withColumn("raw", F.col("raw") * F.coalesce(F.max("_factor").over(Window.partitionBy(name)), F.lit(1.0)))
+                    step = step.withColumn("weight", F.least("cap", "raw")).drop("_factor")
+                    continue
                 sum_ = F.sum("weight").over(Window.partitionBy(name))
                 step = step.withColumn("weight", F.when(sum_ > 0, F.col("weight") * F.col(f"to_{name}") / sum_).otherwise(F.col("weight")))
         following = materialize(step, "cells")
@@ -94,23 +128,24 @@ def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float
     return out.select(*cell_tokens.columns, "weight")
 
 
-def probabilities(raked: DataFrame, budget: float | None = None) -> DataFrame:
+def probabilities(raked: DataFrame, budget: float | None = None, keep: float = KEEP) -> DataFrame:
     """``raked`` with ``rate``, the expected number of copies of a document of each cell.
 
     rate is budget * weight / tokens: expected tokens of every margin stand as its targets. Without ``budget`` it is
-    the largest for which no rate is over 1, so that all rates are probabilities.
+    the share ``keep`` of all tokens, and rates are probabilities, as weights raked with ``keep`` are under their caps.
     """
     ratio = F.col("weight") / F.col("tokens")
-    top = raked.agg(F.max(ratio).alias("top"))
-    out = raked.join(F.broadcast(top))
-    return out.withColumn("rate", (ratio / F.col("top")) if budget is None else ratio * F.lit(float(budget))).drop("top")
+    if budget is not None:
+        return raked.withColumn("rate", ratio * F.lit(float(budget)))
+    total = raked.agg(F.sum("tokens").alias("total"))
+    return raked.join(F.broadcast(total)).withColumn("rate", F.least(F.lit(1.0), ratio * F.col("total") * F.lit(float(keep)))).drop("total")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED, text: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED, text: str = "text", keep: float = KEEP) -> DataFrame:
     """``docs`` with topic, tokens, weight (of the cell), probability and copies; existing columns of those names are replaced.
 
     copies is the whole part of the expected number, plus one if a hash of doc_id (of the text where the id is null) and
-    ``seed`` lies under the rest: 0 or 1 without ``budget``. Null sources and languages are ``unknown``. Texts without
+    ``seed`` lies under the rest. Without ``budget`` it is 0 or 1, and the expected tokens are the share ``keep`` of all. Null sources and languages are ``unknown``. Texts without
     words have no tokens, no weight and probability 0. Repeated rows share their fate. Empty tables give empty results.
     """
     new = {"topic", "tokens", "weight", "probability", "copies"}
@@ -121,8 +156,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     marked = base.withColumns({"topic": topic(text), "tokens": tokens(text), "_source": unknown("source"), "_lang": unknown("lang"), "_unit": F.pmod(key, F.lit(1 << 52)) / float(1 << 52)})
     facts = marked.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "tokens")
     summed = materialize(cells(facts), "cells")
-    raked = rake(summed, targets or {m: tempered(summed, m, alpha) for m in MARGINS})
-    rated = materialize(probabilities(raked, budget), "rates")
+    raked = rake(summed, targets or {m: tempered(summed, m, alpha) for m in MARGINS}, keep=keep if budget is None else None)
+    rated = materialize(probabilities(raked, budget, keep), "rates")
     # one row a cell: sent to every executor where it is small, by adaptive execution, else met by a join
     rates = rated.select(*[F.col(m).alias(f"_cell_{m}") for m in MARGINS], "weight", "rate")
     if rated.count() <= SMALL:

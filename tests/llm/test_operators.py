@@ -328,6 +328,51 @@ def test_probabilities_are_calibrated(spark):
     assert double.columns == docs.columns and double.count() > 4000
 
 
+def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):
+    rows = [(i, prose(i, 20 + i % 50), ["en", "fr"][i % 2], f"s{i % 3}", 1) for i in range(3000)]
+    for rare in ([], [(9999, prose(7, 30), None, "s0", 1)]):
+        mixed = mixing.mix(documents(spark, rows + rare)).cache()
+        kept, every, most = mixed.agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens"), F.max("probability")).first()
+        assert kept / every == pytest.approx(mixing.KEEP, rel=1e-6) and most <= 1
+    assert mixed.where("lang is null").first()["probability"] == pytest.approx(1)
+
+
+def test_capped_raking_agrees_with_bisection(spark):
+    rng = random.Random(3)
+    size = {(f"s{i % 5}", f"l{i % 3}", f"t{(i * 7) % 4}"): float(rng.choice([1, 40, 3000, 100_000])) for i in range(60)}
+    cells = spark.createDataFrame([(*k, x, 1) for k, x in size.items()], "source string, lang string, topic string, tokens double, documents long")
+    got = mixing.rake(cells, {m: mixing.tempered(cells, m, 0.3) for m in mixing.MARGINS}, keep=0.4).collect()
+    cap = {k: x / sum(size.values()) / 0.4 for k, x in size.items()}
+    raw = {k: x * 0.4 for k, x in cap.items()}
+
+    def factor(pairs, target):
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(min(c, middle * r) for r, c in pairs) < target else (low, middle)
+        return high
+
+    target = []
+    for k in range(3):
+        most, to = Counter(), Counter()
+        for c, x in size.items():
+            most[c[k]] += cap[c]
+            to[c[k]] += x
+        to = {v: x**0.3 for v, x in to.items()}
+        f = factor([(x / sum(to.values()), most[v]) for v, x in to.items()], 1 - 1e-12)
+        target.append({v: min(most[v], f * x / sum(to.values())) for v, x in to.items()})
+    for _ in range(300):
+        for k in range(3):
+            for v, t in target[k].items():
+                own = [c for c in size if c[k] == v]
+                f = factor([(raw[c], cap[c]) for c in own], t * (1 - 1e-12))
+                raw.update({c: raw[c] * f for c in own if f < 1e11})
+    assert sum(r["weight"] for r in got) == pytest.approx(1, rel=1e-6)
+    for r in got:
+        c = r["source"], r["lang"], r["topic"]
+        assert r["weight"] <= cap[c] * (1 + 1e-9) and r["weight"] == pytest.approx(min(cap[c], raw[c]), rel=1e-2, abs=1e-5)
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 
