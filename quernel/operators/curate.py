@@ -18,6 +18,19 @@ def hash_rank(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def shuffle_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with rank, the place from 0 in the seeded shuffle; null keys come first.
+
+    Ranks are counted within the 4,096 ranges of the hash's first digits, plus what the ranges before hold.
+    """
+    h = F.coalesce(hash_rank(F.col(key), seed), F.lit(""))
+    rows = df.withColumns({"_h": h, "_range": F.substring(h, 1, 3)})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) - 1
+    return rows.withColumn("_within", within).join(F.broadcast(starts), "_range").select(*df.columns, (F.col("start") + F.col("_within")).alias("rank"))
+
+
 def reject_reason(messages: Column, metadata: Column | None = None, roles: tuple[str, ...] = ROLES) -> Column:
     """Why a conversation is not valid; null if it is."""
     seen = F.transform(messages, lambda m: m["role"])

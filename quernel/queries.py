@@ -514,6 +514,12 @@ def seeded_shuffle(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id").orderBy(curate.hash_rank(F.col("doc_id"), 9), "doc_id").limit(50)
 
 
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH.format(seed=9)}, doc_id) - 1 AS rank FROM documents")
+def seeded_shuffle_all(spark, sf_dir):
+    """Every document with its place in the shuffle."""
+    return curate.shuffle_rank(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 9).orderBy("rank")
+
+
 @query("""WITH n AS (SELECT conv_id, list(role ORDER BY turn) AS r, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id FROM n WHERE r <> ['system', 'user', 'assistant'] ORDER BY conv_id LIMIT 20""")
 def first_errors(spark, sf_dir):
     bad = _nested(spark, sf_dir).where(curate.reject_reason(F.col("messages")).isNotNull())
