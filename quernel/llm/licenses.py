@@ -73,14 +73,16 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 GAP = 6  # unknown or other sentences that may stand between two of a rule
-# a sentence ends at a stop before white space or the end, at ; or : before a break, or at an empty line
-_END = re.compile(r"[.!?](?=\s|$)|[;:](?=\s*\n|\s*$)|\n\s*\n|(?<=free software):", re.I)
+# a sentence ends at a stop before white space or the end, at ; or : before a break, or at an empty line, also one
+# of comment marks alone
+_END = re.compile(r"[.!?](?=\s|$)|[;:](?=\s*\n|\s*$)|\n[\s*#>/;-]*\n|(?<=free software):", re.I)
 _MARKS = re.compile(r"""["'“”‘’`*#>]|^\s*(?:\(?[0-9a-z][.)]|//|--|;;)\s""", re.I | re.M)
 _BLANK = re.compile(r"\s+")
+_WORD = re.compile(r"\w+")
 
 
 def normalise(sentence: str) -> str:
-    return _BLANK.sub(" ", _MARKS.sub(" ", sentence)).strip(" .,;:-").lower().replace(" ,", ",").replace("( ", "(").replace(" )", ")")
+    return _BLANK.sub(" ", _MARKS.sub(" ", sentence)).strip(" .,;:-/").lower().replace(" ,", ",").replace("( ", "(").replace(" )", ")")
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,8 @@ class Rules:
     ids: dict[str, str]
     by_first: dict[str, list[tuple[str, list[str]]]]
     hint: re.Pattern
+    firsts: frozenset[str]
+    lasts: frozenset[str]
 
     @staticmethod
     def of(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> Rules:
@@ -103,7 +107,8 @@ class Rules:
             best = max(sorted({w for ws in left.values() for w in ws}), key=lambda w: (sum(w in ws for ws in left.values()), len(w)))
             cover.append(best)
             left = {i: ws for i, ws in left.items() if best not in ws}
-        return Rules(ids, by_first, re.compile("|".join(map(re.escape, cover)), re.I | re.A))
+        words = [_WORD.findall(i) or [""] for i in ids]
+        return Rules(ids, by_first, re.compile("|".join(map(re.escape, cover)), re.I | re.A), frozenset(w[0] for w in words), frozenset(w[-1] for w in words))
 
 
 def sentences(text: str):
@@ -125,9 +130,20 @@ def known_sentences(text: str, rules: Rules, longest: int) -> list[tuple[int, in
                 a += len(part) - len(part.lstrip())
                 found.append((k, a, b, name))
                 continue
-        # a notice may follow a line that no stop ends
-        if (cut := text.rfind("\n", a, b)) >= 0 and b - cut <= longest and (name := rules.ids.get(normalise(text[cut + 1 : b]))):
-            found.append((k, cut + 1, b, name))
+        # a notice may follow lines that no stop ends: every start of a line within may be its beginning
+        end, last = b, None
+        while (cut := text.rfind("\n", a, end)) >= 0 and b - cut <= longest:
+            words = _WORD.findall(normalise(text[cut + 1 : end]))
+            end = cut
+            if not words:
+                continue
+            # words tell most lines that begin or end no known sentence
+            last = last or words[-1]
+            if last not in rules.lasts:
+                break
+            if words[0] in rules.firsts and (name := rules.ids.get(normalise(text[cut + 1 : b]))):
+                found.append((k, cut + 1, b, name))
+                break
     return found
 
 

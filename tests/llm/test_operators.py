@@ -571,6 +571,33 @@ def test_licences(spark):
     assert f["licenses"] == ["GPL-3.0", "MIT"] and len(f["license_spans"]) == 4
 
 
+ISC = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def test_wrapped_notices_in_comments(spark):
+    for text, name, n in ((ISC, "ISC", 1), (MIT, "MIT", 3), (APACHE, "Apache-2.0", 5)):
+        bodies = [f"Copyright (c) 2020 Jane Doe\n\n{text}", f"Copyright (c) 2020 Jane Doe\n{text}"]
+        heads = [t for body in bodies for t in ("/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in body.split("\n")) + " */\nint x;", *("".join(f"{m} {x}".rstrip() + "\n" for x in body.split("\n")) + "x = 1" for m in ("#", "//", "--", ";;")))]
+        for r, t in zip(licences(spark, *heads), heads):
+            assert (r["licenses"], r["n_sentences"]) == ([name], n), t
+            assert name == "Apache-2.0" or "Permission" in t[r["license_spans"][0]["start"] :].split("\n")[0]
+    ended = licences(spark, " * Released under the MIT License\n *\n * int main here\n")[0]
+    assert ended["licenses"] == ["MIT"]
+
+
 def test_rules_are_ordered_and_bounded():
     rules = licenses.Rules.of({"a": "first one", "b": "second one"}, [("L", ["a", "b"])])
     match = lambda *f: licenses.match_rules([(k, 10 * k, 10 * k + 5, n) for k, n in f], rules, gap=2)
