@@ -7,7 +7,7 @@ reaches the threshold are recomputed exactly in double precision; the rest are s
 
 Candidates meet in tables: each table is keyed by the label and KEY bits of further rotations of the same kind. KEY
 grows with the logarithm of the largest label, so that buckets stay small; the number of tables is what the recall asks
-for. A bucket yields its partial components, one row per linked vector, and never pairs. Once components are known, all
+for, so that in the whole table far less than one link is expected to be lost. A bucket yields its partial components, one row per linked vector, and never pairs. Once components are known, all
 pairs inside each are judged again, by the same estimates and recomputation, to count links: what tables missed between
 members of a component is found there. Equal vectors are one until the end, and buckets and components of over TILE
 vectors are cut into tiles.
@@ -29,9 +29,10 @@ from quernel.plans.storage import materialize
 
 COSINE = 0.93
 MISSED = 2e-4  # share of pairs at exactly the threshold that no table brings together; far less of closer pairs
+LOST = 0.01  # links that tables are expected to lose in all, at most, of those that join components
 BUCKET = 32  # vectors of the largest label that a bucket should hold
 ROTATIONS = 2  # of those that estimates use
-SPREAD = 4.0  # confidence bound in standard errors
+SPREAD = 7.0  # confidence bound in standard errors: 1.3e-12 of the pairs at exactly the threshold are over it
 TILE = 2048
 SEED = 20240
 
@@ -43,6 +44,15 @@ def plan(largest: int, cosine: float = COSINE, missed: float = MISSED) -> tuple[
     return bits, math.ceil(math.log(missed) / math.log1p(-same))
 
 
+def share_missed(vectors: int, lost: float = LOST) -> float:
+    """Share of pairs that tables may miss, for ``lost`` links in all.
+
+    Components are right once the links of any spanning forest are found, of which there are fewer than vectors; all
+    other links inside a component are found by the recount.
+    """
+    return min(MISSED, lost / max(1, vectors))
+
+
 def rotations(dim: int, n: int) -> np.ndarray:
     """(dim, dim * n): n random rotations side by side, the same everywhere."""
     rng = np.random.default_rng(SEED)
@@ -158,13 +168,13 @@ def valid(vector: str = "embedding"):
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(df: DataFrame, vector: str = "embedding", cosine: float = COSINE, missed: float = MISSED, tile: int = TILE) -> DataFrame:
+def near_vectors(df: DataFrame, vector: str = "embedding", cosine: float = COSINE, missed: float | None = None, tile: int = TILE) -> DataFrame:
     """One row per row of ``df`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors are compared only within equal labels. Vectors with a null label, or null, empty, zero, or with a null or
     non-finite component, link with nothing, as do rows without vec_id, whose component_id is null and kept false.
     Equal vectors of a label are linked. Vectors of different lengths have no cosine. Of rows that repeat a vec_id
-    each comes out and counts as a vector of its own.
+    each comes out and counts as a vector of its own. ``missed`` is that of ``plan``; without it, ``share_missed``.
     """
     rows = df.select("vec_id", vector, "label", (valid(vector) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("valid"))
     # zeros of either sign are one value
@@ -172,8 +182,8 @@ def near_vectors(df: DataFrame, vector: str = "embedding", cosine: float = COSIN
     seen = materialize(rows.select("vec_id", "valid", F.when(F.col("valid"), F.xxhash64(F.col("label").cast("string"), same)).alias("hash"), F.when(F.col("valid"), F.col("label").cast("string")).alias("label"), F.when(F.col("valid"), same).alias("v")), "vectors")
     good = seen.where("valid")
     nodes = materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("hash", F.xxhash64("label", "v")), "nodes")
-    largest = nodes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    bits, tables = plan(largest, cosine, missed)
+    largest, every = nodes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    bits, tables = plan(largest, cosine, share_missed(every) if missed is None else missed)
     coded = nodes.select(F.xxhash64("label").alias("label"), "node", "v")
     kind = "<f4" if df.schema[vector].dataType.elementType == T.FloatType() else "<f8"
     schema = "label long, tab int, bucket int, node long, vector binary"

@@ -211,6 +211,20 @@ def test_plan_grows_with_the_logarithm():
     assert embeddings.plan(1 << 20)[1] < 80
 
 
+def test_no_lone_link_at_the_threshold_is_lost(spark):
+    """4,000 pairs just over the threshold that nothing else joins, in one label."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.standard_normal((4000, 256)) for _ in range(2))
+    x = embeddings.unit_rows(x)
+    y = embeddings.unit_rows(y - (x * y).sum(1, keepdims=True) * x)
+    z = 0.93001 * x + np.sqrt(1 - 0.93001**2) * y
+    df = spark.createDataFrame([(2 * i + k, v.tolist(), 0) for i in range(4000) for k, v in ((0, x[i]), (1, z[i]))], "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_vectors(df)
+    assert got.where("n_links <> 1 or component_id <> vec_id - vec_id % 2").count() == 0
+    for n in (0, 1, 10**4, 10**8):  # expected losses of a table's tables, and of estimates
+        assert (n - 1) * embeddings.share_missed(n) <= embeddings.LOST and n * 0.5 * math.erfc(embeddings.SPREAD / math.sqrt(2)) < 1e-3
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------------
 
 
