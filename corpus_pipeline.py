@@ -7,6 +7,7 @@ effect. The last stage returns the sampled documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quernel.llm import contamination, langid, mixing, secrets, simhash
 from quernel.plans.storage import materialize
@@ -17,8 +18,11 @@ LEAST_LANGUAGE_SCORE = 0.0  # documents of a known language stay, however close
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, no letter) go; learnt from the documents at hand."""
     columns = docs.columns
+    model = langid.train(docs)
+    if not model.languages:  # nothing to learn from
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rest = docs.select(*[docs[c].alias(f"_{c}") for c in columns if c != "text"], "text")
-    kept = langid.predict(rest, langid.train(docs), least_score=LEAST_LANGUAGE_SCORE)
+    kept = langid.predict(rest, model, least_score=LEAST_LANGUAGE_SCORE)
     return kept.select(*[kept["text"] if c == "text" else kept[f"_{c}"].alias(c) for c in columns])
 
 

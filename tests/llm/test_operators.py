@@ -409,6 +409,13 @@ def test_a_passage_counts_by_its_length(spark):
     assert [r["lang_pred"] for r in langid.predict(df, model).orderBy("doc_id").collect()] == ["en", "fr"]
 
 
+def test_documents_stay_where_no_language_is_known(spark):
+    import corpus_pipeline
+
+    docs = documents(spark, [(1, "some words", None, "s", 1), (2, "12 ...", None, "s", 1), (3, None, None, "s", 1), (4, "é", None, "s", 1)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def test_folded_weights_score_as_the_kernel_does():
     rows = [(prose(i, 30), "en") for i in range(20)] + [("ou et le la des " * 5 + str(i), "fr") for i in range(20)]
     model = langid.fit(rows, landmarks=10, keep_support=True)
