@@ -171,15 +171,26 @@ def near_duplicates(df: DataFrame, text: str = "text", bits: int = BITS, words:
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """``docs`` without the near-duplicates of an earlier document: of each component the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays, the first by text; rows without a doc_id all stay.
+    Of rows of that doc_id in the component one stays, the first by text; rows without a doc_id all stay. Rows that
+    repeat a doc_id with unlike texts are each in the component of their own text.
     """
-    found = materialize(near_duplicates(docs, bits=bits), "near")
-    rows = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    fate = materialize(rows.where("n > 1 or c <> doc_id").select("doc_id", (F.col("c") == F.col("doc_id")).alias("first")), "fate")
-    # documents that neither repeat nor duplicate another pass by; only few ids are in question
-    kept = docs.join(fate.where("not first"), "doc_id", "left_anti")
-    repeated = fate.where("first").select("doc_id")
+    marked = materialize(fingerprints(docs.select("doc_id", "text")).where("doc_id is not null"), "near")
+    nodes = materialize(marked.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("fp")).distinct(), "nodes")
+    roots = nodes.join(connected_components(links(nodes, bits)), "node", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("root", "node").alias("root"))
+    placed = materialize(marked.join(roots, "fingerprint"), "roots")
+    # components are told by their fingerprints; of documents, only few ids are in question
+    firsts = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("first")), "firsts")
+    held = placed.join(firsts, "root")
+    rows = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("first") == F.col("doc_id"))).alias("leads"))
+    fate = materialize(rows.where("n > 1 or not leads").select("doc_id", "leads"), "fate")
+    kept = docs.join(fate, "doc_id", "left_anti")
+    repeated = fate.where("leads").select("doc_id")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.min_by(c, F.struct(F.col("text").isNull(), "text")).alias(c) for c in docs.columns if c != "doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(*docs.columns))
+        return kept.select(*docs.columns)
+    again = docs.join(repeated, "doc_id", "left_semi")
+    own = held.join(repeated, "doc_id", "left_semi").where("first = doc_id").select("doc_id", F.col("fingerprint").alias("_fp"), F.col("root").alias("_root")).distinct()
+    told = fingerprints(again.select("doc_id", "text").distinct(), keep_text=True).toDF("doc_id", "_text", "_fp")
+    told = told.join(own, ["doc_id", "_fp"]).select(F.col("doc_id").alias("_id"), "_text", "_root")
+    met = again.join(told, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
+    once = met.groupBy("doc_id", "_root").agg(*[F.min_by(c, F.struct(F.col("text").isNull(), "text")).alias(c) for c in docs.columns if c != "doc_id"])
+    return kept.select(*docs.columns).unionByName(once.select(*docs.columns))

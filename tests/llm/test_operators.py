@@ -507,6 +507,13 @@ def test_one_document_of_each_group_stays(odd):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 8, 9]
 
 
+def test_rows_of_one_id_with_unlike_texts_are_told_apart(spark):
+    a, b, c = prose(1, 90), prose(2, 90), prose(3, 90)
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in [(3, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, a + " " + b), (None, a)]])
+    rows = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect())
+    assert rows == sorted([(0, a), (3, a), (5, b), (7, c), (7, a + " " + b)])
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 
 
