@@ -5,6 +5,10 @@ document's is the noisy-or of its sentences, 1 - prod(1 - p). A word counts once
 noisy-or's likelihood shares a toxic document's blame among its sentences, and the fitted sentence scores then locate
 the offending ones. A word's score is the sum of the weights of its prefixes and itself, hashed. Weights are never
 negative: harmless words around an offence don't make up for it, in sentences of any length.
+
+The bias is learnt with the weights: documents of many harmless sentences push it down until their noisy-or is small,
+whatever their length. A few labels are taken to be wrong (``WRONG``), or a toxic label without any telling word would
+pull the bias up for all. Scores are those of the fitted model, every sentence counting.
 """
 
 from __future__ import annotations
@@ -22,13 +26,14 @@ from pyspark.sql import types as T
 from quernel.llm.common import append_columns, class_sample, remainder
 
 BUCKETS = 1 << 18
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 PER_CLASS = 2500  # labelled documents of each class that a fit looks at
-BIAS = -4.0  # log-odds of a sentence without telling words; given, not learnt, as weights can only add to it
-EVIDENCE = 2.0  # of a sentence's words below which it does not count in a score, however many such sentences there are
+BIAS = -6.0  # log-odds of a sentence without telling words that a fit begins with
+TOXIC_SHARE = 0.75  # of the likelihood that toxic documents have together, whatever their number
+WRONG = 0.05  # share of labels of either class that the likelihood takes to be wrong
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-EPOCHS = 80
+EPOCHS = 120
 SPARSENESS = 1e-5  # slope of the penalty on the sum of weights
 LEAST_DOCUMENTS = 4  # features of fewer training documents have no weight
 KNOWN_WORDS = 400_000
@@ -48,8 +53,26 @@ def word_features(word: str) -> list[int]:
     return own + [xxhash.xxh32_intdigest("^" + word[:n]) % BUCKETS for n in PREFIXES if len(word) > n]
 
 
+def loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels, share, wrong: float = WRONG):
+    """(negative log-likelihood, its slope by feature, its slope by the bias) of the noisy-or with labels wrong at a rate.
+
+    ``feature`` and ``feature_word`` pair features with words, ``words`` and ``sentence_of`` words with sentences, and
+    ``doc_of`` has the document of each sentence. ``share`` weighs documents.
+    """
+    n_words, n_sentences, n_docs = int(max(feature_word.max(initial=-1), words.max(initial=-1))) + 1, len(doc_of), len(labels)
+    score = np.bincount(feature_word, theta[feature], minlength=n_words)
+    z = np.clip(bias + np.bincount(sentence_of, score[words], minlength=n_sentences), -30, 30)
+    clean = np.exp(np.bincount(doc_of, -np.logaddexp(0, z), minlength=n_docs))
+    says = np.where(labels == 1, wrong + (1 - 2 * wrong) * (1 - clean), 1 - wrong - (1 - 2 * wrong) * (1 - clean))
+    # d clean / dz = -clean * p of the sentence
+    blame = np.where(labels == 1, -1, 1) * share * (1 - 2 * wrong) * clean / says
+    by_sentence = blame[doc_of] / (1 + np.exp(-z))
+    by_word = np.bincount(words, by_sentence[sentence_of], minlength=n_words)
+    return float(-(share * np.log(says)).sum()), np.bincount(feature, by_word[feature_word], minlength=len(theta)), float(by_sentence.sum())
+
+
 def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
-    """Fit by full-batch Adam on the noisy-or likelihood, classes weighted alike.
+    """Fit by full-batch Adam on the noisy-or likelihood, toxic documents having ``TOXIC_SHARE`` of it together.
 
     ``documents``: (text, 0 or 1). With one class only, or none, every score is that class's rate (0 without rows).
     """
@@ -80,23 +103,17 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     stay = common[feature]
     kept, feature = np.unique(feature[stay], return_inverse=True)
     feature_word = feature_word[stay]
-    n_sentences, n_docs = len(doc_of), len(labels)
-    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n_docs - labels.sum()))
+    n_docs = len(labels)
+    share = np.where(labels == 1, TOXIC_SHARE / labels.sum(), (1 - TOXIC_SHARE) / (n_docs - labels.sum()))
     theta, bias = np.zeros(len(kept)), BIAS
-    moments = [np.zeros(len(kept)), np.zeros(len(kept))]
+    moments = [np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)]
     for epoch in range(1, epochs + 1):
-        score = np.bincount(feature_word, theta[feature], minlength=len(index))
-        z = np.clip(bias + np.bincount(sentence_of, score[words], minlength=n_sentences), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc_of, -np.logaddexp(0, z), minlength=n_docs))
-        blame = np.where(labels == 1, -share * clean / np.maximum(1 - clean, 1e-9), share)
-        by_sentence = blame[doc_of] * p
-        by_word = np.bincount(words, by_sentence[sentence_of], minlength=len(index))
-        slope = np.bincount(feature, by_word[feature_word], minlength=len(kept)) + SPARSENESS
+        value, slope, bias_slope = loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels, share)
+        slope = np.append(slope + SPARSENESS, bias_slope)
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.99 * moments[1] + 0.01 * slope**2
-        step = 0.15 * (moments[0] / (1 - 0.9**epoch)) / (np.sqrt(moments[1] / (1 - 0.99**epoch)) + 1e-5)
-        theta = np.maximum(theta - step, 0)
+        step = 0.2 * (moments[0] / (1 - 0.9**epoch)) / (np.sqrt(moments[1] / (1 - 0.99**epoch)) + 1e-5)
+        theta, bias = np.maximum(theta - step[:-1], 0), float(bias - step[-1])
     heavy = np.abs(theta) > 1e-3
     return Model(float(bias), dict(zip(kept[heavy].tolist(), theta[heavy].tolist())))
 
@@ -104,11 +121,12 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
 def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(text, toxic) of about ``per_class`` labelled documents of each class, held-out ids left out.
 
-    An id labelled more than once is toxic if one of its labels says so; null ids and labels are left out.
+    An id labelled more than once is toxic if one of its labels says so; null ids and labels are left out. Of rows that
+    repeat an id one is taken, so that the number of rows is bounded as that of ids is. Other columns are not read.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(class_sample(known, "toxic", "doc_id", per_class))  # about 2 * per_class ids
-    return documents.join(chosen, "doc_id").select("text", "toxic")
+    return documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -145,13 +163,13 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", threshold:
                 for w in set(word_re.findall(low)).difference(known):
                     word_score(w)
                 for m in sentence_re.finditer(low):
-                    evidence = sum(map(known.__getitem__, set(word_re.findall(m[0]))))
-                    if evidence >= EVIDENCE:
-                        z = min(30.0, bias + evidence)
+                    found = set(word_re.findall(m[0]))
+                    if found:
+                        z = min(30.0, bias + sum(map(known.__getitem__, found)))
                         clean -= math.log1p(math.exp(z))
                         if z >= 0:
                             bad.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + math.exp(-z))})
-                scores.append(-math.expm1(clean) if clean else 0.0)
+                scores.append(-math.expm1(clean))
                 predicted.append(int(scores[-1] >= threshold))
                 offending.append(bad)
             return scores, predicted, offending
