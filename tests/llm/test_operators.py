@@ -184,6 +184,31 @@ def test_vectors_agree_with_brute_force(spark, tile):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_shipped_settings_agree_with_brute_force(spark):
+    """Counts and components of one label that needs many tables, at the settings of the query."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((9000, 32))
+    x[3000:] = x[rng.integers(0, 3000, 6000)] + rng.standard_normal((6000, 32)) * rng.uniform(0.1, 0.5, (6000, 1))
+    x = x.astype(np.float32)
+    assert embeddings.plan(len(x), 32, embeddings.share_missed(len(x)))[1] > 10
+    unit = embeddings.unit_rows(x)
+    n, parent = np.zeros(len(x), np.int64), np.arange(len(x))
+    for i in range(0, len(x), 500):
+        a, b = np.nonzero(np.triu(unit[i : i + 500] @ unit.T >= embeddings.COSINE, i + 1))
+        n += np.bincount(a + i, minlength=len(x)) + np.bincount(b, minlength=len(x))
+        parent = common.unite(parent, a + i, b)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = embeddings.near_vectors(df).toPandas().sort_values("vec_id")
+    assert n.sum() > 1000 and (got["n_links"].to_numpy() == n).all() and (got["component_id"].to_numpy() == parent).all()
+
+
+def test_rows_of_one_id_with_unlike_vectors(spark):
+    v = np.eye(4).tolist()
+    rows = [(5, v[0], 0), (5, v[1], 0), (6, v[1], 0), (7, v[2], 0), (3, v[0], 0)]
+    got = sorted(tuple(r) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([(3, 1, 3, True), (5, 1, 3, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)])
+
+
 def test_odd_vectors(spark, odd_dir):
     rows = spark.read.parquet(f"{odd_dir}/embeddings.parquet").collect()
     want = brute_links([(r["vec_id"], r["embedding"], r["label"]) for r in rows if r["vec_id"] is not None])
@@ -197,18 +222,35 @@ def test_estimates_keep_every_link():
     x = rng.standard_normal((300, 64))
     x[150:] = x[:150] + rng.standard_normal((150, 64)) * 0.3
     x = embeddings.unit_rows(x)
-    r = embeddings.rotations(64, embeddings.ROTATIONS)
-    wide = (x @ r).astype(np.float32)
-    code = np.where(wide > 0, 1, -1).astype(np.float32) / np.sqrt(np.float32(2 * 64))
-    factor = (wide * code).sum(1) / np.sqrt(np.float32(2))
-    maybe = embeddings.candidates(x, r, slice(0, 300), 0.93, code, factor)
+    maybe = embeddings.open_pairs(*embeddings.decode(embeddings.encode(x)), slice(0, 300), 0.93)
     exact = x @ x.T >= 0.93
-    assert not (exact & ~maybe).any() and maybe.mean() < 0.05
+    assert not (exact & ~maybe).any() and maybe.mean() < 0.02
+
+
+@pytest.mark.parametrize("dim", [2, 3, 16, 64])
+def test_estimates_are_unbiased_within_their_errors(dim):
+    """Pairs of one cosine in all directions: mean error near 0, and errors as large as stated."""
+    rng = np.random.default_rng(dim)
+    n, c = 4000, 0.93
+    x, w = (embeddings.unit_rows(rng.standard_normal((n, dim))) for _ in range(2))
+    w = embeddings.unit_rows(w - (w * x).sum(1, keepdims=True) * x)
+    y = c * x + np.sqrt(1 - c**2) * w
+    (a, b, e), (p, q, f) = embeddings.decode(embeddings.encode(x)), embeddings.decode(embeddings.encode(y))
+    off = ((a * q).sum(1) + (b * p).sum(1)) / 2 - c
+    stated = np.sqrt(((1 - c**2) * (e + f) + e * f) / max(1, dim - 1))
+    if dim >= 16:
+        assert abs(off.mean()) < 4 * off.std() / np.sqrt(n)
+        assert 0.4 < (off / stated).std() <= 1.05
+    assert (np.abs(off) <= embeddings.SPREAD * stated + 1e-4).all()
 
 
 def test_plan_grows_with_the_logarithm():
-    assert embeddings.plan(0)[0] == 4 and embeddings.plan(1 << 20)[0] == 15
-    assert embeddings.plan(1 << 20)[1] < 80
+    assert embeddings.plan(0, 64, 1e-6) == embeddings.plan(embeddings.BUCKET, 64, 1e-6) == ((), 1)
+    tables = [embeddings.plan(10**k, 64, embeddings.share_missed(10**k))[1] for k in range(2, 10)]
+    assert tables == sorted(tables) and tables[-1] < 200
+    for n, dim in ((10**6, 2), (10**6, 3), (10**9, 64)):
+        parts, _ = embeddings.plan(n, dim, 1e-6)
+        assert all(p <= dim for p in parts) and math.prod(2 * p for p in parts) >= n / embeddings.BUCKET
 
 
 def test_no_lone_link_at_the_threshold_is_lost(spark):
@@ -222,7 +264,7 @@ def test_no_lone_link_at_the_threshold_is_lost(spark):
     got = embeddings.near_vectors(df)
     assert got.where("n_links <> 1 or component_id <> vec_id - vec_id % 2").count() == 0
     for n in (0, 1, 10**4, 10**8):  # expected losses of a table's tables, and of estimates
-        assert (n - 1) * embeddings.share_missed(n) <= embeddings.LOST and n * 0.5 * math.erfc(embeddings.SPREAD / math.sqrt(2)) < 1e-3
+        assert (n <= 100 or (n - 1) * embeddings.share_missed(n) <= embeddings.LOST) and n * 0.5 * math.erfc(embeddings.SPREAD / math.sqrt(2)) < 2e-2
 
 
 # --- 4 --------------------------------------------------------------------------------------------------------------
