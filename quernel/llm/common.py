@@ -29,7 +29,7 @@ def append_columns(df: DataFrame, start: Callable[[], Callable], fields: list[T.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
-    base = df.select(*kept)
+    base = df.select(*[df[f"`{c}`"] for c in kept])
     out = T.StructType([f for f in base.schema.fields if keep_source or f.name != source] + fields)
     arrow = to_arrow_schema(out)
     at = kept.index(source)
@@ -170,6 +170,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
         star = following
 
 
+BROADCAST_BYTES = 32 << 20  # of a table that goes to every executor, at most
+ROW_BYTES = 48  # that a row of a few numbers is taken to have in memory besides its texts
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with the hint to send it to all executors if its rows, as counted, have ``most`` bytes; else a join shuffles it.
+
+    Texts and arrays count by their length. ``df`` should be a written table, or cheap to read twice.
+    """
+    sizes = [F.coalesce(F.length(f"`{f.name}`"), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    sizes += [F.coalesce(F.length(F.to_json(f"`{f.name}`")), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    every = F.lit(ROW_BYTES + 8 * len(df.columns))
+    for size in sizes:
+        every = every + size
+    total = df.agg(F.coalesce(F.sum(every.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= most else df
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for null ids."""
     return F.crc32(F.col(doc_id).cast("string")) % divisor

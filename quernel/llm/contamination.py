@@ -1,34 +1,40 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Every window of WINDOW consecutive item words (an item of fewer words is one window) is a set whose exact containment
-in a document is sought. Words are ordered by rarity, counted over all documents. Containment of the whole window
-needs all its words, so its prefix is one word, the rarest: only documents with that word are candidates. The word's
-place in the window fixes where an occurrence would begin; positional and length bounds drop those that would run over
-an end of the document, and the rest is compared word by word over the item-sized window.
-
-Items go to the executors in blocks of bounded size, one pass over the documents for each block.
+Every window of WINDOW consecutive item words (an item of fewer words is one window) is sought in the documents as a
+whole. Windows and documents are sets of shingles of SHINGLE words (of all its words, for a shorter window). Shingles
+are ordered by rarity, counted over all texts of documents. Containment of a whole window needs all its shingles, so its
+necessary prefix is one, the rarest; windows with a shingle that occurs nowhere have no occurrence and drop out. Prefix
+shingles are joined with the shingles of documents. A shingle's place in its window fixes where the occurrence would
+begin; positional and length bounds drop those that would run over an end of the document, and the words of the
+item-sized window are compared one by one.
+
+One pass reads the documents, whatever the size of the benchmark. It emits only shingles that pass a Bloom filter of all
+items' shingles, of FILTER_BYTES at most, with the words around them: what it lets pass wrongly falls out in the join.
+Texts are told by 128 bits, so equal texts take part once, and nothing but those digests travels for a document that
+shares no shingle with an item.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quernel.llm.common import append_columns
-from quernel.plans.storage import materialize
+from quernel.llm.common import broadcast_if_small
+from quernel.plans.storage import discard, materialize
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20  # of item text sent to executors at once
+SHINGLE = 5
 SHARE = 20  # contaminated from one word in so many on
+FILTER_BYTES = 16 << 20  # of the filter that goes to every task, at most
+HASHES = 3  # bits of a shingle in the filter
+PIECE = 1 << 20  # bytes of text whose words are hashed at once
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words of a text before A-Z are lower-cased
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -36,130 +42,252 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def windows(item: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
-    return [item[i : i + size] for i in range(max(1, len(item) - size + 1))] if item else []
+# --- shingles -------------------------------------------------------------------------------------------------------
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and of its inverse modulo 2**64."""
+    inverse = pow(int(_BASE), -1, 1 << 64)
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class Shingles:
+    """Places and hashes of the words of many texts at once, and of their shingles."""
+
+    def __init__(self):
+        self.up, self.down = _powers(PIECE + 1)
+
+    def read(self, texts: list[bytes]) -> None:
+        """Words of ``texts`` (normalised bytes): where they begin and end, which text has them, and their hashes."""
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        self.raw = b" ".join(texts) + b" "
+        self.borders = np.concatenate([[0], np.cumsum(sizes)])
+        every = np.frombuffer(self.raw, np.uint8)
+        letter = every != 32
+        edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+        self.begin, self.end = edge[::2], edge[1::2]
+        self.hash = np.empty(len(self.begin), np.uint64)
+        first = 0
+        while first < len(self.begin):
+            at = int(self.begin[first])
+            last = max(first + 1, int(np.searchsorted(self.end, at + PIECE, "right")))
+            stop = int(self.end[last - 1])
+            if stop - at > PIECE:  # one word longer than a piece
+                self.up, self.down = _powers(stop - at + 1)
+            value = (every[at:stop].astype(np.uint64) + np.uint64(1)) * self.up[: stop - at]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+            b, e = self.begin[first:last] - at, self.end[first:last] - at
+            self.hash[first:last] = _mix((total[e] - total[b]) * self.down[b])
+            first = last
+        self.text = np.searchsorted(self.borders, self.begin, "right") - 1
+        self.first = np.searchsorted(self.begin, self.borders)  # first word of each text, and the number of words
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, whether all words are of one text) of the ``size`` words from each word on."""
+        n = len(self.hash) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        out = np.full(n, np.uint64(size), np.uint64)
+        for k in range(size):
+            out = (out + self.hash[k : k + n]) * np.uint64(0x94D049BB133111EB + 2 * k)
+        return _mix(out), self.text[:n] == self.text[size - 1 :]
+
+
+def window_rows(item: str | None, text: str | None, window: int, shingle: int, shingles: Shingles) -> list[tuple]:
+    """(item, words, n, size, hashes) of the distinct windows of an item; ``size`` words are one shingle."""
+    ws = words(text)
+    if not ws:
+        return []
+    n = min(window, len(ws))
+    size = min(shingle, n)
+    shingles.read([b" ".join(ws)])
+    hashes = shingles.of(size)[0].view(np.int64).tolist()
+    made = {}
+    for i in range(len(ws) - n + 1):
+        key = b" ".join(ws[i : i + n])
+        if key not in made:
+            made[key] = (item, key.decode("utf-8", "surrogatepass"), n, size, hashes[i : i + n - size + 1])
+    return list(made.values())
+
+
+def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(item, words, n, size, hashes, w1, w2): distinct windows of every item; w1 and w2 tell a window's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = window_rows(i, t, window, shingle, shingles)
+                for k in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k_) for c, k_ in zip(zip(*rows[k : k + 4096]), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["item", "words", "n", "size", "hashes"])
+
+    known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+    found = known.mapInArrow(run, "item string, words string, n int, size int, hashes array<long>")
+    return found.withColumns({"w1": F.xxhash64("words"), "w2": F.xxhash64(F.lit(1), "words")})
+
+
+# --- filter ---------------------------------------------------------------------------------------------------------
 
 
-def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes], text: str = "text") -> dict[bytes, int]:
-    """In how many documents each word of ``vocabulary`` occurs; counted before the shuffle, one row a word and task."""
+def _bit(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return _mix(h + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1)) & np.uint64(bits - 1)
+
+
+def bloom_filter(hashes: DataFrame, most_bytes: int = FILTER_BYTES) -> np.ndarray:
+    """A Bloom filter of the column ``h``, 64 bits a word: about 32 bits a shingle, ``most_bytes`` at most.
+
+    Built by the executors; the driver gets the words that are not 0.
+    """
+    number = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    bits = 1 << max(10, min((most_bytes * 8).bit_length() - 1, (32 * max(1, number)).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        own = np.zeros(bits // 64, np.uint64)
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(vocabulary.intersection(words(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in rows}
-
-
-@dataclass
-class Index:
-    """Windows of a block of items, as numbers: words of all items one after another, windows sorted by prefix word."""
-
-    names: list[str]  # ids of the items
-    numbers: dict[bytes, int]  # of words
-    words: array  # numbers of the words of all items
-    spans: dict[bytes, tuple[int, int]]  # by prefix word: its windows
-    begin: array  # of a window in ``words``
-    length: array
-    at: array  # place of the prefix word in the window
-    item: array
-
-    def find(self, ws: list[bytes]) -> tuple[set[int], set[str]]:
-        """Places of the words in occurrences of windows, and the items of those windows."""
-        hit: set[int] = set()
-        by: set[str] = set()
-        if not self.spans or self.spans.keys().isdisjoint(ws):
-            return hit, by
-        number, span = self.numbers.get, self.spans.get
-        own = array("i", [number(w, -1) for w in ws])
-        for q, w in enumerate(ws):
-            for k in range(*found) if (found := span(w)) else ():
-                first, n, begin = q - self.at[k], self.length[k], self.begin[k]
-                if first >= 0 and first + n <= len(own) and own[first : first + n] == self.words[begin : begin + n]:
-                    hit.update(range(first, first + n))
-                    by.add(self.names[self.item[k]])
-        return hit, by
-
-
-def build_index(items: list[tuple[str, list[bytes]]], frequency: dict[bytes, int], size: int = WINDOW) -> Index:
-    """Windows of ``items`` (id, words); those that an item repeats stand once."""
-    numbers: dict[bytes, int] = {}
-    flat, prefix = array("i"), array("i")
-    columns = [array("i") for _ in range(4)]
-    for k, (_, ws) in enumerate(items):
-        offset, made = len(flat), set()
-        flat.extend(numbers.setdefault(w, len(numbers)) for w in ws)
-        for first, window in enumerate(windows(ws, size)):
-            n = len(window)
-            key = flat[offset + first : offset + first + n].tobytes()
-            if key not in made:
-                made.add(key)
-                at = min(range(n), key=lambda i: (frequency.get(window[i], 0), window[i]))  # noqa: B023
-                prefix.append(numbers[window[at]])
-                for column, value in zip(columns, (offset + first, n, at, k)):
-                    column.append(value)
-    order = np.argsort(np.array(prefix, np.int32), kind="stable")
-    sorted_prefix = np.array(prefix, np.int32)[order]
-    values, starts = np.unique(sorted_prefix, return_index=True)
-    spelled = list(numbers)
-    ends = [*starts[1:].tolist(), len(order)]
-    spans = {spelled[v]: (a, b) for v, a, b in zip(values.tolist(), starts.tolist(), ends)}
-    return Index([name for name, _ in items], numbers, flat, spans, *(array("i", np.array(c, np.int32)[order].tobytes()) for c in columns))
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """Item texts by blocks of about ``block_bytes`` (one item at least)."""
-    known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    total = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        yield [(r["item"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
-
-
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            for k in range(HASHES):
+                at = _bit(h, k, bits)
+                np.bitwise_or.at(own, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        place = np.flatnonzero(own)
+        for i in range(0, len(place), 1 << 16):
+            part = place[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part].view(np.int64))], names=["place", "word"])
+
+    out = np.zeros(bits // 64, np.uint64)
+    rows = hashes.select("h").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word"))
+    found = rows.toArrow()
+    out[found.column("place").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(h: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    out = np.arange(len(h))
+    for k in range(HASHES):
+        at = _bit(h[out], k, 64 * len(bloom))
+        out = out[(bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+    return out
+
+
+# --- join -----------------------------------------------------------------------------------------------------------
+
+
+def _digest(text: str) -> dict[str, Column]:
+    return {"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)}
+
+
+_MATCH = "t1 long, t2 long, total int, h long, size int, place int, before int, words string"
+
+
+def _scan(bloom: np.ndarray, sizes: list[int], window: int):
+    """Batches of (t1, t2, text) to the shingles that pass the filter, with the words that a window around one can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for batch in batches:
+            done = 0
+            while done < batch.num_rows:
+                # texts of some megabytes at once, one at least
+                texts, held = [], 0
+                while done + len(texts) < batch.num_rows and len(texts) < 256 and held < 4 << 20:
+                    texts.append(batch.column(2)[done + len(texts)].as_py().encode("utf-8", "surrogatepass").translate(_WORDS))
+                    held += len(texts[-1])
+                shingles.read(texts)
+                for size in sizes:
+                    h, whole = shingles.of(size)
+                    found = passes(h, bloom)
+                    found = found[whole[found]]
+                    for i in range(0, len(found), 4096):
+                        at = found[i : i + 4096]
+                        text = shingles.text[at]
+                        low = np.maximum(at - (window - size), shingles.first[text])
+                        high = np.minimum(at + window, shingles.first[text + 1]) - 1
+                        around = [b" ".join(shingles.raw[a:b].split()) for a, b in zip(shingles.begin[low].tolist(), shingles.end[high].tolist())]
+                        rows = pa.array(done + text)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((shingles.first[text + 1] - shingles.first[text]).astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), size, np.int32)),
+                             pa.array((at - shingles.first[text]).astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array([w.decode("utf-8", "surrogatepass") for w in around], pa.string())],
+                            names=["t1", "t2", "total", "h", "size", "place", "before", "words"],
+                        )
+                done += len(texts)
+
+    return run
+
+
+def occurrences(docs: DataFrame, found: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """(t1, t2, total, w1, w2, first, n): where windows of ``found`` (see ``windows``, a written table) occur in texts of ``docs`` of ``total`` words."""
+    spark = docs.sparkSession
+    sizes = sorted(r[0] for r in found.select("size").distinct().collect())  # SHINGLE values at most
+    schema = "t1 long, t2 long, total int, w1 long, w2 long, first int, n int"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    bloom = bloom_filter(found.select(F.explode("hashes").alias("h")))
+    texts = docs.where(F.col(text).isNotNull()).select(*[c.alias(n[1:]) for n, c in _digest(text).items()], text)
+    matches = texts.mapInArrow(_scan(bloom, sizes, window), _MATCH)
+    matches = materialize(matches.dropDuplicates(["t1", "t2", "size", "place"]), "matches")
+    rarity = materialize(matches.groupBy("h", "size").agg(F.count("*").alias("seen")), "rarity")
+    each = found.select("w1", "w2", "words", "n", "size", "hashes").dropDuplicates(["w1", "w2"])
+    shingled = each.select("w1", "w2", "n", "size", F.size("hashes").alias("shingles"), F.posexplode("hashes").alias("offset", "h"))
+    ordered = shingled.join(broadcast_if_small(rarity), ["h", "size"])
+    # windows all of whose shingles occur; of those the rarest is the prefix
+    prefix = ordered.groupBy("w1", "w2").agg(F.count("*").alias("of"), F.first("shingles").alias("shingles"), F.min(F.struct("seen", "offset", "h")).alias("p"))
+    prefix = prefix.where("of = shingles").select("w1", "w2", "p.h", "p.offset")
+    prefix = materialize(prefix.join(each.select("w1", "w2", "n", "size", F.col("words").alias("wanted")), ["w1", "w2"]), "prefixes")
+    met = matches.join(broadcast_if_small(prefix), ["h", "size"])
+    held = F.split("words", " ")
+    inside = (F.col("place") >= F.col("offset")) & (F.col("place") - F.col("offset") + F.col("n") <= F.col("total"))
+    same = F.array_join(F.slice(held, F.col("before") - F.col("offset") + 1, F.col("n")), " ") == F.col("wanted")
+    out = met.where(inside).where(same).select("t1", "t2", "total", "w1", "w2", (F.col("place") - F.col("offset")).alias("first"), "n")
+    out = materialize(out, "occurrences")
+    for old in (matches, rarity, prefix):
+        discard(old)
+    return out
+
+
+def text_hits(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(t1, t2, total, n_hit, items) of every text with an occurrence; a written table of one row a text."""
+    found = materialize(windows(items, window, shingle), "windows")
+    hits = occurrences(docs, found, text, window)
+    spans = hits.groupBy("t1", "t2", "total", "first").agg((F.col("first") + F.max("n")).alias("stop"))
+    order = Window.partitionBy("t1", "t2").orderBy("first")
+    reached = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = spans.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest("first", reached)))
+    counts = new.groupBy("t1", "t2", "total").agg(F.sum("new").alias("n_hit"))
+    owners = found.select("w1", "w2", "item").distinct()
+    named = hits.select("t1", "t2", "w1", "w2").distinct().join(broadcast_if_small(owners), ["w1", "w2"])
+    names = named.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return materialize(counts.join(names, ["t1", "t2"]), "hits")
+
+
+def count_words(text: str = "text") -> Column:
+    """Words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(_JVM_WORD)), F.lit(0)).cast("long")
+
+
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """Append n_words, n_hit, n_items, items (their ids as sorted strings) and contaminated to every row of ``docs``.
 
     A word is hit if it lies in an occurrence of a window; a document is contaminated if n_hit > 0 and
     ``SHARE`` * n_hit >= n_words. Null and wordless texts have no words and no hits; items without id, text or words
     have no windows; without items nothing is hit. Repeated documents come out each; repeated items count once by id.
-    Columns of the five names that ``docs`` has already are replaced.
+    Columns of the five names that ``docs`` has already are replaced; all others stay, whatever their names.
     """
-    out = docs
-    hits, found = [], []
-    for k, block in enumerate(_blocks(items, block_bytes)):
-        known = [(item, words(t)) for item, t in block]
-        vocabulary = frozenset(w for _, ws in known for w in ws)
-        frequency = document_frequency(docs, vocabulary, text) if vocabulary else {}
-        index = build_index(known, frequency, size)
-
-        def start(index=index):
-            def work(texts):
-                counts, places, names = [], [], []
-                for t in texts:
-                    ws = words(t)
-                    hit, by = index.find(ws)
-                    counts.append(len(ws))
-                    places.append(sorted(hit))
-                    names.append(sorted(by))
-                return counts, places, names
-
-            return work
-
-        if k:
-            out = materialize(out, "contamination")
-        fields = [T.StructField("n_words", T.LongType()), T.StructField(f"_hit_{k}", T.ArrayType(T.IntegerType())), T.StructField(f"_items_{k}", T.ArrayType(T.StringType()))]
-        hits.append(f"_hit_{k}")
-        found.append(f"_items_{k}")
-        out = append_columns(out, start, fields, text)
-    if not keep_text:
-        out = out.drop(text)
-    whole = lambda names: F.col(names[0]) if len(names) == 1 else F.array_distinct(F.flatten(F.array(*names)))
-    out = out.withColumns({"n_hit": F.size(whole(hits)).cast("long"), "items": F.array_sort(whole(found))})
-    out = out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))})
-    return out.drop(*hits, *found)
+    new = {"n_words", "n_hit", "n_items", "items", "contaminated"}
+    hits = text_hits(docs, items, text, size)
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in new and (keep_text or c != text)])
+    marked = docs.select(row.alias("_row"), count_words(text).alias("n_words"), *[c.alias(n) for n, c in _digest(text).items()])
+    hits = broadcast_if_small(hits.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "n_hit", "items"))
+    out = marked.join(hits, ["_t1", "_t2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("_row.*", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), ((n_hit > 0) & (n_hit * SHARE >= F.col("n_words"))).alias("contaminated"))
 
 
 def digest(items: str = "items"):
@@ -168,7 +296,11 @@ def digest(items: str = "items"):
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents, with its own columns."""
-    kept = [c for c in docs.columns]
-    marked = contamination(docs.withColumn("_row", F.struct(*kept)).select("_row", F.col("text").alias("_text")), items, text="_text")
-    return marked.where("not contaminated").select("_row.*")
+    """``docs`` without contaminated documents, with its own columns.
+
+    A text decides for all rows that have it. Null and wordless texts stay, as does everything without items.
+    """
+    hits = text_hits(docs, items)
+    bad = hits.where(F.col("n_hit") * SHARE >= F.col("total")).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in _digest("text").items()])
+    return rows.join(broadcast_if_small(bad), ["_t1", "_t2"], "left_anti").select("_row.*")

@@ -322,11 +322,13 @@ def brute_contamination(text, items):
     return len(ws), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(ws)
 
 
-@pytest.mark.parametrize("block", [contamination.BLOCK_BYTES, 150])
-def test_contamination_agrees_with_brute_force(spark, block):
+@pytest.mark.parametrize("small", [1 << 25, 0])
+def test_contamination_agrees_with_brute_force(spark, small, monkeypatch):
+    """With side tables sent to all executors, and with shuffled joins."""
+    monkeypatch.setattr(common.broadcast_if_small, "__defaults__", (small,))
     rng = random.Random(6)
-    items = [(i, prose(i, rng.choice([3, 12, 13, 14, 40]))) for i in range(12)] + [(12, "Ünï-Çödé 7"), (12, prose(3, 20)), (13, "the"), (14, ""), (100, None), (None, "the of")]
-    texts = [None, "", "...", "THE", "xünï çödé 7", "a ünï çödé 7 b"]
+    items = [(i, prose(i, rng.choice([3, 12, 13, 14, 40]))) for i in range(12)] + [(12, "Ünï-Çödé 7"), (12, prose(3, 20)), (13, "the"), (14, ""), (15, "the the the the"), (16, "of " * 30), (17, "to and of in"), (100, None), (None, "the of")]
+    texts = [None, "", "...", "THE", "the " * 40, "Of of " * 12 + "of", "of " * 12 + "and " + "of " * 20, "and to and of in in to and of", "xünï çödé 7", "a ünï çödé 7 b"]
     for k in range(60):
         t = prose(500 + k, rng.randint(1, 200))
         if k % 2:
@@ -338,7 +340,7 @@ def test_contamination_agrees_with_brute_force(spark, block):
         texts.append(t)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    marked = contamination.contamination(docs, bench, block_bytes=block).withColumn("items_sha256", contamination.digest())
+    marked = contamination.contamination(docs, bench).withColumn("items_sha256", contamination.digest())
     for r in marked.collect():
         want = brute_contamination(r["text"], [x for x in items if x[0] is not None])
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want
