@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quernel.llm.common import broadcast_if_small
+from quernel.llm.common import append_columns, broadcast_if_small
 from quernel.plans.storage import discard, materialize
 
 WINDOW = 13
@@ -33,7 +34,6 @@ FILTER_BYTES = 16 << 20  # of the filter that goes to every task, at most
 HASHES = 3  # bits of a shingle in the filter
 PIECE = 1 << 20  # bytes of text whose words are hashed at once
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_JVM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # words of a text before A-Z are lower-cased
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -266,11 +266,6 @@ def text_hits(docs: DataFrame, items: DataFrame, text: str = "text", window: int
     return materialize(counts.join(names, ["t1", "t2"]), "hits")
 
 
-def count_words(text: str = "text") -> Column:
-    """Words of a text, 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(_JVM_WORD)), F.lit(0)).cast("long")
-
-
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", size: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """Append n_words, n_hit, n_items, items (their ids as sorted strings) and contaminated to every row of ``docs``.
 
@@ -282,7 +277,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", size: i
     new = {"n_words", "n_hit", "n_items", "items", "contaminated"}
     hits = text_hits(docs, items, text, size)
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in new and (keep_text or c != text)])
-    marked = docs.select(row.alias("_row"), count_words(text).alias("n_words"), *[c.alias(n) for n, c in _digest(text).items()])
+    marked = docs.select(row.alias("_row"), docs[f"`{text}`"].alias("_text"), *[c.alias(n) for n, c in _digest(text).items()])
+    count = lambda: lambda texts: ([len(words(t)) for t in texts],)
+    marked = append_columns(marked, count, [T.StructField("n_words", T.LongType())], "_text", keep_source=False)
     hits = broadcast_if_small(hits.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "n_hit", "items"))
     out = marked.join(hits, ["_t1", "_t2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
