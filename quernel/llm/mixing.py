@@ -7,22 +7,26 @@ token, scaled; documents are sampled by a hash of their id against it, so a samp
 The sample has a stated share of all tokens, whatever the rarest cell. No cell can give more than all its tokens: that
 is its cap, raking holds every weight under it, and what a cell or a value cannot give is raked over the others.
 
-Everything is a DataFrame operation. Raking works on the cells alone, not on documents: three windows an iteration over
-a table with one row a cell.
+Everything is a DataFrame operation. Raking works on the cells alone, not on documents, and needs sums by margin only:
+windows in one partition up to SMALL cells, aggregations and joins beyond. Totals are single numbers.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.common import broadcast_if_small
 from quernel.plans.storage import discard, materialize
 
 ALPHA = 0.7  # exponent that tempers the observed shares to default targets
 KEEP = 0.5  # share of all tokens that a sample has without a budget
 TOLERANCE = 1e-6
-ROUNDS, STEPS = 12, 4  # at most, and iterations of a round; rounds are written tables
-SMALL = 100_000  # cells up to which raking stays in one partition
+ROUNDS, STEPS = 24, 4  # at most, and iterations of a round; rounds are written tables
+STALLED = 0.99  # share of the gap before, over which a round has not helped: the targets contradict each other
+SMALL = 100_000  # cells up to which sums by margin are windows in one partition
 MARGINS = ("source", "lang", "topic")
 SEED = 11
 
@@ -54,78 +58,90 @@ def cells(docs: DataFrame) -> DataFrame:
 def tempered(cell_tokens: DataFrame, margin: str, alpha: float = ALPHA) -> DataFrame:
     """Target shares (value, share) of a margin: observed shares to the power ``alpha``, scaled to sum to 1."""
     by = cell_tokens.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("tokens"), alpha).alias("power"))
-    total = by.agg(F.sum("power").alias("total"))
-    return by.join(F.broadcast(total)).select("value", (F.col("power") / F.col("total")).alias("share"))
+    total = by.agg(F.sum("power")).first()[0]
+    return by.select("value", (F.col("power") / F.lit(total)).alias("share"))
+
+
+def _with_sums(cells: DataFrame, margin: str, sums: dict[str, Column], small: bool, written: list[DataFrame]) -> DataFrame:
+    """``cells`` with sums over the cells of the same value of ``margin``; tables that it writes are added to ``written``."""
+    if small:
+        return cells.withColumns({k: F.sum(c).over(Window.partitionBy(margin)) for k, c in sums.items()})
+    # both sides read the cells: written first, or plans would double with every margin
+    cells = materialize(cells, "cells")
+    written.append(cells)
+    return cells.join(cells.groupBy(margin).agg(*[F.sum(c).alias(k) for k, c in sums.items()]), margin)
 
 
-def _fill(raw: str, cap: str, target: Column, by: list[Column | str], reached: Column | None = None) -> Column:
-    """What a row asks the factor to be for which least(cap, factor * raw) sums to ``target`` over the rows of equal ``by``.
+def _goals(cells: DataFrame, margin: str, shares: DataFrame, capped: bool) -> DataFrame:
+    """(margin, to_margin): what the weights of each value are to sum to; 1 in all, and none over its caps.
 
-    A row asks as if all rows before it, in the order in which a growing factor reaches the caps, were at their caps and
-    no other; the factor is the largest that any asks for. Where all caps are under the target it puts all at their caps.
+    Values without a target keep their share; a target of values without cells is spread over the others, as is what
+    is over the caps: the factor for it follows from the values over their caps at the factor before, and only grows.
     """
-    reached = F.when(F.col(raw) > 0, F.col(cap) / F.col(raw)).otherwise(float("inf")) if reached is None else reached
-    up = Window.partitionBy(*by).orderBy(reached, *MARGINS).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*by).orderBy(reached.desc(), *[F.desc(m) for m in MARGINS]).rowsBetween(Window.unboundedPreceding, 0)
-    rest = F.sum(raw).over(down)
-    return F.when(rest > 0, (target - F.coalesce(F.sum(cap).over(up), F.lit(0.0))) / rest)
+    goal = f"to_{margin}"
+    by = cells.groupBy(margin).agg(F.sum("raw").alias("own"), F.sum("cap").alias("most"))
+    by = by.join(shares.select(F.col("value").alias(margin), "share"), margin, "left")
+    by = materialize(by.select(margin, "most", F.coalesce("share", "own").alias("wanted")), "goals")
+    factor = 1 / (by.agg(F.sum("wanted")).first()[0] or 1)
+    while capped:
+        over = F.col("wanted") * factor >= F.col("most")
+        held, free = by.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("wanted"))), F.lit(0.0))).first()
+        following = (1 - held) / free if free > 0 else factor
+        if following <= factor * (1 + 1e-12):
+            break
+        factor = following
+    wanted = F.col("wanted") * factor
+    return by.select(margin, (F.least("most", wanted) if capped else wanted).alias(goal))
 
 
-def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, steps: int = STEPS, keep: float | None = None) -> DataFrame:
-    """``cell_tokens`` with ``weight``, whose margins agree with ``targets`` (value, share) by name of the margin.
+def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS, steps: int = STEPS, keep: float | None = None, strict: bool = False) -> DataFrame:
+    """``cell_tokens`` with ``weight``, whose margins agree with ``targets`` (value, share) by name of the margin, and ``margin_gap``.
 
-    Stops when no margin is off by over ``tolerance``, or after ``rounds`` times ``steps`` iterations (targets may
-    contradict each other where cells are missing). Values without a target keep the share they have among all; a
-    target of values without cells is spread over the others. With ``keep``, a share of all tokens up to 1, no weight is
-    over what its cell's tokens are of that many; targets over what a value's cells can give are spread over the others.
+    Stops when no margin is off by over ``tolerance``, when a round brings the margins no nearer (targets may contradict
+    each other where cells are missing or small), or after ``rounds`` times ``steps`` iterations: ``margin_gap`` is how far the worst margin is off, in every row; a
+    gap over the tolerance is warned of, or with ``strict`` an error. Values without a target keep the share they have
+    among all; a target of values without cells is spread over the others. With ``keep``, a share of all tokens up to 1,
+    no weight is over what its cell's tokens are of that many; targets over what a value's cells can give are spread
+    over the others. Without cells there are no weights.
     """
-    out = cell_tokens
-    for name in targets:
-        shares = targets[name].select(F.col("value").alias(name), F.col("share").alias(f"to_{name}"))
-        out = out.join(shares, name, "left")
-    everything = Window.partitionBy(F.lit(1))
-    small = cell_tokens.count() <= SMALL
-    out = out.coalesce(1) if small else out
-    out = out.withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything))
+    count, total = cell_tokens.agg(F.count("*"), F.sum("tokens")).first()
+    if not count:
+        return cell_tokens.withColumns({"weight": F.lit(0.0), "margin_gap": F.lit(0.0)})
+    small = count <= SMALL
+    together = (lambda d: d.coalesce(1)) if small else (lambda d: d)
+    capped = keep is not None
+    own = F.col("tokens") / F.lit(float(total))
+    out = cell_tokens.withColumns({"raw": own, "cap": own / F.lit(float(keep)) if capped else F.lit(float("inf"))})
     for name in targets:
-        own = Window.partitionBy(name)
-        out = out.withColumn(f"to_{name}", F.coalesce(f"to_{name}", F.sum("weight").over(own)))
-        # shares are made to sum to 1 over the values that have cells
-        first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINS)) == 1
-        out = out.withColumn("_one", F.when(first, F.col(f"to_{name}")).otherwise(0.0))
-        out = out.withColumn(f"to_{name}", F.col(f"to_{name}") / F.sum("_one").over(everything)).drop("_one")
-    if keep is not None:
-        out = out.withColumn("raw", F.col("weight")).withColumn("cap", F.col("weight") / F.lit(float(keep)))
-        for name in targets:
-            first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINS)) == 1
-            out = out.withColumn("_most", F.sum("cap").over(Window.partitionBy(name)))
-            # of the rows of a value one counts
-            out = out.withColumns({"_one": F.when(first, F.col(f"to_{name}")).otherwise(0.0), "_cap": F.when(first, F.col("_most")).otherwise(0.0)})
-            reached = F.when(F.col(f"to_{name}") > 0, F.col("_most") / F.col(f"to_{name}")).otherwise(float("inf"))
-            out = out.withColumn("_factor", _fill("_one", "_cap", F.lit(1.0), [F.lit(1)], reached))
-            out = out.withColumn(f"to_{name}", F.least("_most", F.col(f"to_{name}") * F.coalesce(F.max("_factor").over(everything), F.lit(1.0))))
-            out = out.drop("_most", "_one", "_cap", "_factor")
+        out = out.join(broadcast_if_small(_goals(out, name, targets[name], capped)), name)
     out = materialize(out, "cells")
+    weight = F.least("raw", "cap")
+    gap = float("inf")
     for _ in range(rounds):
-        step = out.coalesce(1) if small else out
+        step, written = together(out), [out]
         for _ in range(steps):
             for name in targets:
-                if keep is not None:
-                    step = step.withColumn("_factor", _fill("raw", "cap", F.col(f"to_{name}"), [name]))
-                    step = step.withColumn("raw", F.col("raw") * F.coalesce(F.max("_factor").over(Window.partitionBy(name)), F.lit(1.0)))
-                    step = step.withColumn("weight", F.least("cap", "raw")).drop("_factor")
-                    continue
-                sum_ = F.sum("weight").over(Window.partitionBy(name))
-                step = step.withColumn("weight", F.when(sum_ > 0, F.col("weight") * F.col(f"to_{name}") / sum_).otherwise(F.col("weight")))
-        following = materialize(step, "cells")
-        discard(out)
-        out = following
-        checked = out.coalesce(1) if small else out
-        apart = checked.select(*[F.abs(F.sum("weight").over(Window.partitionBy(n)) - F.col(f"to_{n}")).alias(f"off_{n}") for n in targets])
-        worst = apart.agg(F.max(F.greatest(*[F.col(f"off_{n}") for n in targets])) if len(targets) > 1 else F.max(apart.columns[0])).first()[0]
-        if worst is None or worst <= tolerance:
+                at_cap = F.col("raw") >= F.col("cap")
+                step = _with_sums(step, name, {"_held": F.when(at_cap, F.col("cap")).otherwise(0.0), "_free": F.when(at_cap, 0.0).otherwise(F.col("raw"))}, small, written)
+                goal = F.col(f"to_{name}")
+                # what is left for cells under their caps; all shrink where the capped ones alone are too much
+                factor = F.when(F.col("_held") >= goal, goal / (F.col("_held") + F.col("_free"))).when(F.col("_free") > 0, (goal - F.col("_held")) / F.col("_free")).otherwise(1.0)
+                step = step.withColumn("raw", F.when(F.col("_held") >= goal, weight * factor).otherwise(F.col("raw") * F.coalesce(factor, F.lit(1.0)))).drop("_held", "_free")
+        out = materialize(step, "cells")
+        for old in written:
+            discard(old)
+        gaps = []
+        for name in targets:
+            apart = together(out).groupBy(name).agg(F.abs(F.sum(weight) - F.first(f"to_{name}")).alias("off"))
+            gaps.append(apart.agg(F.max("off")).first()[0] or 0.0)
+        before, gap = gap, max(gaps, default=0.0)
+        if gap <= tolerance or gap > STALLED * before:
             break
-    return out.select(*cell_tokens.columns, "weight")
+    if gap > tolerance:
+        if strict:
+            raise ValueError(f"a margin is off its target by {gap}")
+        warnings.warn(f"a margin is off its target by {gap}", stacklevel=2)
+    return out.select(*cell_tokens.columns, weight.alias("weight"), F.lit(float(gap)).alias("margin_gap"))
 
 
 def probabilities(raked: DataFrame, budget: float | None = None, keep: float = KEEP) -> DataFrame:
@@ -137,39 +153,52 @@ def probabilities(raked: DataFrame, budget: float | None = None, keep: float = K
     ratio = F.col("weight") / F.col("tokens")
     if budget is not None:
         return raked.withColumn("rate", ratio * F.lit(float(budget)))
-    total = raked.agg(F.sum("tokens").alias("total"))
-    return raked.join(F.broadcast(total)).withColumn("rate", F.least(F.lit(1.0), ratio * F.col("total") * F.lit(float(keep)))).drop("total")
+    total = raked.agg(F.sum("tokens")).first()[0] or 0.0
+    return raked.withColumn("rate", F.least(F.lit(1.0), ratio * F.lit(float(total) * keep)))
+
+
+#: Columns that a mixture has besides those of its documents.
+_MADE = ("topic", "tokens", "weight", "probability", "copies", "margin_gap")
+
+
+def _mixed(docs: DataFrame, row: Column, targets: dict[str, DataFrame] | None, budget: float | None, alpha: float, seed: int, text: str, keep: float, topic_of: Column | None, strict: bool, write: bool) -> DataFrame:
+    """``row`` of every document as ``_row``, and the columns of _MADE. With ``write`` the rows are written, and texts are read once."""
+    unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    key = F.xxhash64(text, F.lit(seed))
+    if "doc_id" in docs.columns:
+        key = F.when(F.col("doc_id").isNull(), key).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    unit = F.pmod(key, F.lit(1 << 52)) / float(1 << 52)
+    told = F.coalesce(topic_of, F.lit("unknown")) if topic_of is not None else topic(text)
+    marked = docs.select(row.alias("_row"), unknown("source").alias("source"), unknown("lang").alias("lang"), told.alias("topic"), tokens(text).alias("tokens"), unit.alias("unit"))
+    marked = materialize(marked, "marked") if write else marked
+    summed = materialize(cells(marked.select(*MARGINS, "tokens")), "cells")
+    raked = rake(summed, targets or {m: tempered(summed, m, alpha) for m in MARGINS}, keep=keep if budget is None else None, strict=strict)
+    rated = materialize(probabilities(raked, budget, keep).select(*MARGINS, "weight", "margin_gap", "rate"), "rates")
+    joined = marked.join(broadcast_if_small(rated), list(MARGINS), "left")
+    rate = F.when(F.col("tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
+    copies = F.floor(rate) + (F.col("unit") < rate - F.floor(rate)).cast("long")
+    return joined.select("_row", "topic", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), rate.alias("probability"), copies.cast("long").alias("copies"), F.coalesce("margin_gap", F.lit(0.0)).alias("margin_gap"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED, text: str = "text", keep: float = KEEP) -> DataFrame:
-    """``docs`` with topic, tokens, weight (of the cell), probability and copies; existing columns of those names are replaced.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED, text: str = "text", keep: float = KEEP, topic_of: Column | None = None, strict: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` with topic, tokens, weight (of the cell), probability, copies and margin_gap; existing columns of those names are replaced.
 
     copies is the whole part of the expected number, plus one if a hash of doc_id (of the text where the id is null) and
-    ``seed`` lies under the rest. Without ``budget`` it is 0 or 1, and the expected tokens are the share ``keep`` of all. Null sources and languages are ``unknown``. Texts without
-    words have no tokens, no weight and probability 0. Repeated rows share their fate. Empty tables give empty results.
+    ``seed`` lies under the rest. Without ``budget`` it is 0 or 1, and the expected tokens are the share ``keep`` of all.
+    ``topic_of`` is the topic of a row, without it ``topic`` tells a coarse one. Null sources, languages and topics are
+    ``unknown``. Texts without words have no tokens, no weight and probability 0. Repeated rows share their fate. Empty
+    tables give empty results. Other columns stay, whatever their names; without ``keep_text`` the text goes, and the
+    rest is written once.
     """
-    new = {"topic", "tokens", "weight", "probability", "copies"}
-    base = docs.select(*[c for c in docs.columns if c.lower() not in new])
-    unknown = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    key = F.coalesce(F.xxhash64("doc_id", F.lit(seed)), F.lit(0)) if "doc_id" in base.columns else F.xxhash64(text, F.lit(seed))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text, F.lit(seed))).otherwise(key) if "doc_id" in base.columns else key
-    marked = base.withColumns({"topic": topic(text), "tokens": tokens(text), "_source": unknown("source"), "_lang": unknown("lang"), "_unit": F.pmod(key, F.lit(1 << 52)) / float(1 << 52)})
-    facts = marked.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic", "tokens")
-    summed = materialize(cells(facts), "cells")
-    raked = rake(summed, targets or {m: tempered(summed, m, alpha) for m in MARGINS}, keep=keep if budget is None else None)
-    rated = materialize(probabilities(raked, budget, keep), "rates")
-    # one row a cell: sent to every executor where it is small, by adaptive execution, else met by a join
-    rates = rated.select(*[F.col(m).alias(f"_cell_{m}") for m in MARGINS], "weight", "rate")
-    if rated.count() <= SMALL:
-        rates = F.broadcast(rates)
-    on = (F.col("_source") == F.col("_cell_source")) & (F.col("_lang") == F.col("_cell_lang")) & (F.col("topic") == F.col("_cell_topic"))
-    joined = marked.join(rates, on, "left").drop(*[f"_cell_{m}" for m in MARGINS])
-    rate = F.when(F.col("tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
-    copies = F.floor(rate) + (F.col("_unit") < rate - F.floor(rate)).cast("long")
-    return joined.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": rate, "copies": copies.cast("long")}).drop("_source", "_lang", "_unit", "rate")
-
-
-def sample(docs: DataFrame, **settings) -> DataFrame:
-    """The sampled documents with their own columns and probability, repeated by copies."""
-    mixed = mix(docs, **settings).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    kept = [c for c in docs.columns if c.lower() not in _MADE and (keep_text or c != text)]
+    row = F.struct(*[docs[f"`{c}`"] for c in kept])
+    return _mixed(docs, row, targets, budget, alpha, seed, text, keep, topic_of, strict, not keep_text).select("_row.*", *_MADE)
+
+
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float | None = None, alpha: float = ALPHA, seed: int = SEED, text: str = "text", keep: float = KEEP, topic_of: Column | None = None, strict: bool = False) -> DataFrame:
+    """The sampled documents with all their own columns and values, repeated by copies."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    mixed = _mixed(docs, row, targets, budget, alpha, seed, text, keep, topic_of, strict, False).where("copies > 0")
+    if budget is None:  # no row is taken twice
+        return mixed.select("_row.*")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

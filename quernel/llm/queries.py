@@ -42,7 +42,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
-    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "copies")
+    mixed = mixing.mix(docs, keep_text=False)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "copies")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

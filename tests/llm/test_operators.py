@@ -349,7 +349,9 @@ def test_contamination_agrees_with_brute_force(spark, small, monkeypatch):
 # --- 6 --------------------------------------------------------------------------------------------------------------
 
 
-def test_raking_meets_its_margins(spark):
+@pytest.mark.parametrize("small", [mixing.SMALL, 0])
+def test_raking_meets_its_margins(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "SMALL", small)
     rng = random.Random(7)
     rows = [(f"s{i % 5}", f"l{i % 3}", f"t{(i * 7) % 4}", float(rng.randint(10, 10_000)), 1) for i in range(60)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double, documents long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
@@ -395,7 +397,31 @@ def test_a_rare_value_does_not_set_the_size_of_the_sample(spark):
     assert mixed.where("lang is null").first()["probability"] == pytest.approx(1)
 
 
-def test_capped_raking_agrees_with_bisection(spark):
+def test_margins_that_contradict_each_other_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 10.0, 1), ("b", "y", "t", 10.0, 1)], "source string, lang string, topic string, tokens double, documents long")
+    shares = lambda **s: spark.createDataFrame(list(s.items()), "value string, share double")
+    targets = {"source": shares(a=0.9, b=0.1), "lang": shares(x=0.1, y=0.9)}
+    with pytest.warns(UserWarning, match="off its target"):
+        raked = mixing.rake(cells, targets, rounds=2)
+    assert all(r["margin_gap"] > 0.1 for r in raked.collect())
+    with pytest.raises(ValueError, match="off its target"):
+        mixing.rake(cells, targets, rounds=1, strict=True)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = documents(spark, [(i, prose(i, 30), "en", "s", 1) for i in range(40)])
+    clashing = docs.withColumns({"topic": F.lit(7), "rate": F.lit(1), "_unit": F.lit(2), "tokens": F.lit("x"), "a.b": F.lit(3), "unit": F.lit(4), "_row": F.lit(5)})
+    plain = sorted(r["doc_id"] for r in mixing.sample(docs).collect())
+    got = mixing.sample(clashing)
+    assert got.columns == clashing.columns and sorted(r["doc_id"] for r in got.collect()) == plain
+    assert {tuple(r)[5:] for r in got.collect()} == {(7, 1, 2, "x", 3, 4, 5)}
+    mixed = mixing.mix(clashing, topic_of=F.when(F.col("doc_id") < 20, "low"))
+    assert {r["topic"] for r in mixed.collect()} == {"low", "unknown"} and "a.b" in mixed.columns
+
+
+@pytest.mark.parametrize("small", [mixing.SMALL, 0])
+def test_capped_raking_agrees_with_bisection(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "SMALL", small)
     rng = random.Random(3)
     size = {(f"s{i % 5}", f"l{i % 3}", f"t{(i * 7) % 4}"): float(rng.choice([1, 40, 3000, 100_000])) for i in range(60)}
     cells = spark.createDataFrame([(*k, x, 1) for k, x in size.items()], "source string, lang string, topic string, tokens double, documents long")
