@@ -25,7 +25,7 @@ ALPHA = 0.7  # exponent that tempers the observed shares to default targets
 KEEP = 0.5  # share of all tokens that a sample has without a budget
 TOLERANCE = 1e-6
 ROUNDS, STEPS = 24, 4  # at most, and iterations of a round; rounds are written tables
-STALLED = 0.99  # share of the gap before, over which a round has not helped: the targets contradict each other
+STALLED = 0.9999  # share of the gap before, over which a round has not helped: the targets contradict each other
 SMALL = 100_000  # cells up to which sums by margin are windows in one partition
 MARGINS = ("source", "lang", "topic")
 SEED = 11
