@@ -277,7 +277,10 @@ def test_archive_round_trip(spark, odd_dir):
     want = Counter((r["page_id"], (r["html"] or "").encode()) for r in pages.collect())
     got = warc.read_records(spark, path).collect()
     assert Counter((r["page_id"], bytes(r["payload"])) for r in got) == want
-    stored = [bytes(r["payload"]) for r in spark.read.parquet(f"{path}/payloads").collect()]
+    import zstandard
+
+    stored = [zstandard.ZstdDecompressor().decompress(bytes(r["payload"])) for r in spark.read.parquet(f"{path}/payloads").collect()]
+    assert len({bytes(r["record"]).split(b"WARC-Record-ID: <")[1].split(b">")[0] for r in got}) == len(got)
     assert len(stored) == len(set(stored)) == len({p for _, p in want})
     for r in got:
         head, rest = bytes(r["record"]).split(b"\r\n\r\n", 1)
@@ -295,7 +298,10 @@ def test_damaged_archives_are_told(spark, odd_dir, tmp_path):
     path = str(tmp_path / "bad")
     warc.write_archive(spark.read.parquet(f"{odd_dir}/pages.parquet"), path)
     payloads = spark.read.parquet(f"{path}/payloads")
-    payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(f"{path}/other")
+    import zstandard
+
+    other = zstandard.ZstdCompressor().compress(b"other bytes")
+    payloads.withColumn("payload", F.lit(other)).write.parquet(f"{path}/other")
     import shutil
 
     shutil.rmtree(f"{path}/payloads")
