@@ -6,8 +6,8 @@ of them. Near-duplicates differ in 3 bits or fewer.
 Search: a fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two such
 vectors is a lower bound of their Hamming distance, and it is the sum of the distances over groups of segments. At a
 bound of 3, all groups but three have distance 0: the grid is joined on the cells of each choice of all groups but three
-(four groups: each group by itself), within a cell the range of total bit counts (again a lower bound) is searched, and
-pairs in range are verified exactly. More groups make more and finer cells; their number follows from the number of
+(four groups: each group by itself), within a cell the range of total bit counts (again a lower bound) is searched,
+pairs in range are held to the Manhattan distance over all 32 counts, and those within it are verified exactly. More groups make more and finer cells; their number follows from the number of
 fingerprints, and every number of groups finds the same links. Only distinct fingerprints take part. A cell yields its
 partial components, one row per linked fingerprint, never pairs.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.common import append_columns, connected_components, connecting_edges, groups, unite
-from quernel.plans.storage import materialize
+from quernel.plans.storage import discard, materialize
 
 SEED = 42
 WORDS = 3
@@ -101,6 +101,13 @@ def cells(fp: str, count: int, bits: int = BITS) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("cell_group"), counts.bitwiseAND(mask(s)).alias("cell")) for k, s in enumerate(choices(count, bits))])
 
 
+def unary_counts(fp: np.ndarray) -> np.ndarray:
+    """The bit counts of the 32 segments in unary: 0, 1, 2 as 00, 01, 11. Differing bits are the Manhattan distance."""
+    low = np.uint64(0x5555555555555555)
+    even, odd = fp & low, fp >> np.uint64(1) & low
+    return (even | odd) | (even & odd) << np.uint64(1)
+
+
 def _cell_links(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["cell_group", "cell", "tile_a", "tile_b"]):
@@ -111,19 +118,20 @@ def _cell_links(bits: int):
             count = np.bitwise_count(fp)
             order = np.lexsort((fp, count))
             fp, node, block, count = fp[order], node[order], block[order], count[order].astype(np.int64)
+            unary = unary_counts(fp)
             across = block[0] != block[-1] or (block != block[0]).any()
             upto = np.searchsorted(count, count + bits, "right")
             labels = np.arange(len(fp))
             for i in range(0, len(fp), 256):
                 rows = slice(i, min(i + 256, len(fp)))
                 columns = slice(i, int(upto[rows].max()))
-                near = np.bitwise_count(fp[rows, None] ^ fp[None, columns]) <= bits
+                near = np.bitwise_count(unary[rows, None] ^ unary[None, columns]) <= bits
                 if across:
                     near &= block[rows, None] != block[None, columns]
-                a, b = np.nonzero(near)
-                differ = a != b
-                if differ.any():
-                    labels = unite(labels, a[differ] + i, b[differ] + i)
+                a, b = np.nonzero(np.triu(near, 1))
+                linked = np.bitwise_count(fp[a + i] ^ fp[b + i]) <= bits
+                if linked.any():
+                    labels = unite(labels, a[linked] + i, b[linked] + i)
             linked = np.flatnonzero(labels != np.arange(len(fp)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
@@ -174,23 +182,28 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     Of rows of that doc_id in the component one stays, the first by text; rows without a doc_id all stay. Rows that
     repeat a doc_id with unlike texts are each in the component of their own text.
     """
-    marked = materialize(fingerprints(docs.select("doc_id", "text")).where("doc_id is not null"), "near")
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = docs.select(row.alias("_row"), "doc_id", "text")
+    marked = materialize(fingerprints(rows.select("doc_id", "text")).where("doc_id is not null"), "near")
     nodes = materialize(marked.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("fp")).distinct(), "nodes")
     roots = nodes.join(connected_components(links(nodes, bits)), "node", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("root", "node").alias("root"))
     placed = materialize(marked.join(roots, "fingerprint"), "roots")
     # components are told by their fingerprints; of documents, only few ids are in question
     firsts = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("first")), "firsts")
     held = placed.join(firsts, "root")
-    rows = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("first") == F.col("doc_id"))).alias("leads"))
-    fate = materialize(rows.where("n > 1 or not leads").select("doc_id", "leads"), "fate")
-    kept = docs.join(fate, "doc_id", "left_anti")
+    ids = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("first") == F.col("doc_id"))).alias("leads"))
+    fate = materialize(ids.where("n > 1 or not leads").select("doc_id", "leads"), "fate")
+    for old in (marked, nodes):
+        discard(old)
+    kept = rows.join(fate, "doc_id", "left_anti").select("_row.*")
     repeated = fate.where("leads").select("doc_id")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    again = docs.join(repeated, "doc_id", "left_semi")
+        return kept
+    again = rows.join(repeated, "doc_id", "left_semi")
     own = held.join(repeated, "doc_id", "left_semi").where("first = doc_id").select("doc_id", F.col("fingerprint").alias("_fp"), F.col("root").alias("_root")).distinct()
     told = fingerprints(again.select("doc_id", "text").distinct(), keep_text=True).toDF("doc_id", "_text", "_fp")
     told = told.join(own, ["doc_id", "_fp"]).select(F.col("doc_id").alias("_id"), "_text", "_root")
     met = again.join(told, (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")))
-    once = met.groupBy("doc_id", "_root").agg(*[F.min_by(c, F.struct(F.col("text").isNull(), "text")).alias(c) for c in docs.columns if c != "doc_id"])
-    return kept.select(*docs.columns).unionByName(once.select(*docs.columns))
+    # one whole row of each: the first by text, then by a hash of the row
+    once = met.groupBy("doc_id", "_root").agg(F.min_by("_row", F.struct(F.col("text").isNull(), "text", F.xxhash64("_row"))).alias("_row"))
+    return kept.unionByName(once.select("_row.*"))
