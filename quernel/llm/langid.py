@@ -140,7 +140,9 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on about ``per_language`` documents of each language whose id is not held out."""
     known = documents.where(F.col("lang").isNotNull() & (remainder("doc_id", FOLDS) != HELD_OUT))
-    rows = class_sample(known, "lang", "doc_id", per_language).select("text", "lang").collect()
+    rows = class_sample(known.select("doc_id", "text", "lang"), "lang", "doc_id", per_language)
+    # of rows that repeat an id one is taken, so that rows are bounded as ids are
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*").collect()
     return fit(sorted((r["text"] or "", r["lang"]) for r in rows))
 
 
