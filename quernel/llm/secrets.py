@@ -418,22 +418,52 @@ class Tagger:
         stay = model.moves[OUTSIDE][OUTSIDE]
         moves = [x - stay for a, row in enumerate(model.moves) for b, x in enumerate(row) if (a, b) != (OUTSIDE, OUTSIDE)]
         self.least = -2 * max(0.0, *moves, *(s - model.starts[OUTSIDE] for s in model.starts[1:]))
+        self.edge_gain = [self.over(e) for e in self.edge]
+        every = {name for d in self.beside for name in d}
+        gains = {name: [self.over(d[name]) if name in d else 0.0 for d in self.beside] for name in every}
+        self.heard = {name: g for name, g in gains.items() if max(g) > 0}
         self.own: dict[str, list[float]] = {}
         self.gain: dict[str, float] = {}
         self.telling: dict[str, list[float]] = {}
+        self.plain: dict[tuple, tuple[list[float], float]] = {}  # by what the shape of a lower-case word depends on
 
     @staticmethod
     def over(w: list[float]) -> float:
         return max(w[BEGIN], w[INSIDE]) - w[OUTSIDE]
 
     def learn(self, token: str) -> None:
+        n = len(token)
+        if n >= 4 and token.isalpha() and token.islower():
+            key = (n, len(set(token)) // 2, 10 * sum(map(token.count, "aeiouy")) // n, token.isascii())
+            found = self.plain.get(key)
+            if found is None:
+                found = self.plain[key] = self.weigh(token)
+            own, gain = found
+            name = token if n <= 12 else "~"
+        else:
+            own, gain = self.weigh(token)
+            name = word(token)
+        self.own[token], self.gain[token] = own, gain
+        if name in self.heard:
+            self.telling[token] = self.heard[name]
+
+    def weigh(self, token: str) -> tuple[list[float], float]:
         weights = [w for f in [*shape(token), "any"] if (w := self.model.emissions.get(f))]
-        own = self.own[token] = [sum(x) for x in zip([0.0] * 3, *weights)]
-        self.gain[token] = self.over(own)
-        name = word(token)
-        gains = [self.over(d[name]) if name in d else 0.0 for d in self.beside]
-        if max(gains) > 0:
-            self.telling[token] = gains
+        own = [sum(x) for x in zip([0.0] * 3, *weights)]
+        return own, self.over(own)
+
+    def bound(self, i: int, tokens: list[str]) -> float:
+        """No less than the gain of a token in its place, without that of the file."""
+        out = self.gain[tokens[i]]
+        for k, (_, step) in enumerate(_BESIDE):
+            at = i + step
+            if 0 <= at < len(tokens):
+                gains = self.telling.get(tokens[at])
+                if gains:
+                    out += gains[k]
+            else:
+                out += self.edge_gain[k]
+        return out
 
     def emission(self, i: int, tokens: list[str], names: list[str], of_file: list[float]) -> list[float]:
         o, b, s = (x + y for x, y in zip(self.own[tokens[i]], of_file))
@@ -453,7 +483,8 @@ class Tagger:
         of_file = [sum(x) for x in zip([0.0] * 3, *weights)]
         telling, gain = self.telling, self.gain
         told = [telling[t] for t in tokens if t in telling]
-        least = self.least - self.over(of_file) - sum(max([0.0, self.over(e), *(g[k] for g in told)]) for k, e in enumerate(self.edge))
+        lacking = self.least - self.over(of_file)
+        least = lacking - sum(max([0.0, e, *(g[k] for g in told)]) for k, e in enumerate(self.edge_gain))
         likely = {t for t in tokens if gain[t] >= least}
         if not likely:
             return []
@@ -461,8 +492,9 @@ class Tagger:
         for line in text.split("\n"):
             words = _TOKEN.findall(line)
             if not likely.isdisjoint(words):
-                names = [word(t) for t in words]
-                own = {i: self.emission(i, words, names, of_file) for i, t in enumerate(words) if t in likely}
+                open_ = [i for i, t in enumerate(words) if t in likely and self.bound(i, words) >= lacking]
+                names = [word(t) for t in words] if open_ else []
+                own = {i: self.emission(i, words, names, of_file) for i in open_}
                 if any(self.over(e) >= self.least for e in own.values()):
                     places = [m.span() for m in _TOKEN.finditer(line)]
                     emissions = [own.get(i) or self.emission(i, words, names, of_file) for i in range(len(words))]
