@@ -1,8 +1,10 @@
 """Licence scans by sentence rules.
 
-Texts are cut into sentences, and every sentence is normalised (lower case, single blanks, no quotes or list marks) and
-looked up in a table of known licence sentences. The identifiers found, in the order of the text, are then matched
-against rules: ordered lists of identifiers that may stand apart by a bounded number of unknown sentences.
+Texts are cut into sentences, and every sentence is normalised (lower case, single blanks, no quotes, list marks,
+comment marks or addresses) and looked up in a table of known licence sentences. Sentences that grant a licence by its
+name ("this file is released under ...") are one known sentence whatever leads up to the grant. The identifiers found,
+in the order of the text, are then matched against rules: ordered lists of identifiers that may stand apart by a bounded
+number of other sentences.
 """
 
 from __future__ import annotations
@@ -17,87 +19,176 @@ from quernel.llm.common import append_columns
 
 # Sentences of well-known licences, after normalisation without final stop.
 SENTENCES = {
-    "apache-licensed": "licensed under the apache license, version 2.0",
-    "apache-grant": 'licensed under the apache license, version 2.0 (the license)',
+    "apache-grant": "licensed under the apache license, version 2.0 (the license)",
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
     "apache-as-is": "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
-    "mit-released": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
     "mit-grant": "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement",
-    "gpl3-work": "this work is licensed under the gnu general public license, version 3",
     "gpl-free": "this program is free software",
+    "lgpl-free": "this library is free software",
     "gpl2-terms": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version",
     "gpl3-terms": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version",
+    "gpl3-terms-2": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 3 of the license, or (at your option) any later version",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl2-only-2": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; version 2 of the license",
+    "gpl3-only": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, version 3 of the license",
+    "lgpl2-terms": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version",
+    "lgpl3-terms-2": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 3 of the license, or (at your option) any later version",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "agpl-see": "see the gnu affero general public license for more details",
     "bsd-grant": "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "mpl-subject": "this source code form is subject to the terms of the mozilla public license, v. 2.0",
     "mpl-obtain": "if a copy of the mpl was not distributed with this file, you can obtain one at",
-    "cc-by-nc": "licensed under cc by-nc 4.0",
-    "cc-by": "licensed under cc by 4.0",
-    "cc-by-sa": "licensed under cc by-sa 4.0",
-    "cc0": "licensed under cc0 1.0",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at",
+    "epl2-terms-2": "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which accompanies this distribution, and is available at",
+    "zlib-as-is": "this software is provided as-is, without any express or implied warranty",
+    "zlib-event": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-grant": "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the software) to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following",
     "isc-grant": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-grant": "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "unlicense": "this is free and unencumbered software released into the public domain",
-    "spdx-mit": "spdx-license-identifier: mit",
-    "spdx-apache": "spdx-license-identifier: apache-2.0",
+    "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
 }
 # Licence, ordered sentences that all occur.
 RULES = [
     ("Apache-2.0", ["apache-grant", "apache-comply", "apache-copy", "apache-as-is", "apache-see"]),
-    ("Apache-2.0", ["apache-licensed"]),
     ("Apache-2.0", ["apache-grant"]),
-    ("Apache-2.0", ["spdx-apache"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
-    ("MIT", ["mit-released"]),
-    ("MIT", ["mit-licensed"]),
-    ("MIT", ["spdx-mit"]),
-    ("GPL-3.0", ["gpl3-work"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms", "gpl-hope", "gpl-see"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms-2", "gpl-hope", "gpl-see"]),
+    ("GPL-3.0-only", ["gpl-free", "gpl3-only", "gpl-hope", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms", "gpl-hope", "gpl-see"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-only"]),
+    ("GPL-2.0-only", ["gpl-free", "gpl2-only-2"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl2-terms", "lgpl-hope", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-terms", "lgpl-hope", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl3-terms-2", "lgpl-hope", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl3-terms", "gpl-hope", "lgpl-see"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl3-terms", "gpl-hope", "agpl-see"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MPL-2.0", ["mpl-subject", "mpl-obtain"]),
-    ("CC-BY-NC-4.0", ["cc-by-nc"]),
-    ("CC-BY-4.0", ["cc-by"]),
-    ("CC-BY-SA-4.0", ["cc-by-sa"]),
-    ("CC0-1.0", ["cc0"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("EPL-2.0", ["epl2-terms-2"]),
+    ("Zlib", ["zlib-as-is", "zlib-event", "zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
     ("Unlicense", ["unlicense"]),
+    ("WTFPL", ["wtfpl"]),
 ]
+# Names by which grants call licences, normalised, without "the" before and "license" after them.
+NAMES = {
+    "MIT": ["mit", "expat", "mit/x11", "x11"],
+    "Apache-2.0": ["apache license, version 2.0", "apache license version 2.0", "apache license 2.0", "apache license, version 2", "apache license v2.0", "apache 2.0", "apache 2", "apache-2.0", "apache software license 2.0", "asl 2.0"],
+    "GPL-3.0": ["gnu general public license, version 3", "gnu general public license version 3", "gnu general public license v3", "gnu general public license v3.0", "gnu gpl v3", "gnu gpl version 3", "gpl v3", "gplv3", "gpl-3.0", "gpl 3", "gpl version 3"],
+    "GPL-2.0": ["gnu general public license, version 2", "gnu general public license version 2", "gnu general public license v2", "gnu general public license v2.0", "gnu gpl v2", "gnu gpl version 2", "gpl v2", "gplv2", "gpl-2.0", "gpl 2", "gpl version 2"],
+    "LGPL-3.0": ["gnu lesser general public license, version 3", "gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl v3", "lgpl v3", "lgplv3", "lgpl-3.0"],
+    "LGPL-2.1": ["gnu lesser general public license, version 2.1", "gnu lesser general public license version 2.1", "gnu lesser general public license v2.1", "gnu lgpl v2.1", "lgpl v2.1", "lgplv2.1", "lgpl-2.1"],
+    "AGPL-3.0": ["gnu affero general public license, version 3", "gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl v3", "agpl v3", "agplv3", "agpl-3.0"],
+    "BSD-3-Clause": ["bsd 3-clause", "3-clause bsd", "bsd-3-clause", "new bsd", "modified bsd", "three-clause bsd"],
+    "BSD-2-Clause": ["bsd 2-clause", "2-clause bsd", "bsd-2-clause", "simplified bsd", "two-clause bsd"],
+    "MPL-2.0": ["mozilla public license, version 2.0", "mozilla public license version 2.0", "mozilla public license 2.0", "mozilla public license, v. 2.0", "mozilla public license v2.0", "mpl 2.0", "mpl-2.0", "mpl v2"],
+    "EPL-2.0": ["eclipse public license, version 2.0", "eclipse public license version 2.0", "eclipse public license 2.0", "eclipse public license v2.0", "eclipse public license - v 2.0", "epl 2.0", "epl-2.0"],
+    "BSL-1.0": ["boost software license, version 1.0", "boost software license version 1.0", "boost software license 1.0", "boost software", "bsl-1.0"],
+    "ISC": ["isc"],
+    "Zlib": ["zlib", "zlib/libpng"],
+    "0BSD": ["0bsd", "zero-clause bsd", "bsd zero clause"],
+    "Unlicense": ["unlicense"],
+    "WTFPL": ["wtfpl", "do what the fuck you want to public"],
+    "CC0-1.0": ["cc0 1.0", "cc0", "cc0-1.0", "cc0 1.0 universal", "creative commons zero", "creative commons zero v1.0 universal", "creative commons cc0 1.0 universal"],
+}
+# Parts of the names of Creative Commons licences.
+_CC_PARTS = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
+_CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
+_CC_VERSIONS = ("4.0", "3.0", "2.0")
+
+
+def licence_names() -> dict[str, str]:
+    """Licence by name, with the names of Creative Commons licences made from their parts."""
+    out = {name: licence for licence, names in NAMES.items() for name in names}
+    for kind in _CC_KINDS:
+        parts = [_CC_PARTS[p] for p in kind.split("-")]
+        for version in _CC_VERSIONS:
+            short, licence = f"cc {kind} {version}", f"CC-{kind.upper()}-{version}"
+            for name in (short, f"cc-{kind} {version}", f"cc-{kind}-{version}", f"creative commons {kind} {version}"):
+                out[name] = licence
+            for joined in {"-".join(parts), " ".join(parts), "-".join(p.replace("non", "non-", 1).replace("noderiv", "no-deriv").replace("sharealike", "share-alike").replace("nonno-", "nonno") for p in parts)}:
+                for tail in (f"{version}", f"{version} international", f"{version} unported", f"{version} international ({short})"):
+                    out[f"creative commons {joined} {tail}"] = licence
+    return out
+
+
 GAP = 6  # unknown or other sentences that may stand between two of a rule
-# a sentence ends at a stop before white space or the end, at ; or : before a break, or at an empty line, also one
+# a sentence ends at a stop before white space or the end, at : before a break, or at an empty line, also one
 # of comment marks alone
-_END = re.compile(r"[.!?](?=\s|$)|[;:](?=\s*\n|\s*$)|\n[\s*#>/;-]*\n|(?<=free software):", re.I)
+_END = re.compile(r"(?<!\bv)[.!?](?=\s|$)|:(?=\s*\n|\s*$)|\n[\s*#>/;-]*\n|(?<=free software):", re.I)
 _MARKS = re.compile(r"""["'“”‘’`*#>]|^\s*(?:\(?[0-9a-z][.)]|//|--|;;)\s""", re.I | re.M)
 _BLANK = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
+_ADDRESS = re.compile(r"<?(?:https?://|www\.)[^\s<>\"')]+[)>]?", re.I)
+# inside a line a notice may follow a comment mark
+_COMMENT = re.compile(r"\n|(?<=\s)(?:#|//|/\*|--|;;)|<!--")
+# a grant by name, whatever leads up to it
+_LEAD = r"(?:(?:this|these|the|all|our|my|its|it|unless|except|dual|code|source|software|and|is|are)\b[\w ,/&()-]{0,100}? )?"
+_GRANT = re.compile(_LEAD + r"(?:also |hereby |dual[ -])?(?:licen[sc]ed|released|distributed|published|provided|shared|offered|redistributed|(?:made )?available|covered|governed)(?: to you)?(?: by| under)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? (.+)")
+_AFTER = re.compile(r"(?: licen[sc]e)?(?:(?:,| -)? (?:see|as|which|and|found|that|for)\b.*| \(.*)?$")
+_SPDX = re.compile(r"spdx-license-identifier: ([\w.+-]+)$")
 
 
 def normalise(sentence: str) -> str:
-    return _BLANK.sub(" ", _MARKS.sub(" ", sentence)).strip(" .,;:-/").lower().replace(" ,", ",").replace("( ", "(").replace(" )", ")")
+    plain = _BLANK.sub(" ", _MARKS.sub(" ", _ADDRESS.sub(" ", sentence))).strip(" .,;:-/").lower()
+    return plain.replace(" ,", ",").replace("( ", "(").replace(" )", ")").strip()
+
+
+def named_licence(sentence: str, names: dict[str, str]) -> str | None:
+    """The licence that a normalised sentence grants by its name, or by its SPDX identifier."""
+    if m := _SPDX.match(sentence):
+        return names.get("spdx " + m[1])
+    m = _GRANT.match(sentence)
+    if not m:
+        return None
+    name = m[1]
+    for tail in (name, _AFTER.sub("", name), _AFTER.sub("", name).removesuffix(" public"), re.sub(r" licen[sc]e\b.*$", "", name)):
+        if tail in names:
+            return names[tail]
+    return None
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Sentences by normalised text, rules by first sentence (longest first), and a pattern that every known sentence matches."""
+    """Sentences by normalised text, licences by name, rules by first sentence (longest first), and a pattern that every known sentence matches."""
 
     ids: dict[str, str]
+    names: dict[str, str]
     by_first: dict[str, list[tuple[str, list[str]]]]
     hint: re.Pattern
-    firsts: frozenset[str]
-    lasts: frozenset[str]
+    most_words: int
 
     @staticmethod
-    def of(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> Rules:
+    def of(sentences: dict[str, str], rules: list[tuple[str, list[str]]], names: dict[str, str] | None = None) -> Rules:
         ids = {normalise(t): k for k, t in sentences.items()}
+        names = dict(names or {})
+        rules = list(rules)
+        for licence in sorted(set(names.values())):
+            rules.append((licence, ["grant:" + licence]))
+            names["spdx " + licence.lower()] = licence
+        for suffix in ("-only", "-or-later"):
+            for licence in sorted({x for x in names.values() if "GPL-" in x and x[-1].isdigit()}):
+                names["spdx " + (licence + suffix).lower()] = licence + suffix
+                rules.append((licence + suffix, ["grant:" + licence + suffix]))
         by_first: dict[str, list[tuple[str, list[str]]]] = {}
         for name, sequence in sorted(rules, key=lambda r: -len(r[1])):
             by_first.setdefault(sequence[0], []).append((name, sequence))
@@ -107,12 +198,26 @@ class Rules:
             best = max(sorted({w for ws in left.values() for w in ws}), key=lambda w: (sum(w in ws for ws in left.values()), len(w)))
             cover.append(best)
             left = {i: ws for i, ws in left.items() if best not in ws}
-        words = [_WORD.findall(i) or [""] for i in ids]
-        return Rules(ids, by_first, re.compile("|".join(map(re.escape, cover)), re.I | re.A), frozenset(w[0] for w in words), frozenset(w[-1] for w in words))
+        cover = [re.escape(w) for w in cover] + ([r"\bunder\b", r"\bby\s+the\b", "spdx-license-identifier"] if names else [])
+        longest = max((len(_WORD.findall(i)) for i in ids), default=0)
+        return Rules(ids, names, by_first, re.compile("|".join(cover), re.I | re.A), max(longest, 40 if names else 0))
+
+    def identify(self, sentence: str) -> str | None:
+        """The identifier of a sentence as it stands in a text."""
+        plain = normalise(sentence)
+        found = self.ids.get(plain)
+        if found or not self.names:
+            return found
+        if ";" in plain:  # clauses are looked at one by one
+            return None
+        if "under" in plain or " by " in plain or plain.startswith("spdx"):
+            licence = named_licence(plain, self.names)
+            return "grant:" + licence if licence else None
+        return None
 
 
 def sentences(text: str):
-    """(start, end) of sentences; lines are sentences of their own too where a stop ends them."""
+    """(start, end) of sentences."""
     begin = 0
     for m in _END.finditer(text):
         yield begin, m.start()
@@ -120,30 +225,51 @@ def sentences(text: str):
     yield begin, len(text)
 
 
-def known_sentences(text: str, rules: Rules, longest: int) -> list[tuple[int, int, int, str]]:
-    """(place among the sentences, start, end, identifier) of those in the table."""
+def _trimmed(text: str, a: int, b: int) -> int:
+    part = text[a:b]
+    return a + len(part) - len(part.lstrip())
+
+
+def _ending(text: str, a: int, b: int, rules: Rules) -> tuple[int, str] | None:
+    """(start, identifier) of the known sentence that ends a stretch of text: all of it, or from a line or comment mark on.
+
+    Starts are tried from the last one backwards, up to as many words as the longest known sentence has.
+    """
+    if not rules.hint.search(text, a, b):
+        return None
+    if name := rules.identify(text[a:b]):
+        return _trimmed(text, a, b), name
+    words, end = 0, b
+    for cut in reversed([m.end() for m in _COMMENT.finditer(text, a, b)]):
+        own = len(_WORD.findall(normalise(text[cut:end])))
+        end = cut
+        words += own
+        if words > rules.most_words:
+            break
+        if own and (name := rules.identify(text[cut:b])):
+            return _trimmed(text, cut, b), name
+    return None
+
+
+def known_sentences(text: str, rules: Rules) -> list[tuple[int, int, int, str]]:
+    """(place among the sentences, start, end, identifier) of those in the table.
+
+    A sentence may follow lines that no stop ends (see ``_ending``). One that is not known may be several clauses that
+    end at semicolons.
+    """
     found = []
     for k, (a, b) in enumerate(sentences(text)):
-        if b - a <= longest:
-            part = text[a:b]
-            if name := rules.ids.get(normalise(part)):
-                a += len(part) - len(part.lstrip())
-                found.append((k, a, b, name))
-                continue
-        # a notice may follow lines that no stop ends: every start of a line within may be its beginning
-        end, last = b, None
-        while (cut := text.rfind("\n", a, end)) >= 0 and b - cut <= longest:
-            words = _WORD.findall(normalise(text[cut + 1 : end]))
-            end = cut
-            if not words:
-                continue
-            # words tell most lines that begin or end no known sentence
-            last = last or words[-1]
-            if last not in rules.lasts:
-                break
-            if words[0] in rules.firsts and (name := rules.ids.get(normalise(text[cut + 1 : b]))):
-                found.append((k, cut + 1, b, name))
-                break
+        if not rules.hint.search(text, a, b):
+            continue
+        clauses, at = [], a
+        if ";" in text[a:b] and not rules.identify(text[a:b]):
+            for part in text[a:b].split(";"):
+                if hit := _ending(text, at, at + len(part), rules):
+                    clauses.append((k, hit[0], at + len(part), hit[1]))
+                at += len(part) + 1
+        if not clauses and (hit := _ending(text, a, b, rules)):
+            clauses = [(k, hit[0], b, hit[1])]
+        found += clauses
     return found
 
 
@@ -177,14 +303,13 @@ def scan_licences(df: DataFrame, text: str = "text", sentences_by_id: dict[str,
     and empty texts have none. Whole texts are read; repeated rows are scanned each; columns of the three names that
     ``df`` has already are replaced.
     """
-    rules = Rules.of(sentences_by_id or SENTENCES, rule_list or RULES)
-    longest = 4 * max(map(len, rules.ids), default=0)
+    rules = Rules.of(sentences_by_id or SENTENCES, rule_list or RULES, licence_names() if sentences_by_id is None else None)
 
     def start():
         def work(texts):
             counts, names, spans = [], [], []
             for t in texts:
-                found = known_sentences(t, rules, longest) if t and rules.hint.search(t) else []
+                found = known_sentences(t, rules) if t and rules.hint.search(t) else []
                 hits = match_rules(found, rules, gap) if found else []
                 counts.append(len(found))
                 names.append(sorted({h[0] for h in hits}))
