@@ -36,7 +36,7 @@ from quernel.plans.storage import materialize
 
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE = 3000  # about as many documents as a fit looks at, half of them with a base span
-LINES = 2000  # lines of a kind (with a base span, with an unusual token, plain) that a fit takes of them, by a hash
+LINES = 1200  # lines of a kind (with a base span, with an unusual token, plain) that a fit takes of them, by a hash
 PIECE = 128  # tokens of a training line that are tagged together; longer lines are several pieces, none is dropped
 LEAST_SEEN = 3  # occurrences of a neighbouring word from which it is a feature
 LEAST_WEIGHT = 0.1  # features whose weights are all under it are left out of a model
