@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.text import strip
+from quernel.plans.storage import materialize
 
+FEW = 100_000  # rows of a side table up to which it is sent to every executor
 ROLES = ("system", "user", "assistant")
 
 
@@ -81,20 +83,44 @@ def _quotas(df: DataFrame, stratum: str, target: int, half_even: bool) -> DataFr
     return sizes.join(F.broadcast(total)).withColumn("quota", (F.bround(share) if half_even else F.floor(share)).cast("long")).drop("total")
 
 
-def _ranked(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
-    return df.withColumn("_rank", hash_rank(F.col(key), seed)).withColumn("_in", F.row_number().over(Window.partitionBy(stratum).orderBy("_rank", key)))
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df`` with the hint to send it to all executors if it has few rows, as counted; else it is met by a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _unit(rank: Column) -> Column:
+    """The first 48 bits of a hash in hex digits as a number from 0 to 1."""
+    return F.conv(F.substring(rank, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def _lowest(df: DataFrame, stratum: str, key: str, seed: int, quotas: DataFrame) -> DataFrame:
+    """Of each stratum its first ``quota`` rows by rank, with ``_rank``: a written table.
+
+    Only rows whose hash is under a bound that ``quota`` rows of ``n`` pass almost surely are ranked, so that no stratum
+    is sorted as a whole; should a bound be too low, all rows are.
+    """
+    ranked = df.withColumn("_rank", hash_rank(F.col(key), seed)).join(small(quotas.select(stratum, "n", "quota")), stratum)
+    bound = (F.col("quota") + 8 * F.sqrt("quota") + 32) / F.col("n")
+    order = Window.partitionBy(stratum).orderBy("_rank", key)
+    for rows in (ranked.where((F.col("quota") > 0) & (_unit(F.col("_rank")) <= bound)), ranked):
+        out = materialize(rows.withColumn("_in", F.row_number().over(order)).where("_in <= quota").drop("_in", "n"), "lowest")
+        wanted = quotas.agg(F.coalesce(F.sum(F.least("quota", "n")), F.lit(0))).first()[0]
+        if out.count() == wanted:
+            break
+    return out
 
 
 def stratified_floor(df: DataFrame, stratum: str, key: str, target: int, seed: int) -> DataFrame:
     """Floor quotas by stratum; what is missing of ``target`` is filled from all leftovers by rank."""
     if df.count() < target:
         raise ValueError("the target exceeds the rows")
-    quotas = _quotas(df, stratum, target, False)
-    ranked = _ranked(df, stratum, key, seed).join(F.broadcast(quotas.select(stratum, "quota")), stratum)
-    own = ranked.where(F.col("_in") <= F.col("quota"))
+    quotas = materialize(_quotas(df, stratum, target, False), "quotas")
+    own = _lowest(df, stratum, key, seed, quotas)
     short = target - (quotas.agg(F.sum("quota")).first()[0] or 0)
-    rest = ranked.where(F.col("_in") > F.col("quota")).orderBy("_rank", key).limit(short)
-    return own.unionByName(rest).select(*df.columns)
+    last = own.groupBy(stratum).agg(F.max(F.struct("_rank", key)).alias("_last"))
+    rest = df.withColumn("_rank", hash_rank(F.col(key), seed)).join(small(quotas.select(stratum)), stratum).join(small(last), stratum, "left")
+    rest = rest.where(F.col("_last").isNull() | (F.struct("_rank", key) > F.col("_last")))
+    return own.select(*df.columns).unionByName(rest.orderBy("_rank", key).limit(short).select(*df.columns))
 
 
 def stratified_round(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
@@ -111,8 +137,27 @@ def stratified_round(df: DataFrame, stratum: str, key: str, size: int, seed: int
     left = F.lit(size) - before
     quotas = quotas.withColumn("take", F.when(last, left).otherwise(F.least("quota", left)))
     quotas = quotas.withColumn("take", F.when(F.col("take") > F.col("n"), F.raise_error(F.lit("the last stratum is too small"))).otherwise(F.col("take")))
-    ranked = _ranked(df, stratum, key, seed).join(F.broadcast(quotas.select(stratum, "take")), stratum)
-    return ranked.where(F.col("_in") <= F.col("take")).select(*df.columns)
+    quotas = materialize(quotas.select(stratum, "n", F.col("take").alias("quota")), "quotas")
+    return _lowest(df, stratum, key, seed, quotas).select(*df.columns)
+
+
+def select_prompts(rows: DataFrame, blocked: list[DataFrame], key: str, order: str, count: int, seed: int) -> DataFrame:
+    """``count`` rows with ``group_id``: the first by ``order`` of each key that is in none of the blocked frames, by rank of the key.
+
+    ``key`` may be text or an array (a sorted attribute key). An error if fewer keys are left.
+    """
+    whole = F.to_json(F.struct(key))
+    pool = rows
+    if blocked:
+        keys = blocked[0].select(key)
+        for more in blocked[1:]:
+            keys = keys.unionByName(more.select(key))
+        pool = exclude(pool, keys, whole, whole)
+    pool = materialize(dedup_first(pool, whole, order).withColumn("_rank", hash_rank(whole, seed)), "pool")
+    left = pool.count()
+    if left < count:
+        raise ValueError(f"only {left} keys are left of {count}")
+    return pool.orderBy("_rank").limit(count).withColumn("group_id", F.substring(F.sha2(whole, 256), 1, 16)).drop("_rank")
 
 
 def choose_diverse(df: DataFrame, structure: str, template: str, key: str, target: int, seed: int) -> DataFrame:
@@ -123,9 +168,12 @@ def choose_diverse(df: DataFrame, structure: str, template: str, key: str, targe
     by_template = Window.partitionBy(structure, template)
     out = df.withColumn("_turn", F.row_number().over(by_template.orderBy(hash_rank(F.col(key), seed), key)))
     out = out.withColumn("_size", F.count("*").over(by_template))
+    # later turns of a template cannot be among the first ``target``
+    sizes = out.groupBy(structure).agg(F.count("*").alias("_rows"))
+    out = out.where(F.col("_turn") <= target)
     by_structure = Window.partitionBy(structure)
     out = out.withColumn("position", F.row_number().over(by_structure.orderBy("_turn", "_size", template)).cast("long"))
-    out = out.withColumn("_rows", F.count("*").over(by_structure))
+    out = out.join(sizes, out[structure].eqNullSafe(sizes[structure])).drop(sizes[structure])
     return out.orderBy("position", "_rows", structure).limit(target).drop("_turn", "_size", "_rows")
 
 
@@ -136,7 +184,27 @@ def mix_replay(enhancement: DataFrame, clean: DataFrame, row_key: Column, stratu
     return both.withColumn("ord", hash_rank(F.col(key), seed + 1))
 
 
+def numbered(df: DataFrame, order: str, name: str = "number") -> DataFrame:
+    """``df`` with its place from 0 in the order of a column, counted within ranges of it plus what the ranges before hold.
+
+    Equal values keep together, in no given order; nulls come first.
+    """
+    rows = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered")
+    part, at = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumns({"_part": part, "_at": at})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias(name))
+
+
 def skip_batches(df: DataFrame, order: str, batch: int, skip: int) -> DataFrame:
     """Rows of batches left after resuming: ``batch_no`` from ``skip`` on."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("batch_no", F.floor(n / batch).cast("long")).where(F.col("batch_no") >= skip)
+    n = numbered(df, order, "_number")
+    return n.withColumn("batch_no", F.floor(F.col("_number") / batch).cast("long")).where(F.col("batch_no") >= skip).drop("_number")
+
+
+def shard(df: DataFrame, order: str, shards: int) -> DataFrame:
+    """``df`` with ``rank``: rows are dealt to shards in turn, in the order of a column."""
+    n = numbered(df, order, "_number")
+    return n.withColumn("rank", F.pmod("_number", F.lit(shards)).cast("long")).drop("_number")

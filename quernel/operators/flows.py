@@ -72,15 +72,21 @@ def analyse(rows: DataFrame) -> DataFrame:
     })
 
 
+def eligible(most_repetition: float = 0.10):
+    """Whether an analysed row's phrase stands once at most, and whether such a row may enhance a corpus besides."""
+    phrase = F.col("phrase_count") < 2
+    return phrase, phrase & F.col("all_covered") & F.col("key_covered") & ~F.col("loop") & (F.col("char4") <= most_repetition)
+
+
 def enhancement(rows: DataFrame, target: int = 5000, most_repetition: float = 0.10, seed: int = 42) -> tuple[DataFrame, DataFrame, dict]:
     """(all rows without a repeated phrase, a diverse choice of the covered ones, report); unparsable rows are told, not used."""
     seen = materialize(analyse(rows.withColumn("key", X.conversation_key(F.col("conversations")))), "analysed")
     good = seen.where("error is null")
-    phrase = good.where("phrase_count < 2")
-    fit = phrase.where(F.col("all_covered") & F.col("key_covered") & ~F.col("loop") & (F.col("char4") <= most_repetition))
+    once, usable = eligible(most_repetition)
+    phrase, fit = good.where(once), good.where(usable)
     chosen = materialize(curate.choose_diverse(fit, "structure", "template", "key", target, seed), "chosen")
     bad = seen.where("error is not null").orderBy("line_number").limit(20).select("line_number", "error").collect()
-    kinds = chosen.groupBy(F.get_json_object("structure", "$.kind").alias("kind")).agg(F.count("*").alias("n"), F.min("position").alias("p")).orderBy(F.desc("n"), "p", "kind").limit(20).collect()
+    kinds = chosen.groupBy(F.get_json_object("structure", "$.kind").alias("kind")).agg(F.count("*").alias("n"), F.min("position").alias("p")).orderBy(F.desc("n"), "p", "kind").collect()
     one = chosen.agg(F.count("*").alias("selected"), F.countDistinct("structure").alias("structures"), F.countDistinct("template").alias("templates"), F.avg("coverage").alias("coverage"), F.max("char4").alias("most_repetition")).first().asDict()
     report = one | {"rows": seen.count(), "without_phrase": phrase.count(), "eligible": fit.count(), "errors": [r.asDict() for r in bad], "kinds": [[r["kind"], r["n"]] for r in kinds]}
     return phrase.select(*rows.columns), chosen.select(*rows.columns, "position"), report

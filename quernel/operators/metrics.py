@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +48,6 @@ def format_metric(value: float | None, percentage: bool) -> str:
     return f"{value * 100:.2f}%" if percentage else f"{value:.2f}"
 
 
-def best_so_far(df: DataFrame, loss: str, order: str) -> Column:
-    """Running minimum of a loss over all rows up to this one (one ordered series)."""
-    from pyspark.sql import Window
-
-    return F.min(loss).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+def best_so_far(loss: str, order: str, series: str) -> Column:
+    """Running minimum of a loss over the rows of its series up to this one."""
+    return F.min(loss).over(Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

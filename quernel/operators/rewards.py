@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.attributes import coverage
-from quernel.functions.text import char_repetition, chars, has_loop, let, occurrences, squeeze
+from quernel.functions.text import char_repetition, chars, has_loop, let, occurrences, squeeze, strip
 
 # Names of the features of a candidate, and the words that mark a malformed one.
 FEATURES = ("bias", "attr_coverage", "length_quality", "char_repeat", "token_repeat", "eos_complete", "malformed")
@@ -73,12 +73,38 @@ def format_reward(text: Column) -> Column:
     return F.when(laid_out, 0.5).otherwise(0.0) + once[0] + once[1] + once[2] + once[3]
 
 
+def answer_of(text: Column) -> Column:
+    """What stands in the first <answer> block, stripped; null without one."""
+    return F.when(text.rlike(r"(?s)<answer>.*?</answer>"), strip(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1)))
+
+
 def blend_model_scores(full: Column, answer: Column, weight: float, clip: float = 3.0) -> Column:
-    """Clipped model score, blended 0.4 to 0.6 with that of the answer where there is one; non-finite scores fail."""
+    """Clipped model score, blended 0.4 to 0.6 with that of the answer where there is one; non-finite scores fail.
+
+    At weight 0 the reward is 0 and no score is looked at.
+    """
+    if weight == 0:
+        return F.lit(0.0)
     sound = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("a model score is not finite"))).otherwise(F.least(F.lit(clip), F.greatest(F.lit(-clip), c)))
     return F.lit(weight) * F.when(answer.isNull(), sound(full)).otherwise(0.4 * sound(full) + 0.6 * sound(answer))
 
 
+def label_pairs(labels: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(group_id, chosen_id, rejected_id, chosen, rejected): one row a rejected candidate of a label.
+
+    ``labels`` are (group_id, chosen_candidate_id, rejected_candidate_ids), ``candidates`` (group_id, candidate_id, value).
+    A label that names a candidate which its group does not have fails.
+    """
+    each = labels.select("group_id", F.col("chosen_candidate_id").alias("chosen_id"), F.explode("rejected_candidate_ids").alias("rejected_id"))
+    out = each
+    for side in ("chosen", "rejected"):
+        own = candidates.select("group_id", F.col("candidate_id").alias(f"{side}_id"), F.struct("value").alias(f"_{side}"))
+        missing = F.raise_error(F.concat_ws(" ", F.lit("no candidate"), F.col(f"{side}_id"), F.lit("in group"), F.col("group_id").cast("string")))
+        found = F.when(F.col(f"_{side}").isNull(), missing.cast(candidates.schema["value"].dataType)).otherwise(F.col(f"_{side}.value"))
+        out = out.join(own, ["group_id", f"{side}_id"], "left").withColumn(side, found).drop(f"_{side}")
+    return out.select("group_id", "chosen_id", "rejected_id", "chosen", "rejected")
+
+
 def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
     """``advantage``: reward standardised in its group, clamped to 10, then whitened over all rows.
 
@@ -147,3 +173,37 @@ def upto_eos(ids: Column, eos: int) -> Column:
 def last_kept(values: Column, mask: Column) -> Column:
     """The value at the last place that ``mask`` (ones, then zeros) keeps; null without one."""
     return F.get(values, F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int")) - 1)
+
+
+def balance_loss(df: DataFrame, sequence: str, logits: str, experts: int, k: int, alpha: float = 1.0) -> DataFrame:
+    """(sequence, load, loss) of tokens: for each sequence the sum over experts of load times mean probability, times ``alpha``.
+
+    ``load`` has the share of a sequence's routed slots that each expert got, times the number of experts.
+    """
+    rows = df.select(sequence, softmax(F.col(logits)).alias("p"), F.transform(top_experts(F.col(logits), k), lambda t: t["expert"]).alias("e"))
+    slots = [F.sum(F.when(F.array_contains("e", F.lit(i).cast("long")), 1.0).otherwise(0.0)) / (F.count("*") * k) * experts for i in range(experts)]
+    means = [F.avg(F.col("p")[i]) for i in range(experts)]
+    sums = rows.groupBy(sequence).agg(F.array(*slots).alias("load"), F.array(*means).alias("_p"))
+    return sums.select(sequence, "load", (alpha * _sum(F.zip_with("load", "_p", lambda a, b: a * b))).alias("loss"))
+
+
+def ppo_loss(df: DataFrame, actor: str, old: str, reference: str, advantage: str, value: str, reward: str, clip: float = 0.2, value_weight: float = 0.5, kl_weight: float = 0.02) -> DataFrame:
+    """One row: policy_loss, value_loss, kl (to the policy that sampled), kl_reference, loss, over rows of summed log-probabilities."""
+    a, o, r = F.col(actor), F.col(old), F.col(reference)
+    parts = df.agg(
+        F.avg(ppo_surrogate(F.exp(a - o), F.col(advantage), clip)).alias("policy_loss"),
+        F.avg((F.col(value) - F.col(reward)) ** 2).alias("value_loss"),
+        F.avg(a - o).alias("kl"),
+        F.avg(a - r).alias("kl_reference"),
+    )
+    return parts.withColumn("loss", F.col("policy_loss") + value_weight * F.col("value_loss") + kl_weight * F.col("kl_reference"))
+
+
+def mean_length(df: DataFrame, ids: str, eos: int) -> DataFrame:
+    """One row: mean_length of id sequences up to and with their first end token, n."""
+    return df.agg(F.avg(first_eos(F.col(ids), eos)).alias("mean_length"), F.count(ids).alias("n"))
+
+
+def ids_in_range(ids: Column, size: int) -> Column:
+    """Whether a sequence of ids is not empty and all lie in a vocabulary of ``size``."""
+    return (F.size(ids) > 0) & F.forall(ids, lambda i: (i >= 0) & (i < size))

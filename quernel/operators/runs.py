@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def compare_maps(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Full outer join of two (on, key, value) tables: status is unknown where a side is missing or null, else same or different."""
+def compare_maps(left: DataFrame, right: DataFrame, on: str, differing: bool = False) -> DataFrame:
+    """Full outer join of two (on, key, value) tables: status is unknown where a side is missing or null, else same or different.
+
+    ``differing`` keeps only keys whose values are not the same on both sides, a missing value being one of its own.
+    """
     l, r = left.select(on, "key", F.col("value").alias("left_value")), right.select(on, "key", F.col("value").alias("right_value"))
     status = F.when(F.col("left_value").isNull() | F.col("right_value").isNull(), "unknown").when(F.col("left_value") == F.col("right_value"), "same").otherwise("different")
-    return l.join(r, [on, "key"], "full_outer").withColumn("status", status)
+    out = l.join(r, [on, "key"], "full_outer").withColumn("status", status)
+    return out.where(~F.col("left_value").eqNullSafe(F.col("right_value"))) if differing else out
 
 
 def pair_runs(left: DataFrame, right: DataFrame, key: str, checked: list[str], limit: int = 0, strict: bool = True) -> DataFrame:
@@ -60,3 +64,33 @@ def audit_pairs(df: DataFrame, group: list[str], style: str, attributes: str) ->
         .otherwise("mismatch")
     )
     return g.withColumn("outcome", outcome).drop("_s", "_n")
+
+
+#: Marks that are counted inside structured values.
+MARKS = ("、", "，", ",", "；", ";", "/")
+
+
+def value_marks(values: DataFrame, value: str, marks: tuple[str, ...] = MARKS) -> DataFrame:
+    """(mark, n): in how many values each mark occurs; every row is a value, repeated ones count each."""
+    found = F.filter(F.array(*map(F.lit, marks)), lambda c: F.col(value).contains(c))
+    return values.select(F.explode(found).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+
+
+def audit_report(df: DataFrame, group: list[str], style: str, attributes: str, prompt: str, line: str, first: int = 1000) -> dict:
+    """Counts of an audit of twins, and the lines of the first ``first`` groups that are ambiguous or do not match."""
+    groups = audit_pairs(df, group, style, attributes)
+    outcomes = {r["outcome"]: r["count"] for r in groups.groupBy("outcome").count().collect()}
+    bad = groups.where(F.col("outcome").isin("ambiguous", "mismatch")).select(*group, "outcome")
+    lines = df.join(bad, group).groupBy(*group, "outcome").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    told = {o: [r["lines"] for r in lines.where(F.col("outcome") == o).orderBy(F.col("lines")[0]).limit(first).collect()] for o in ("ambiguous", "mismatch")}
+    own = df.where(F.col(style) == "structured").select(F.explode(attributes).alias("a")).select(F.col("a.value").alias("value"))
+    many = df.where((F.col(style) == "natural") & F.col(prompt).contains("、")).count()
+    return {
+        "rows": df.count(),
+        "paired_groups": outcomes.get("paired", 0) + outcomes.get("mismatch", 0),
+        "unpaired_groups": outcomes.get("unpaired", 0),
+        "natural_multivalue_rows": many,
+        "structured_value_marks": {r["mark"]: r["n"] for r in value_marks(own, "value").collect()},
+        "mismatches": told["mismatch"],
+        "ambiguous_groups": told["ambiguous"],
+    }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one in the warehouse in local mode and an error on a cluster."""
     path = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="quernel-")
-        spark.conf.set(_SETTING, path)
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quernel-steps"
     return path.rstrip("/")
 
 

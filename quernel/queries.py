@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quernel.functions import attributes as A
 from quernel.functions import text as X
-from quernel.operators import curate, hooks, logs, metrics, rewards, runs
+from quernel.operators import curate, flows, hooks, logs, metrics, rewards, runs
+from quernel.plans.storage import new_path
+from quernel.sources import jsonl
 from quernel.streaming.windows import windowed
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,15 +151,6 @@ def enhancement_filter(spark, sf_dir):
     return rows.where(F.col("m.all_attributes_covered") & (own["key_attribute_hits"] == own["key_attribute_count"]) & (F.col("m.repeated_char_4gram_ratio") <= 0.10) & (X.occurrences(F.col("answer"), "好看") < 4)).select("p_partkey")
 
 
-@query("""SELECT (p_partkey % 97) AS source_index, CASE WHEN count(*) > 1 THEN 'ambiguous' WHEN min(p_partkey % 5) = 0 THEN 'unpaired' ELSE 'paired' END AS outcome, count(*) AS n_structured,
- CAST(sum(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_natural FROM part WHERE p_partkey < 150 GROUP BY 1""")
-def style_parity_audit(spark, sf_dir):
-    s = _parsed(spark, sf_dir, "structured").select("p_partkey", F.lit("structured").alias("style"), "attributes")
-    n = _parsed(spark, sf_dir, "natural").where("p_partkey % 5 <> 0").select("p_partkey", F.lit("natural").alias("style"), "attributes")
-    both = s.unionByName(n).where("p_partkey < 150").withColumn("source_index", F.col("p_partkey") % 97)
-    return runs.audit_pairs(both, ["source_index"], "style", "attributes")
-
-
 @query("""SELECT p_partkey - CAST(p_partkey % 7 = 0 AS INT) AS source_index, CASE WHEN count(*) > 1 THEN 'ambiguous' WHEN min(p_partkey % 5) = 0 THEN 'unpaired' ELSE 'paired' END AS outcome, count(*) AS n_structured,
  CAST(sum(CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_natural FROM part GROUP BY 1""")
 def style_parity_audit_all(spark, sf_dir):
@@ -175,6 +168,29 @@ def punctuation_in_values(spark, sf_dir):
     return values.select(F.explode(F.filter(marks, lambda c: F.col("v").contains(c))).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
 
 
+_SHORT = "CASE WHEN p_size % 3 = 0 THEN replace(answer, ' 好看好看好看 ', ' 穿着舒适 ') WHEN p_size % 3 = 1 THEN replace(answer, ' 好看好看好看 ', ' 穿着舒适，穿着舒适 ') ELSE answer END"
+
+
+@query(f"""WITH {_SCORE_SQL.replace("answer AS text", _SHORT + " AS text")}, o AS (SELECT *, (length(text) - length(replace(text, '穿着舒适', ''))) // 4 AS phrases FROM m)
+SELECT p_partkey, phrases < 2 AS phrase_once, phrases < 2 AND hits = 4 AND key_hits = 2 AND NOT has_loop AND rep <= 0.10 AS usable FROM o""")
+def enhancement_eligible(spark, sf_dir):
+    """The rules of ``flows.enhancement`` over answers with a loop, with the phrase once and with it twice."""
+    loop = " 好看好看好看 "
+    text = F.when(F.col("p_size") % 3 == 0, F.replace("answer", F.lit(loop), F.lit(" 穿着舒适 "))).when(F.col("p_size") % 3 == 1, F.replace("answer", F.lit(loop), F.lit(" 穿着舒适，穿着舒适 "))).otherwise(F.col("answer"))
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    rows = _prompts(spark, sf_dir, "structured").select("p_partkey", F.array(message("system", F.lit("s")), message("user", F.col("prompt")), message("assistant", text)).alias("conversations"))
+    once, usable = flows.eligible()
+    return flows.analyse(rows).select("p_partkey", once.alias("phrase_once"), usable.alias("usable"))
+
+
+@query(f"""WITH {_PROMPT_SQL}, u AS (SELECT x.v AS v, c FROM (SELECT unnest(attrs) AS x FROM a), (VALUES ('、'), ('，'), (','), ('；'), (';'), ('/')) t(c) WHERE contains(x.v || CASE WHEN length(x.v) % 3 = 0 THEN '/' WHEN length(x.v) % 3 = 1 THEN ',;' ELSE '' END, c)) SELECT c AS mark, count(*) AS n FROM u GROUP BY c""")
+def marks_in_values(spark, sf_dir):
+    """Every occurrence of a value counts; marks are put behind values, which have none."""
+    v = _parsed(spark, sf_dir).select(F.explode("attributes").alias("a")).select(F.col("a.value").alias("v"))
+    marked = F.concat("v", F.when(F.length("v") % 3 == 0, "/").when(F.length("v") % 3 == 1, ",;").otherwise(""))
+    return runs.value_marks(v.select(marked.alias("v")), "v")
+
+
 # --- curation -------------------------------------------------------------------------------------------------------
 
 _STRIP = f"regexp_replace(regexp_replace(text, '^' || {_WS} || '+', ''), {_WS} || '+$', '')"
@@ -191,6 +207,22 @@ def train_minus_benchmark_exact(spark, sf_dir):
     return curate.exclude(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), key, key).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND {_STRIP} NOT IN (SELECT {_STRIP} FROM documents WHERE doc_id % 2 = 1)")
+def even_minus_copies_in_odd(spark, sf_dir):
+    """An anti-join that removes rows: copies stand under odd and even ids."""
+    key, d = X.strip(F.col("text")), _t(spark, sf_dir, "documents")
+    return curate.exclude(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), key, key).select("doc_id")
+
+
+@query(f"""WITH k AS (SELECT doc_id, sha256(text) AS k FROM documents), f AS (SELECT k, min(doc_id) AS doc_id FROM k WHERE doc_id % 3 = 0 AND k NOT IN (SELECT k FROM k WHERE doc_id % 3 <> 0) GROUP BY k),
+j AS (SELECT doc_id, '{{"k":"' || k || '"}}' AS j FROM f) SELECT doc_id, substr(sha256(j), 1, 16) AS group_id FROM j ORDER BY sha256('42:' || j) LIMIT 25""")
+def select_prompts_of_union(spark, sf_dir):
+    """First row of each key that is in neither of two blocked frames, a sample of keys without replacement."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
+    blocked = [d.where("doc_id % 3 = 1"), d.where("doc_id % 3 = 2")]
+    return curate.select_prompts(d.where("doc_id % 3 = 0"), blocked, "k", "doc_id", 25, 42).select("doc_id", "group_id")
+
+
 @query(f"""WITH d AS (SELECT DISTINCT ['train', 'val', 'test'][doc_id % 3 + 1] AS s, {_STRIP} AS k FROM documents), p AS (SELECT k, max(CAST(s = 'train' AS INT)) AS a, max(CAST(s = 'val' AS INT)) AS b, max(CAST(s = 'test' AS INT)) AS c FROM d GROUP BY k)
 SELECT 'train' AS left_split, 'val' AS right_split, CAST(sum(a * b) AS BIGINT) AS both, CAST(sum(a * (1 - b)) AS BIGINT) AS left_only, CAST(sum((1 - a) * b) AS BIGINT) AS right_only FROM p
 UNION ALL SELECT 'train', 'test', CAST(sum(a * c) AS BIGINT), CAST(sum(a * (1 - c)) AS BIGINT), CAST(sum((1 - a) * c) AS BIGINT) FROM p
@@ -286,6 +318,19 @@ def candidate_ids(spark, sf_dir):
     return b.select("item_id", F.concat_ws("-", "g", F.col("j") + 1).alias("candidate_id"), (100 + F.col("item_id") * 4 + F.col("j")).alias("seed"))
 
 
+@query("""WITH n AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(len(r) AS BIGINT) AS messages, md5(array_to_string(list_transform(t, lambda x: coalesce(x, '')), '|')) AS contents,
+ CASE WHEN len(r) <> 3 THEN 'wrong number of messages' WHEN r <> ['system', 'user', 'assistant'] THEN 'wrong roles' WHEN len(list_filter(t, lambda x: x IS NULL OR trim(x) = '')) > 0 THEN 'blank content' END AS reason FROM n""")
+def jsonl_round_trip(spark, sf_dir):
+    """Conversations written as JSON lines and scanned again, every line with its number and why it is not valid."""
+    path = new_path(spark, "conversations-jsonl")
+    meta = F.struct(F.lit("train.json").alias("source"), F.col("conv_id").alias("source_index"), F.lit("natural").alias("input_style"))
+    jsonl.write(_nested(spark, sf_dir).select(F.col("messages").alias("conversations"), meta.alias("metadata")), path)
+    rows = jsonl.from_source(jsonl.not_empty(jsonl.scan(spark, path, strict=False)))
+    contents = F.md5(F.array_join(F.transform("conversations", lambda m: F.coalesce(m["content"], F.lit(""))), "|"))
+    return rows.where("line_number > 0").select(F.col("metadata.source_index").alias("conv_id"), F.size("conversations").cast("long").alias("messages"), contents.alias("contents"), F.col("reject_reason").alias("reason"))
+
+
 # --- runs -----------------------------------------------------------------------------------------------------------
 
 @query("""SELECT l.doc_id, false AS mismatch, l.n_chars AS left_output, l.n_chars * 2 AS right_output FROM documents l WHERE doc_id % 2 = 0 AND doc_id % 3 = 0 ORDER BY doc_id LIMIT 100""")
@@ -295,6 +340,21 @@ def compare_runs(spark, sf_dir):
     return runs.pair_runs(left, right, "doc_id", ["lang"], 100).select("doc_id", "mismatch", "left_output", "right_output")
 
 
+@query("""SELECT l.doc_id, l.doc_id % 12 = 0 OR l.lang <> r.lang AS mismatch, l.n_chars AS left_output, r.n_chars AS right_output FROM documents l JOIN documents r USING (doc_id) WHERE doc_id % 2 = 0 AND doc_id % 3 = 0""")
+def compare_runs_leniently(spark, sf_dir):
+    """Inputs that differ are told, not refused; every twelfth line's does."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").alias("output"))
+    right = d.where("doc_id % 3 = 0").withColumn("lang", F.when(F.col("doc_id") % 12 == 0, "other").otherwise(F.col("lang")))
+    return runs.pair_runs(d.where("doc_id % 2 = 0"), right, "doc_id", ["lang"], strict=False).select("doc_id", "mismatch", "left_output", "right_output")
+
+
+@query("""SELECT count(*) AS rows, count(DISTINCT doc_id) AS distinct_keys, count(CASE WHEN n_chars > 500 THEN 1 END) AS with_output, count(*) = count(DISTINCT doc_id) AS "unique",
+ count(CASE WHEN n_chars > 500 THEN 1 END) IN (0, count(*)) AS complete, count(*) = 1000 AS as_declared FROM documents""")
+def run_integrity_whole(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").withColumn("o", F.when(F.col("n_chars") > 500, F.col("text")))
+    return runs.integrity(d, "doc_id", "o", 1000)
+
+
 @query("""WITH l AS (SELECT user_id, arg_max(value, event_id) AS v, arg_max(event_type, event_id) AS t FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT user_id, arg_max(value, event_id) AS v, arg_max(event_type, event_id) AS t FROM events WHERE event_id % 2 = 1 GROUP BY 1),
 a AS (SELECT user_id, 'value' AS key, CAST(round(v * 100) AS BIGINT)::VARCHAR AS value FROM l UNION ALL SELECT user_id, 'type', t FROM l), b AS (SELECT user_id, 'value' AS key, CAST(round(v * 100) AS BIGINT)::VARCHAR AS value FROM r UNION ALL SELECT user_id, 'type', t FROM r)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.key, b.key) AS key, a.value AS left_value, b.value AS right_value, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'unknown' WHEN a.value = b.value THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.user_id = b.user_id AND a.key = b.key""")
@@ -307,6 +367,17 @@ def config_diff_tristate(spark, sf_dir):
     return runs.compare_maps(side(0), side(1), "user_id")
 
 
+_SIDE_SQL = """SELECT user_id, 'type' AS key, arg_max(event_type, event_id) AS value FROM events WHERE event_id % 2 = {} GROUP BY 1"""
+
+
+@query(f"""WITH a AS ({_SIDE_SQL.format(0)}), b AS ({_SIDE_SQL.format(1)})
+SELECT coalesce(a.user_id, b.user_id) AS user_id, a.value AS left_value, b.value AS right_value FROM a FULL JOIN b ON a.user_id = b.user_id WHERE a.value IS DISTINCT FROM b.value""")
+def config_diff_differing(spark, sf_dir):
+    """Only keys whose values differ, a missing side included."""
+    side = lambda rest: _t(spark, sf_dir, "events").where(F.col("event_id") % 2 == rest).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("value")).withColumn("key", F.lit("type"))
+    return runs.compare_maps(side(0), side(1), "user_id", differing=True).select("user_id", "left_value", "right_value")
+
+
 @query("""SELECT source, count(*) AS rows, count(DISTINCT doc_id) AS distinct_keys, count(CASE WHEN n_chars > 500 THEN 1 END) AS with_output FROM documents GROUP BY source""")
 def run_integrity(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").withColumn("o", F.when(F.col("n_chars") > 500, F.col("text")))
@@ -340,6 +411,14 @@ def preference_pairs(spark, sf_dir):
     return p.select("source", "chosen", "rejected", (F.col("a") - F.col("b")).alias("diff"))
 
 
+@query(f"WITH {_PAIRS} SELECT p.source AS group_id, chosen AS chosen_id, rejected AS rejected_id, a.n_chars AS chosen, b.n_chars AS rejected FROM p JOIN documents a ON a.doc_id = chosen JOIN documents b ON b.doc_id = rejected")
+def label_pairs(spark, sf_dir):
+    """Labels joined with the candidates that they name; one that is missing would fail."""
+    labels = _pairs(spark, sf_dir).groupBy(F.col("source").alias("group_id"), F.col("chosen").alias("chosen_candidate_id")).agg(F.collect_list("rejected").alias("rejected_candidate_ids"))
+    candidates = _t(spark, sf_dir, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("candidate_id"), F.col("n_chars").alias("value"))
+    return rewards.label_pairs(labels, candidates)
+
+
 _FEATURE_SQL = f"""f AS (SELECT doc_id, text, length(text) AS n, list_filter(string_split(regexp_replace(text, {_WS}, '', 'g'), ''), lambda x: x <> '') AS ch, regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]|[A-Za-z]+|\\d+') AS w FROM documents)"""
 _FEATURE_COLUMNS = """(CAST(contains(text, 'the') AS INT) + CAST(contains(text, 'ion') AS INT)) / 2 AS attr_coverage, CASE WHEN n BETWEEN 80 AND 260 THEN 1.0 ELSE greatest(0.0, 1 - abs(n - 170) / 170) END AS length_quality,
  1 - len(list_distinct(ch)) / greatest(len(ch), 1) AS char_repeat, 1 - len(list_distinct(w)) / greatest(len(w), 1) AS token_repeat, CAST(contains(text, 'sos') AS INT) AS malformed"""
@@ -387,6 +466,15 @@ def model_reward_blend(spark, sf_dir):
     return e.select("event_id", _r(rewards.blend_model_scores(F.col("value") - 10, answer, 0.5)).alias("reward"))
 
 
+@query(f"""WITH {_TAGGED}, x AS (SELECT conv_id, turn, s, CASE WHEN regexp_matches(s, '(?s)<answer>.*?</answer>') THEN trim(regexp_extract(s, '(?s)<answer>(.*?)</answer>', 1), ' ' || chr(10)) END AS a FROM t)
+SELECT conv_id, turn, a AS answer, round(0.5 * CASE WHEN a IS NULL THEN least(3, greatest(-3, length(s) / 100 - 2)) ELSE 0.4 * least(3, greatest(-3, length(s) / 100 - 2)) + 0.6 * least(3, length(a) / 2) END, 6) AS reward FROM x""")
+def answer_reward(spark, sf_dir):
+    """The answer block is scored by itself; lengths stand in for a model's scores."""
+    t = _tagged(spark, sf_dir).withColumn("answer", rewards.answer_of(F.col("s")))
+    reward = rewards.blend_model_scores(F.length("s") / 100 - 2, F.length("answer") / 2, 0.5)
+    return t.select("conv_id", "turn", "answer", _r(reward).alias("reward"))
+
+
 @query("""WITH a AS (SELECT event_id, least(10.0, greatest(-10.0, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-4))) AS a FROM events WINDOW w AS (PARTITION BY user_id)), m AS (SELECT avg(a) AS mu, stddev_pop(a) AS sd FROM a)
 SELECT event_id, round((a - mu) / (sd + 1e-8), 6) + 0.0 AS advantage FROM a, m""")
 def group_relative_advantage(spark, sf_dir):
@@ -431,6 +519,15 @@ def moe_load_balance(spark, sf_dir):
     return out.select("expert", "tokens", F.sum("tokens").over(every.orderBy("expert")).alias("upto"), _r("p").alias("mean_prob"), _r(F.col("tokens") * 4 / F.sum("tokens").over(every) * F.col("p")).alias("load"))
 
 
+@query("""WITH g AS (SELECT vec_id, label, unnest(range(0, 64)) AS e, embedding[unnest(range(1, 65))]::DOUBLE AS x FROM embeddings), s AS (SELECT vec_id, label, e, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, e) AS r FROM s), c AS (SELECT label, e, sum(CASE WHEN r <= 2 THEN 1 ELSE 0 END) * 64 / (count(*) * 2) AS load, avg(p) AS p FROM k GROUP BY label, e)
+SELECT label, round(0.1 * sum(load * p), 6) AS loss FROM c GROUP BY label""")
+def sequence_balance_loss(spark, sf_dir):
+    """Labels stand in for sequences and all components for experts."""
+    rows = _t(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    return rewards.balance_loss(rows, "label", "logits", 64, 2, 0.1).select("label", _r("loss").alias("loss"))
+
+
 @query("SELECT event_id, round(0.001 * (0.1 + 0.45 * (1 + cos(pi() * event_id / 1000))), 9) AS lr FROM events")
 def lr_schedule(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", _r(rewards.cosine_rate(F.col("event_id"), 1000, 0.001), 9).alias("lr"))
@@ -438,8 +535,7 @@ def lr_schedule(spark, sf_dir):
 
 @query("SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best FROM events")
 def running_best(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _t(spark, sf_dir, "events").select("event_id", F.min("value").over(w).alias("best"))
+    return _t(spark, sf_dir, "events").select("event_id", metrics.best_so_far("value", "event_id", "user_id").alias("best"))
 
 
 _LOGP = """v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS p, list_transform(embedding[9:16], lambda x: CAST(x AS DOUBLE)) AS q, list_transform(embedding[17:24], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM embeddings),
@@ -470,6 +566,16 @@ def ppo_losses(spark, sf_dir):
     return a.agg(_r(F.avg(rewards.ppo_surrogate(F.exp(F.col("lp") - F.col("lq")), F.col("lp")))).alias("policy_loss"), _r(F.avg((F.col("lp") - F.col("lq")) ** 2)).alias("value_loss"))
 
 
+@query("""WITH e AS (SELECT -value / 100 AS a, -(value + 1) / 100 AS o, -(value + 2 * (event_id % 3)) / 100 AS r, event_id % 7 - 3 AS adv, value / 100 AS v, (event_id % 5) / 5 AS w FROM events),
+s AS (SELECT avg(-least(exp(a - o) * adv, least(1.005, greatest(0.995, exp(a - o))) * adv)) AS p, avg((v - w) * (v - w)) AS q, avg(a - o) AS k, avg(a - r) AS f FROM e)
+SELECT round(p, 6) AS policy_loss, round(q, 6) AS value_loss, round(k, 6) AS kl, round(f, 6) AS kl_reference, round(p + 0.5 * q + 0.02 * f, 6) AS loss FROM s""")
+def ppo_loss_terms(spark, sf_dir):
+    v = F.col("value")
+    rows = _t(spark, sf_dir, "events").select((-v / 100).alias("a"), (-(v + 1) / 100).alias("o"), (-(v + 2 * (F.col("event_id") % 3)) / 100).alias("r"), (F.col("event_id") % 7 - 3).alias("adv"), (v / 100).alias("v"), (F.col("event_id") % 5 / 5).alias("w"))
+    loss = rewards.ppo_loss(rows, "a", "o", "r", "adv", "v", "w", clip=0.005)
+    return loss.select(*[_r(c).alias(c) for c in loss.columns])
+
+
 @query("""WITH b AS (SELECT user_id, sum(value) AS total, avg(value) AS mean, count(*) AS n FROM events GROUP BY user_id) SELECT round(avg(mean), 6) AS loss, count(*) AS batches FROM b""")
 def validation_loss(spark, sf_dir):
     """The mean of batch means, each batch counting once."""
@@ -491,6 +597,14 @@ def eos_rules(spark, sf_dir):
     return t.select("o_orderkey", ends.alias("ends_normal"), F.size(a).cast("long").alias("content_a"), F.when(ends, "eos").otherwise("length").alias("finish_reason"), F.size(b).cast("long").alias("content_b"), F.when(at > 0, at).otherwise(F.size("ids").cast("long")).alias("length_to_eos"), ((F.array_min("ids") >= 0) & (F.array_max("ids") < 11)).alias("in_range"), F.element_at("ids", -1).alias("last_id"))
 
 
+@query(f"""WITH {_IDS} SELECT round(avg(CASE WHEN list_position(ids, 2) > 0 THEN list_position(ids, 2) ELSE 8 END), 6) AS mean_length, count(*) AS n, bool_and(list_min(ids) >= 0 AND list_max(ids) < 11) AS in_range FROM i""")
+def mean_response_length(spark, sf_dir):
+    ids = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.col("o_orderkey") * 7 + j * 3) % 11)
+    t = _t(spark, sf_dir, "orders").select(ids.alias("ids"))
+    sound = t.agg(F.bool_and(rewards.ids_in_range(F.col("ids"), 11)).alias("in_range"))
+    return rewards.mean_length(t, "ids", 2).join(F.broadcast(sound)).select(_r("mean_length").alias("mean_length"), "n", "in_range")
+
+
 @query(f"""WITH {_IDS}, w AS (SELECT o_orderkey, list_transform(range(1, 6), lambda p: ids[p] * 1331 + ids[p + 1] * 121 + ids[p + 2] * 11 + ids[p + 3]) AS g FROM i) SELECT o_orderkey, round((5 - len(list_distinct(g))) / 5, 6) AS rep FROM w""")
 def token_repetition(spark, sf_dir):
     ids = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.col("o_orderkey") * 7 + j * 3) % 11)
@@ -499,8 +613,7 @@ def token_repetition(spark, sf_dir):
 
 @query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 4 AS BIGINT) AS rank FROM orders")
 def shard_by_rank(spark, sf_dir):
-    n = F.row_number().over(Window.orderBy("o_orderkey")) - 1
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.pmod(n, F.lit(4)).cast("long").alias("rank"))
+    return curate.shard(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 4)
 
 
 @query("SELECT event_id, CAST(event_id * 8 // 3 AS BIGINT) AS step FROM events")
@@ -509,11 +622,6 @@ def resume_step(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.expr("event_id * 8 div 3").alias("step"))
 
 
-@query(f"SELECT doc_id FROM documents ORDER BY {_HASH.format(seed=9)}, doc_id LIMIT 50")
-def seeded_shuffle(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id").orderBy(curate.hash_rank(F.col("doc_id"), 9), "doc_id").limit(50)
-
-
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH.format(seed=9)}, doc_id) - 1 AS rank FROM documents")
 def seeded_shuffle_all(spark, sf_dir):
     """Every document with its place in the shuffle."""

