@@ -72,25 +72,32 @@ def _with_sums(cells: DataFrame, margin: str, sums: dict[str, Column], small: bo
     return cells.join(cells.groupBy(margin).agg(*[F.sum(c).alias(k) for k, c in sums.items()]), margin)
 
 
+def _spread(rows: DataFrame) -> float:
+    """The factor by which ``wanted``, held under ``most``, sums to 1 (or to all of ``most`` where that is less).
+
+    It follows from the rows over their caps at the factor before, and only grows.
+    """
+    factor = 1 / (rows.agg(F.sum("wanted")).first()[0] or 1)
+    while True:
+        over = F.col("wanted") * factor >= F.col("most")
+        held, free = rows.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("wanted"))), F.lit(0.0))).first()
+        following = (1 - held) / free if free > 0 else factor
+        if following <= factor * (1 + 1e-12):
+            return factor
+        factor = following
+
+
 def _goals(cells: DataFrame, margin: str, shares: DataFrame, capped: bool) -> DataFrame:
     """(margin, to_margin): what the weights of each value are to sum to; 1 in all, and none over its caps.
 
     Values without a target keep their share; a target of values without cells is spread over the others, as is what
-    is over the caps: the factor for it follows from the values over their caps at the factor before, and only grows.
+    is over the caps.
     """
     goal = f"to_{margin}"
     by = cells.groupBy(margin).agg(F.sum("raw").alias("own"), F.sum("cap").alias("most"))
     by = by.join(shares.select(F.col("value").alias(margin), "share"), margin, "left")
     by = materialize(by.select(margin, "most", F.coalesce("share", "own").alias("wanted")), "goals")
-    factor = 1 / (by.agg(F.sum("wanted")).first()[0] or 1)
-    while capped:
-        over = F.col("wanted") * factor >= F.col("most")
-        held, free = by.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("wanted"))), F.lit(0.0))).first()
-        following = (1 - held) / free if free > 0 else factor
-        if following <= factor * (1 + 1e-12):
-            break
-        factor = following
-    wanted = F.col("wanted") * factor
+    wanted = F.col("wanted") * (_spread(by) if capped else 1 / (by.agg(F.sum("wanted")).first()[0] or 1))
     return by.select(margin, (F.least("most", wanted) if capped else wanted).alias(goal))
 
 
@@ -102,7 +109,7 @@ def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float
     gap over the tolerance is warned of, or with ``strict`` an error. Values without a target keep the share they have
     among all; a target of values without cells is spread over the others. With ``keep``, a share of all tokens up to 1,
     no weight is over what its cell's tokens are of that many; targets over what a value's cells can give are spread
-    over the others. Without cells there are no weights.
+    over the others, and weights sum to 1 even where margins do not agree. Without cells there are no weights.
     """
     count, total = cell_tokens.agg(F.count("*"), F.sum("tokens")).first()
     if not count:
@@ -116,7 +123,7 @@ def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float
         out = out.join(broadcast_if_small(_goals(out, name, targets[name], capped)), name)
     out = materialize(out, "cells")
     weight = F.least("raw", "cap")
-    gap = float("inf")
+    gap, best, idle = float("inf"), float("inf"), 0
     for _ in range(rounds):
         step, written = together(out), [out]
         for _ in range(steps):
@@ -134,14 +141,17 @@ def rake(cell_tokens: DataFrame, targets: dict[str, DataFrame], tolerance: float
         for name in targets:
             apart = together(out).groupBy(name).agg(F.abs(F.sum(weight) - F.first(f"to_{name}")).alias("off"))
             gaps.append(apart.agg(F.max("off")).first()[0] or 0.0)
-        before, gap = gap, max(gaps, default=0.0)
-        if gap <= tolerance or gap > STALLED * before:
+        gap = max(gaps, default=0.0)
+        idle = idle + 1 if gap > STALLED * best else 0
+        best = min(best, gap)
+        if gap <= tolerance or idle == 2:
             break
     if gap > tolerance:
         if strict:
             raise ValueError(f"a margin is off its target by {gap}")
         warnings.warn(f"a margin is off its target by {gap}", stacklevel=2)
-    return out.select(*cell_tokens.columns, weight.alias("weight"), F.lit(float(gap)).alias("margin_gap"))
+    factor = _spread(out.select(weight.alias("wanted"), F.col("cap").alias("most"))) if capped else 1.0
+    return out.select(*cell_tokens.columns, F.least("cap", weight * factor).alias("weight"), F.lit(float(gap)).alias("margin_gap"))
 
 
 def probabilities(raked: DataFrame, budget: float | None = None, keep: float = KEEP) -> DataFrame:
