@@ -7,7 +7,7 @@ the offending ones. A word's score is the sum of the weights of its prefixes and
 negative: harmless words around an offence don't make up for it, in sentences of any length.
 
 The bias is learnt with the weights: documents of many harmless sentences push it down until their noisy-or is small,
-whatever their length. A few labels are taken to be wrong (``WRONG``), or a toxic label without any telling word would
+whatever their length. A few toxic labels are taken to be wrong (``WRONG``), or one without any telling word would
 pull the bias up for all. Scores are those of the fitted model, every sentence counting.
 """
 
@@ -30,10 +30,10 @@ PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 PER_CLASS = 2500  # labelled documents of each class that a fit looks at
 BIAS = -6.0  # log-odds of a sentence without telling words that a fit begins with
 TOXIC_SHARE = 0.75  # of the likelihood that toxic documents have together, whatever their number
-WRONG = 0.05  # share of labels of either class that the likelihood takes to be wrong
+WRONG = 0.05  # share of harmless documents that the likelihood takes to be labelled toxic
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-EPOCHS = 120
+EPOCHS = 80
 SPARSENESS = 1e-5  # slope of the penalty on the sum of weights
 LEAST_DOCUMENTS = 4  # features of fewer training documents have no weight
 KNOWN_WORDS = 400_000
@@ -54,7 +54,7 @@ def word_features(word: str) -> list[int]:
 
 
 def loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels, share, wrong: float = WRONG):
-    """(negative log-likelihood, its slope by feature, its slope by the bias) of the noisy-or with labels wrong at a rate.
+    """(negative log-likelihood, its slope by feature, its slope by the bias) of the noisy-or, toxic labels being wrong at a rate.
 
     ``feature`` and ``feature_word`` pair features with words, ``words`` and ``sentence_of`` words with sentences, and
     ``doc_of`` has the document of each sentence. ``share`` weighs documents.
@@ -63,12 +63,12 @@ def loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels,
     score = np.bincount(feature_word, theta[feature], minlength=n_words)
     z = np.clip(bias + np.bincount(sentence_of, score[words], minlength=n_sentences), -30, 30)
     clean = np.exp(np.bincount(doc_of, -np.logaddexp(0, z), minlength=n_docs))
-    says = np.where(labels == 1, wrong + (1 - 2 * wrong) * (1 - clean), 1 - wrong - (1 - 2 * wrong) * (1 - clean))
-    # d clean / dz = -clean * p of the sentence
-    blame = np.where(labels == 1, -1, 1) * share * (1 - 2 * wrong) * clean / says
+    says = np.where(labels == 1, wrong + (1 - wrong) * (1 - clean), (1 - wrong) * clean)
+    # d clean / dz = -clean * p of the sentence; what clean documents say never levels off, however toxic they look
+    blame = share * np.where(labels == 1, -(1 - wrong) * clean / np.maximum(says, 1e-9), 1)
     by_sentence = blame[doc_of] / (1 + np.exp(-z))
     by_word = np.bincount(words, by_sentence[sentence_of], minlength=n_words)
-    return float(-(share * np.log(says)).sum()), np.bincount(feature, by_word[feature_word], minlength=len(theta)), float(by_sentence.sum())
+    return float(-(share * np.log(np.maximum(says, 1e-300))).sum()), np.bincount(feature, by_word[feature_word], minlength=len(theta)), float(by_sentence.sum())
 
 
 def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:

@@ -28,7 +28,7 @@ def plain(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels
         for s in np.flatnonzero(doc_of == d):
             z = bias + sum(theta[f] for w in words[sentence_of == s] for f, v in zip(feature, feature_word) if v == w)
             clean *= 1 - 1 / (1 + math.exp(-z))
-        says = wrong + (1 - 2 * wrong) * (1 - clean)
+        says = wrong + (1 - wrong) * (1 - clean)  # only harmless documents are labelled wrongly
         total -= share[d] * math.log(says if y else 1 - says)
     return total
 
