@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 #: Code points that count as white space; one spelling that Java and RE2 both read.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LOOP_SHORTEST, LOOP_LONGEST = 2, 32
+# The texts that the chat markup puts around messages.
+DEFAULT_SYSTEM = "You are a helpful assistant"
+NO_THOUGHT = "<think>\n\n</think>\n\n"
+TOOLS_LEAD = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_TAIL = "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call>"
 
 
 def strip(c: Column) -> Column:
@@ -74,6 +79,49 @@ def render_chat(messages: Column, generate: bool = False) -> Column:
     return F.concat(turns, F.lit("<|im_start|>assistant\n")) if generate else turns
 
 
+def _turn(role: Column | str, body: Column) -> Column:
+    return F.concat(F.lit("<|im_start|>"), F.lit(role) if isinstance(role, str) else role, F.lit("\n"), body, F.lit("<|im_end|>\n"))
+
+
+def _calls(calls: Column, content: Column) -> Column:
+    """Tool calls, array<struct<name, arguments>> with arguments as JSON, one a line below the content."""
+    one = lambda c: F.concat(F.lit('<tool_call>\n{"name": "'), c["name"], F.lit('", "arguments": '), c["arguments"], F.lit("}\n</tool_call>"))
+    joined = F.array_join(F.transform(calls, one), "\n")
+    return F.when(F.coalesce(F.size(calls), F.lit(0)) < 1, "").when(content == "", joined).otherwise(F.concat(F.lit("\n"), joined))
+
+
+def chat_prompt(messages: Column, generate: bool = False, thinking: bool = True, tools: Column | None = None, calls: bool = False) -> Column:
+    """A conversation by the rules of the model's chat template.
+
+    A system turn comes first: the first message if it is one, else DEFAULT_SYSTEM. With ``tools`` (array of JSON
+    strings, not empty) that turn lists them, and has no default. Neighbouring tool messages share one user turn; with
+    ``calls`` messages have ``tool_calls``. Null contents are empty, other roles leave no turn. ``generate`` opens the
+    assistant's turn, with an empty thought unless ``thinking``. Null for null.
+    """
+    first = F.get(messages, F.lit(0))
+    own = F.when(first["role"] == "system", F.coalesce(first["content"], F.lit("")))
+    head = F.coalesce(own, F.lit(DEFAULT_SYSTEM))
+    if tools is not None:
+        listed = F.concat(F.lit(TOOLS_LEAD), F.concat_ws("", F.transform(tools, lambda t: F.concat(F.lit("\n"), t))), F.lit(TOOLS_TAIL))
+        head = F.when(F.size(tools) > 0, F.concat(F.coalesce(F.concat(own, F.lit("\n\n")), F.lit("")), listed)).otherwise(head)
+
+    def turn(m: Column, i: Column) -> Column:
+        text = F.coalesce(m["content"], F.lit(""))
+        is_tool = lambda at: F.coalesce(F.get(messages, at)["role"] == "tool", F.lit(False))
+        opened = F.when(is_tool(i - 1), "").otherwise("<|im_start|>user")
+        closed = F.when(is_tool(i + 1), "").otherwise("<|im_end|>\n")
+        said = F.concat(text, _calls(m["tool_calls"], text)) if calls else text
+        return (
+            F.when((m["role"] == "user") | ((m["role"] == "system") & (i > 0)), _turn(m["role"], text))
+            .when(m["role"] == "assistant", _turn("assistant", said))
+            .when(m["role"] == "tool", F.concat(opened, F.lit("\n<tool_response>\n"), text, F.lit("\n</tool_response>"), closed))
+            .otherwise("")
+        )
+
+    opening = "<|im_start|>assistant\n" + ("" if thinking else NO_THOUGHT) if generate else ""
+    return F.when(messages.isNotNull(), F.concat(_turn("system", head), F.array_join(F.transform(messages, turn), ""), F.lit(opening)))
+
+
 def parse_chat(c: Column) -> Column:
     """Messages of rendered chat markup, contents stripped."""
     pattern = F.lit(rf"(?s)<\|im_start\|>(system|user|assistant){WS}+(.*?)<\|im_end\|>")

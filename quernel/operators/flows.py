@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import attributes as A
 from quernel.functions import text as X
-from quernel.operators import curate, metrics, runs
+from quernel.operators import curate, metrics, rewards, runs
 from quernel.plans.storage import materialize
 from quernel.sources import jsonl, reports
 
@@ -116,8 +116,8 @@ def evaluate(rows: DataFrame, outputs: DataFrame | None = None, eos: int | None
     names = ["reference_metrics"]
     if outputs is not None:
         ids = F.col("token_ids")
-        normal = F.lit(None).cast("boolean") if eos is None else F.element_at(ids, -1) == eos
-        content = F.when(normal, F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(ids)
+        normal = F.lit(None).cast("boolean") if eos is None else rewards.ends_normally(ids, eos)
+        content = ids if eos is None else rewards.without_last_eos(ids, eos)
         samples = samples.join(outputs, "line_number").withColumn("output_metrics", A.score(F.col("output"), F.col("attributes"), content, normal))
         names.append("output_metrics")
     samples = materialize(samples, "samples")

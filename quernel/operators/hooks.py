@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import math
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,6 +59,35 @@ def score_candidates(groups: DataFrame, factory: Callable[[], Callable[[list], f
     return groups.select("group_id", "messages", "candidate_id", "text").mapInPandas(run, schema)
 
 
+def answer_lines(lines: DataFrame, factory: Callable[[], Callable[[list], float]], line: str = "value") -> DataFrame:
+    """``lines`` with ``response``: a line protocol, one JSON request {"conversation": [...]} to one JSON answer a line.
+
+    An answer is {"score": x}, or {"error": "Type: message"} of its line alone: requests out of form, a scorer that
+    fails, a score that is not finite. Works on streams. What a factory prints goes to the standard error.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with contextlib.redirect_stdout(sys.stderr):
+            scorer = factory()
+        try:
+            for frame in frames:
+                yield frame.assign(response=[answer(scorer, x) for x in frame[line]])
+        finally:
+            if hasattr(scorer, "close"):
+                scorer.close()
+
+    def answer(scorer, request: str | None) -> str:
+        try:
+            score = float(scorer(json.loads(request)["conversation"]))
+            if not math.isfinite(score):
+                raise ValueError("the score is not finite")
+            return json.dumps({"score": score})
+        except Exception as error:  # isolated by line, told in the answer
+            return json.dumps({"error": f"{type(error).__name__}: {error}"}, ensure_ascii=False)
+
+    return lines.mapInPandas(run, T.StructType([*lines.schema, T.StructField("response", T.StringType())]))
+
+
 def generate(prompts: DataFrame, factory: Callable[[], Callable[[str, int], str]], count: int, seed: int) -> DataFrame:
     """``count`` candidates a prompt (group_id, prompt): candidate_id, seed and text; seeds follow from the group's place ``idx``."""
     rows = prompts.select("group_id", "prompt", "idx", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("j"))

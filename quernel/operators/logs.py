@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BASELINE, TREND = 0.693147, 0.005
 
 
+def decoded(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Lines of a log in which bytes that are no UTF-8 are replaced by U+FFFD."""
+    return lines.withColumn(line, F.make_valid_utf8(line))
+
+
 def losses(lines: DataFrame, line: str = "value", order: str = "line_number") -> DataFrame:
     """(order, pos, loss): every ``loss:<number>`` of every line in turn."""
     found = F.regexp_extract_all(F.col(line), F.lit(r"loss:([0-9]+(?:\.[0-9]+)?)"), F.lit(1))

@@ -165,6 +165,26 @@ def first_eos(ids: Column, eos: int) -> Column:
     return F.when(at > 0, at).otherwise(F.size(ids)).cast("long")
 
 
+def ends_normally(ids: Column, eos: int) -> Column:
+    """Whether the last id is the end token; false without ids."""
+    return F.coalesce(F.get(ids, F.size(ids) - 1) == eos, F.lit(False))
+
+
+def without_last_eos(ids: Column, eos: int) -> Column:
+    """Content ids by the rule of the last id: all but an end token at the end."""
+    return F.when(ends_normally(ids, eos), F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(ids)
+
+
+def before_first_eos(ids: Column, eos: int) -> Column:
+    """Content ids by the rule of the first end token anywhere: those before it, or all without one."""
+    at = F.array_position(ids, eos).cast("int")
+    return F.when(at > 0, F.slice(ids, F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(ids)
+
+
+def finish_reason(normal: Column) -> Column:
+    return F.when(normal, "eos").otherwise("length")
+
+
 def upto_eos(ids: Column, eos: int) -> Column:
     """1 for every place up to and with the first end token, 0 after it."""
     return let(first_eos(ids, eos), lambda n: F.transform(ids, lambda x, i: (i < n).cast("int")))

@@ -297,6 +297,32 @@ def chat_markup_roundtrip(spark, sf_dir):
     return rows.withColumn("p", X.parse_chat(F.col("text"))).select("conv_id", F.md5("text").alias("rendered"), F.size("p").cast("long").alias("parsed"), (F.col("p") == stripped).alias("same"))
 
 
+_TURN_SQL = """m AS (SELECT conv_id, turn, CASE WHEN turn > 1 AND turn % 4 <> 0 AND conv_id % 3 = 0 THEN 'tool' ELSE role END AS role, text FROM conversations WHERE NOT (conv_id % 2 = 0 AND role = 'system')),
+n AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, lead(role) OVER w AS after FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, i, CASE WHEN i = 1 AND role = 'system' THEN text END AS head, CASE WHEN i = 1 AND role = 'system' THEN '' WHEN role <> 'tool' THEN '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)
+  ELSE CASE WHEN before IS NOT DISTINCT FROM 'tool' THEN '' ELSE '<|im_start|>user' END || chr(10) || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || CASE WHEN after IS NOT DISTINCT FROM 'tool' THEN '' ELSE '<|im_end|>' || chr(10) END END AS s FROM n)"""
+
+
+@query(f"""WITH {_TURN_SQL} SELECT conv_id, max(head) IS NULL AS by_default, md5('<|im_start|>system' || chr(10) || coalesce(max(head), 'You are a helpful assistant') || '<|im_end|>' || chr(10) || string_agg(s, '' ORDER BY i)
+ || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)) AS prompt FROM t GROUP BY conv_id""")
+def chat_template(spark, sf_dir):
+    """Prompts with and without a system message of their own, some turns of tools, an empty thought at the end."""
+    c = _t(spark, sf_dir, "conversations").where("NOT (conv_id % 2 = 0 AND role = 'system')")
+    role = F.when((F.col("turn") > 1) & (F.col("turn") % 4 != 0) & (F.col("conv_id") % 3 == 0), "tool").otherwise(F.col("role"))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), F.col("text").alias("content")))).alias("t"))
+    m = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    by_default = F.get("t", F.lit(0))["role"] != "system"
+    return turns.select("conv_id", by_default.alias("by_default"), F.md5(X.chat_prompt(m, generate=True, thinking=False)).alias("prompt"))
+
+
+@query("""WITH p AS (SELECT regexp_extract_all(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', '' ORDER BY turn), '(?s)<\\|im_start\\|>(?:system|user|assistant)\\s+(.*?)<\\|im_end\\|>', 1) AS c, conv_id FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(len(c) AS BIGINT) AS messages, md5(array_to_string(list_transform(c, lambda x: trim(x)), '|')) AS contents FROM p""")
+def chat_markup_parse(spark, sf_dir):
+    """Contents read back from the markup alone."""
+    p = _nested(spark, sf_dir).select("conv_id", X.parse_chat(X.render_chat(F.col("messages"))).alias("p"))
+    return p.select("conv_id", F.size("p").cast("long").alias("messages"), F.md5(F.array_join(F.transform("p", lambda m: m["content"]), "|")).alias("contents"))
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def style_counts(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang")
@@ -591,10 +617,17 @@ def eos_rules(spark, sf_dir):
     """Two rules: the last id is the end token; the end token is anywhere."""
     ids = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.col("o_orderkey") * 7 + j * 3) % 11)
     t = _t(spark, sf_dir, "orders").select("o_orderkey", ids.alias("ids"))
-    ends, at = F.element_at("ids", -1) == 2, F.array_position("ids", F.lit(2).cast("long"))
-    a = F.when(ends, F.slice("ids", F.lit(1), F.size("ids") - 1)).otherwise(F.col("ids"))
-    b = F.when(at > 0, F.slice("ids", F.lit(1), (at - 1).cast("int"))).otherwise(F.col("ids"))
-    return t.select("o_orderkey", ends.alias("ends_normal"), F.size(a).cast("long").alias("content_a"), F.when(ends, "eos").otherwise("length").alias("finish_reason"), F.size(b).cast("long").alias("content_b"), F.when(at > 0, at).otherwise(F.size("ids").cast("long")).alias("length_to_eos"), ((F.array_min("ids") >= 0) & (F.array_max("ids") < 11)).alias("in_range"), F.element_at("ids", -1).alias("last_id"))
+    i, ends = F.col("ids"), rewards.ends_normally(F.col("ids"), 2)
+    return t.select(
+        "o_orderkey",
+        ends.alias("ends_normal"),
+        F.size(rewards.without_last_eos(i, 2)).cast("long").alias("content_a"),
+        rewards.finish_reason(ends).alias("finish_reason"),
+        F.size(rewards.before_first_eos(i, 2)).cast("long").alias("content_b"),
+        rewards.first_eos(i, 2).alias("length_to_eos"),
+        rewards.ids_in_range(i, 11).alias("in_range"),
+        F.element_at("ids", -1).alias("last_id"),
+    )
 
 
 @query(f"""WITH {_IDS} SELECT round(avg(CASE WHEN list_position(ids, 2) > 0 THEN list_position(ids, 2) ELSE 8 END), 6) AS mean_length, count(*) AS n, bool_and(list_min(ids) >= 0 AND list_max(ids) < 11) AS in_range FROM i""")
@@ -649,6 +682,20 @@ def score_candidates(spark, sf_dir):
     return hooks.score_candidates(groups, factory)
 
 
+@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN '{"error": "KeyError: ''conversation''"}' WHEN 1 THEN '{"error": "JSONDecodeError: Expecting value: line 1 column 1 (char 0)"}' WHEN 2 THEN '{"error": "ValueError: the score is not finite"}'
+ ELSE '{"score": ' || length(text) || '.0}' END AS response FROM benchmark""")
+def reward_service(spark, sf_dir):
+    """Requests as lines of JSON, three of four out of form or without a finite score; the length stands in for a score."""
+    turn = F.struct(F.lit("user").alias("role"), F.when(F.col("item_id") % 4 != 2, F.col("text")).alias("content"))
+    asked = F.to_json(F.struct(F.array(turn).alias("conversation")), {"ignoreNullFields": "false"})
+    line = F.when(F.col("item_id") % 4 == 0, "{}").when(F.col("item_id") % 4 == 1, "no json").otherwise(asked)
+
+    def factory():
+        return lambda turns: float("nan") if turns[-1]["content"] is None else len(turns[-1]["content"])
+
+    return hooks.answer_lines(_t(spark, sf_dir, "benchmark").select("item_id", line.alias("value")), factory).select("item_id", "response")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     """An extension: the windowed aggregation that streams use, over the whole table."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.logs import losses, summarize
+from quernel.operators.hooks import answer_lines
+from quernel.operators.logs import decoded, losses, summarize
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -17,11 +18,25 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes"
 
 
 def follow_log(spark: SparkSession, folder: str, checkpoint: str, report: Callable[[dict], None]):
-    """Summarise each batch of new log lines in ``folder`` and hand the row to ``report``."""
-    lines = spark.readStream.text(folder)
+    """Hand ``report`` a summary of all lines of the logs in ``folder`` so far, anew with each batch of new lines.
+
+    Losses are kept beside the checkpoint by batch, so that a batch that is run again replaces its own. Lines are in the
+    order of batches, then files, then places. A batch without a loss gives no report if none came before.
+    """
+    lines = spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("_file"))
+    kept = f"{checkpoint.rstrip('/')}-losses"
 
     def each(batch: DataFrame, epoch: int) -> None:
-        numbered = batch.withColumn("line_number", F.monotonically_increasing_id())
-        report(summarize(losses(numbered)).first().asDict() | {"epoch": epoch})
+        placed = decoded(batch).withColumn("line_number", F.struct(F.lit(epoch).alias("epoch"), "_file", F.monotonically_increasing_id().alias("place")))
+        losses(placed).write.mode("overwrite").parquet(f"{kept}/epoch={epoch}")
+        every = spark.read.option("basePath", kept).parquet(f"{kept}/epoch=*").where(F.col("epoch") <= epoch).drop("epoch")
+        if not every.isEmpty():
+            report(summarize(every).first().asDict() | {"epoch": epoch})
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def serve_requests(spark: SparkSession, folder: str, out: str, checkpoint: str, factory: Callable):
+    """Answer request lines that arrive in ``folder`` (``hooks.answer_lines``) as lines of text files in ``out``."""
+    answers = answer_lines(spark.readStream.text(folder), factory).select("response")
+    return answers.writeStream.format("text").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
