@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quernel.functions.attributes import coverage
 from quernel.functions.text import char_repetition, chars, has_loop, let, occurrences, squeeze, strip
+from quernel.operators import curate
+from quernel.plans.storage import discard, materialize
 
 # Names of the features of a candidate, and the words that mark a malformed one.
 FEATURES = ("bias", "attr_coverage", "length_quality", "char_repeat", "token_repeat", "eos_complete", "malformed")
@@ -43,11 +45,16 @@ def sigmoid(x: Column) -> Column:
 def fit_pairwise(pairs: DataFrame, order: str, diff: str = "diff", epochs: int = 3000, rate: float = 0.08, l2: float = 0.1, clip: float = 10.0, most_pairs: int = 200_000) -> dict:
     """Pairwise logistic weights from zero by full-batch ascent; the first four fifths by ``order`` train, the rest is held out.
 
-    Pairs are collected up to ``most_pairs`` (a documented bound); more raise an error.
+    Up to ``most_pairs`` pairs are collected and climbed by ``epochs`` steps. More stay where they are: ``_fit_where_they_are``
+    goes to the optimum that the ascent nears (tested to agree). ``order`` is to be unique.
     """
-    rows = pairs.orderBy(order).select(diff).limit(most_pairs + 1).collect()
-    if len(rows) > most_pairs:
-        raise ValueError("too many pairs to fit on the driver")
+    pairs = materialize(pairs.select(order, diff), "pairs")
+    if pairs.count() > most_pairs:
+        fitted = _fit_where_they_are(pairs, order, diff, l2, clip)
+        discard(pairs)
+        return fitted
+    rows = pairs.orderBy(order).select(diff).collect()
+    discard(pairs)
     d = np.array([r[0] for r in rows], float).reshape(len(rows), -1)
     cut = max(1, int(0.8 * len(d)))
     w = np.zeros(d.shape[1])
@@ -58,6 +65,50 @@ def fit_pairwise(pairs: DataFrame, order: str, diff: str = "diff", epochs: int =
     return {"weights": w.tolist(), "pairs": len(d), "train_pairs": cut, "val_pairs": len(d) - cut, "train_accuracy": right(d[:cut]), "val_accuracy": right(d[cut:])}
 
 
+def _fit_where_they_are(pairs: DataFrame, order: str, diff: str, l2: float, clip: float, most_steps: int = 50) -> dict:
+    """Newton's method on the same likelihood; a step is one aggregation of slopes and curvatures, and only sums reach the driver.
+
+    The likelihood is strictly concave, so that there is one optimum. One beyond ``clip`` is an error.
+    """
+    numbered = materialize(curate.numbered(pairs, order, "_n"), "numbered-pairs")
+    n, width = numbered.agg(F.count("*"), F.max(F.size(diff))).first()
+    cut = max(1, int(0.8 * n))
+    x = [F.get(diff, F.lit(i)) for i in range(width)]
+    score = lambda w: sum((F.lit(float(a)) * b for a, b in zip(w, x)), F.lit(0.0))
+    upper = [(i, j) for i in range(width) for j in range(i, width)]
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, slopes and curvatures."""
+        rows = numbered.where(F.col("_n") < cut).select(*[v.alias(f"x{i}") for i, v in enumerate(x)], score(w).alias("s"))
+        rows = rows.withColumn("p", sigmoid(F.col("s")))
+        spread = F.col("p") * (1 - F.col("p"))
+        slopes = [F.sum((1 - F.col("p")) * F.col(f"x{i}")) for i in range(width)]
+        curves = [F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in upper]
+        sums = np.array(rows.agg(F.sum(F.log("p")), *slopes, *curves).first(), float) / cut
+        curved = np.zeros((width, width))
+        for (i, j), v in zip(upper, sums[1 + width :]):
+            curved[i, j] = curved[j, i] = v
+        return sums[0] - l2 / 2 * float(w @ w), sums[1 : 1 + width] - l2 * w, curved + l2 * np.eye(width)
+
+    w = np.zeros(width)
+    value, slope, curved = at(w)
+    for _ in range(most_steps):
+        if np.abs(slope).max() < 1e-12:
+            break
+        step = np.linalg.solve(curved, slope)
+        following = at(w + step)
+        while following[0] < value - 1e-12 and np.abs(step).max() > 1e-12:  # too far
+            step = step / 2
+            following = at(w + step)
+        w, (value, slope, curved) = w + step, following
+    if np.abs(w).max() > clip:
+        raise ValueError("the optimum lies beyond the clip")
+    seen = F.col("_n") < cut
+    right = numbered.agg(F.count_if(seen & (score(w) > 0)), F.count_if(~seen & (score(w) > 0))).first()
+    discard(numbered)
+    return {"weights": w.tolist(), "pairs": n, "train_pairs": cut, "val_pairs": n - cut, "train_accuracy": right[0] / cut, "val_accuracy": right[1] / max(1, n - cut)}
+
+
 def rule_reward(text: Column, attributes: Column, coverage_weight: float = 1.0, repeat: float = 0.5, loop: float = 0.5, length: float = 0.2) -> Column:
     """Coverage less penalties for repetition, loops and lengths out of 20 to 520; null attributes count as uncovered."""
     n = F.length(text)

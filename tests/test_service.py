@@ -83,6 +83,17 @@ def test_logs_with_bad_bytes_and_in_batches(spark, tmp_path):
     assert [s["n"] for s in seen] == [2, 3] and seen[1]["max_loss"] == 2.0 and seen[1]["min_loss"] == 0.5
 
 
+def test_many_pairs_are_fitted_where_they_are(spark):
+    rows = [(i, [1.0, ((i * 37) % 11 - 4) / 10, ((i * 17) % 7 - 3) / 5 + (0.3 if i % 3 else -0.4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "n int, diff array<double>").repartition(5)
+    near = rewards.fit_pairwise(df, "n")
+    there = rewards.fit_pairwise(df, "n", most_pairs=10)
+    assert there["weights"] == pytest.approx(near["weights"], abs=1e-8)
+    assert {k: v for k, v in there.items() if k != "weights"} == {k: v for k, v in near.items() if k != "weights"}
+    with pytest.raises(ValueError, match="beyond the clip"):
+        rewards.fit_pairwise(df, "n", most_pairs=10, clip=0.01)
+
+
 def test_end_tokens(spark):
     df = spark.createDataFrame([([1, 2],), ([2, 1],), ([1, 1],), ([],), ([2],)], "i array<int>").coalesce(1)
     i = F.col("i")
