@@ -155,7 +155,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = LIMI
                 t = t or ""
                 n_bytes.append(len(t.encode("utf-8", "surrogatepass")))
                 extra.append(0)
-                if special is None or "<|" not in t:
+                if not any(s in t for s in merger.specials):
                     found.append(words(t))
                 else:
                     parts = special.split(t)

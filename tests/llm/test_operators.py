@@ -99,6 +99,22 @@ def test_merges_agree_with_one_at_a_time():
     assert merger.counts(words).tolist() == [slow(w) for w in words]
 
 
+def test_special_strings_of_another_vocabulary(spark, tmp_path):
+    """Whatever they look like, as the library for the same file has them."""
+    from tokenizers import Tokenizer
+
+    with open(tokens.vocabulary(), encoding="utf-8") as file:
+        spec = json.load(file)
+    for token, content in zip(spec["added_tokens"], ("[S]", "##e")):
+        token["content"] = content
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    library = Tokenizer.from_file(str(path))
+    texts = ["one [S]two##end", "[s] ##E <|endoftext|>", "##", "[S][S]", ""]
+    got = tokens.count_tokens(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), str(path)).collect()
+    assert {r["i"]: r["n_tokens"] for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 
 
