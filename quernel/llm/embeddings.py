@@ -16,7 +16,6 @@ over TILE vectors are cut into tiles.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -39,11 +38,15 @@ TRIALS = 20_000  # random pairs by which a table's chance to bring a pair togeth
 SEED = 20240
 
 
-@functools.cache
+_ROTATIONS: dict[tuple[int, int], np.ndarray] = {}  # those used in this process; a plain dict travels with the functions
+
+
 def rotation(dim: int, k: int) -> np.ndarray:
     """The k-th random rotation, the same everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dim, k]).standard_normal((dim, dim)))
-    return q * np.where(np.diag(r) < 0, -1, 1)
+    if (dim, k) not in _ROTATIONS:
+        q, r = np.linalg.qr(np.random.default_rng([SEED, dim, k]).standard_normal((dim, dim)))
+        _ROTATIONS[dim, k] = q * np.where(np.diag(r) < 0, -1, 1)
+    return _ROTATIONS[dim, k]
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -98,7 +101,6 @@ def open_pairs(first: np.ndarray, second: np.ndarray, error: np.ndarray, rows: s
 # --- tables ---------------------------------------------------------------------------------------------------------
 
 
-@functools.cache
 def chance(dim: int, part: int, cosine: float) -> float:
     """The chance that of two vectors of this cosine the same of ``part`` coordinates is largest, with the same sign.
 
