@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import contamination, embeddings, langid, licenses, mixing, secrets, simhash, tokens, toxicity, warc
+from quernel.llm import contamination, embeddings, langid, licenses, merkle, mixing, negatives, repeats, secrets, simhash, tokens, toxicity, warc
 from quernel.llm.common import remainder, table
 
 
@@ -69,6 +69,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", F.array_join("licenses", ",").alias("licenses"), spans.alias("license_spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one first."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, and the root that a row leads to after some rows were tampered with."""
+    docs = table(spark, sf_dir, "documents", *merkle.FIELDS)
+    more = [F.col(f).cast("decimal(20,0)") + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    made = merkle.manifest(docs, also={"tampered": F.when(remainder("doc_id", 7) == 0, merkle.leaf(*more))})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +98,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_token_counts, op2_toxicity, op3_embedding_dedup, op4_warc, op5_decontamination, op6_mixing, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_license_scan, pipeline]
+    ops = [op1_token_counts, op2_toxicity, op3_embedding_dedup, op4_warc, op5_decontamination, op6_mixing, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_license_scan]
+    ops += [op11_hard_negatives, op12_merkle_manifest, op13_substring_dedup, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -137,5 +160,87 @@ FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN items ON d.doc_id = item
 """
 
 
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (
+  SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INT) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 10
+"""
+
+_BYTES = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))"
+#: CRC-32 of a list of bytes, bit by bit.
+_CRC = f"""xor(4294967295, list_reduce({_BYTES}, lambda c, b: list_reduce(range(8), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, xor(c, b)), CAST(4294967295 AS BIGINT)))"""
+_FIELD = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("CAST(doc_id AS VARCHAR)", "source", "lang", "{0}", "text")) + ")"
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format("CAST(n_chars AS VARCHAR)")} AS leaf,
+         CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.format("CAST(n_chars + 1 AS VARCHAR)")} END AS changed
+  FROM documents
+), o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g
+  FROM d
+), t AS (
+  SELECT g, 0 AS level, pos, leaf AS h, n FROM o
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY g, level, pos // 2, n
+), sub AS MATERIALIZED (SELECT g, h AS subroot FROM t WHERE n = 1), u AS (
+  SELECT 0 AS level, g AS pos, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n
+), sides AS MATERIALIZED (
+  SELECT o.doc_id, o.leaf, o.g, o.pos AS place, t.level, t.h, (o.pos >> t.level) % 2 = 1 AS on_left
+  FROM o JOIN t ON t.g = o.g AND t.n > 1 AND t.pos = xor(o.pos >> t.level, 1)
+  UNION ALL
+  SELECT o.doc_id, o.leaf, o.g, o.pos, 1000 + u.level, u.h, (o.g >> u.level) % 2 = 1
+  FROM o JOIN u ON u.n > 1 AND u.pos = xor(o.g >> u.level, 1)
+), levels AS (SELECT DISTINCT g, level FROM t WHERE n > 1 UNION SELECT sub.g, 1000 + u.level FROM sub, u WHERE u.n > 1),
+steps AS MATERIALIZED (
+  SELECT o.g, o.pos AS place, l.level, row_number() OVER (PARTITION BY o.g, o.pos ORDER BY l.level) AS i, s.h, s.on_left
+  FROM o JOIN levels l ON l.g = o.g LEFT JOIN sides s ON s.g = o.g AND s.place = o.pos AND s.level = l.level
+), f AS (
+  SELECT g, pos AS place, 0 AS i, coalesce(changed, leaf) AS h FROM o
+  UNION ALL
+  SELECT f.g, f.place, f.i + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.on_left THEN s.h || f.h ELSE f.h || s.h END)
+  FROM f JOIN steps s ON s.g = f.g AND s.place = f.place AND s.i = f.i + 1
+), ends AS (SELECT g, place, max_by(h, i) AS folded_root FROM f GROUP BY g, place),
+proofs AS (SELECT g, place, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY g, place),
+root AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT o.doc_id, o.leaf, sub.subroot, root.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM o JOIN sub USING (g) CROSS JOIN root JOIN ends e ON e.g = o.g AND e.place = o.pos LEFT JOIN proofs p ON p.g = o.g AND p.place = o.pos
+"""
+
+_REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS MATERIALIZED (
+  SELECT row, doc_id, p, array_to_string(w[p:p + 12], ' ') AS key
+  FROM (SELECT *, unnest(range(1, len(w) - 11)) AS p FROM d WHERE doc_id IS NOT NULL)
+), least AS (SELECT key, min(doc_id) AS first FROM w GROUP BY key HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT row, list(DISTINCT p) AS spots FROM (SELECT row, unnest(range(p, p + 13)) AS p FROM w JOIN least USING (key) WHERE doc_id > first) GROUP BY row)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(list_transform(w, lambda x, i: {'x': x, 'i': i}), lambda s: NOT coalesce(list_contains(spots, s.i), false)), lambda s: s.x), ' ')) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.row = d.row
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": _EMBEDDING_SQL, "op4_warc": _WARC_SQL, "op5_decontamination": _DECONTAMINATION_SQL}
+    return {
+        "op3_embedding_dedup": _EMBEDDING_SQL, "op4_warc": _WARC_SQL, "op5_decontamination": _DECONTAMINATION_SQL,
+        "op11_hard_negatives": _NEGATIVES_SQL, "op12_merkle_manifest": _MERKLE_SQL, "op13_substring_dedup": _REPEATS_SQL,
+    }
