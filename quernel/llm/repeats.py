@@ -166,12 +166,14 @@ def later(words: list[bytes], docs: np.ndarray, shingles: Shingles, window: int)
 
 
 def _spans(doc: np.ndarray, x: np.ndarray, place: np.ndarray, string: np.ndarray, window: int) -> pa.RecordBatch:
-    """(doc, x, first, stop): runs of marked windows, of which windows of one string stand together."""
+    """(doc, x, spans): first and stop of runs of marked windows, of which windows of one string stand together."""
     new = np.ones(len(place), bool)
     new[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(place)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(x[begin]), pa.array(place[begin].astype(np.int32)), pa.array((place[last] + window).astype(np.int32))], names=["doc", "x", "first", "stop"])
+    pairs = np.stack([place[begin], place[last] + window], 1).astype(np.int32)
+    spans = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1, dtype=np.int32) * 2), pa.array(pairs.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(x[begin]), spans], names=["doc", "x", "spans"])
 
 
 def _sort(window: int):
@@ -209,27 +211,36 @@ def _sort(window: int):
 
 
 def _windows(window: int):
-    """Batches of packed strings to their windows (doc, x, first, words)."""
+    """Batches of (h, words, least, most) to the windows (h, words, least, most, at, own) of each string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words = batch.column(4)[k].as_py().split(b" ")
+                words = batch.column(1)[k].as_py().split(b" ")
                 n = len(words) - window + 1
-                first = batch.column(3)[k].as_py() + np.arange(n, dtype=np.int32)
-                row = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(row), batch.column(2).take(row), pa.array(first), pa.array([b" ".join(words[i : i + window]) for i in range(n)], pa.binary())], names=["doc", "x", "first", "words"])
+                row = batch.take(pa.array(np.full(n, k)))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array(np.arange(n, dtype=np.int32)), pa.array([b" ".join(words[i : i + window]) for i in range(n)], pa.binary())], names=["h", "words", "least", "most", "at", "own"])
 
     return run
 
 
 def hot_spans(strings: DataFrame, window: int) -> DataFrame:
-    """The spans of packed strings of hot minimisers: their windows are grouped one by one, combined before the shuffle."""
-    each = materialize(strings.mapInArrow(_windows(window), "doc long, x long, first int, words binary"), "hot-windows")
-    owners = each.groupBy("words").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("words", "least")
+    """The spans of packed strings of hot minimisers.
+
+    Equal strings are one, and their windows are grouped one by one, both combined before the shuffle. A string is then
+    joined with what is known of it, and gives one row.
+    """
+    each = strings.groupBy("h", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    each = materialize(each.mapInArrow(_windows(window), "h long, words binary, least long, most long, at int, own binary"), "hot-windows")
+    owners = each.groupBy("own").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("own", "first")
     owners = materialize(owners, "owners")
-    met = each.join(broadcast_if_small(owners), "words").where("doc > least")
-    return met.select("doc", "x", "first", (F.col("first") + window).cast("int").alias("stop"))
+    known = each.join(broadcast_if_small(owners), "own").where("most > first")
+    known = materialize(known.groupBy("h", "words").agg(F.collect_list(F.struct("at", F.col("first").alias("owner"))).alias("owned")), "owned")
+    discard(each)
+    met = strings.join(broadcast_if_small(known), ["h", "words"])
+    later_ones = F.filter("owned", lambda o: o["owner"] < F.col("doc"))
+    pairs = F.flatten(F.transform(later_ones, lambda o: F.array(F.col("first") + o["at"], F.col("first") + o["at"] + window)))
+    return met.select("doc", "x", pairs.alias("spans")).where(F.size("spans") > 0)
 
 
 # --- documents ------------------------------------------------------------------------------------------------------
@@ -247,9 +258,9 @@ def marked_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_rows: int = HOT_ROWS, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(doc, x, first, stop) of ``docs`` (doc, x, text): spans of words of windows that a smaller id has; a written table.
+    """(doc, x, spans) of ``docs`` (doc, x, text): words of windows that a smaller id has, as first and stop in turn; a written table.
 
-    Spans may overlap and repeat.
+    A text may have several rows, and spans may overlap.
     """
     seen = docs.select("doc", "text").mapInArrow(_minimisers(window, minimiser), "h long, least long, most long, rows long, bytes long")
     seen = seen.groupBy("h").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
@@ -259,7 +270,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     strings = materialize(strings, "strings")
     hot = broadcast_if_small(materialize(shared.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "hot"))
     few = strings.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    found = few.mapInArrow(_sort(window), "doc long, x long, first int, stop int")
+    found = few.mapInArrow(_sort(window), "doc long, x long, spans array<int>")
     out = materialize(found.unionByName(hot_spans(strings.join(hot, "h", "left_semi"), window)), "spans")
     discard(strings)
     discard(shared)
@@ -301,7 +312,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     rows = marked_texts(source, text, key)
     single = rows.where("NOT _copy AND _doc is not null AND _text is not null").select(F.col("_doc").alias("doc"), F.col("_x").alias("x"), F.col("_text").alias("text"))
     spans = repeated_spans(single, window, minimiser, hot_rows, hot_bytes)
-    by_text = spans.groupBy("doc", "x").agg(F.flatten(F.collect_set(F.array("first", "stop"))).alias("_spans"))
+    by_text = spans.groupBy("doc", "x").agg(F.flatten(F.collect_list("spans")).alias("_spans"))
     by_text = materialize(by_text.select(F.col("doc").alias("_doc"), F.col("x").alias("_x"), "_spans"), "removed")
     discard(spans)
     met = rows.join(broadcast_if_small(by_text), ["_doc", "_x"], "left")
