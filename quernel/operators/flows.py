@@ -22,8 +22,16 @@ def style(metadata: str = "metadata"):
 
 
 def canonical(*columns: str):
-    """Row text with columns in the order of their names: equal rows have equal texts."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    """Row text in which names are sorted at every level, nulls kept: equal rows have equal texts, whatever order their fields have.
+
+    A column of text is a value; ``canonical_json`` reads it as a document.
+    """
+    return canonical_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def canonical_json(text):
+    """A JSON document, of whatever shape, in its canonical text, as VARIANT stores it: names sorted at every level, no blanks. Null if it is malformed."""
+    return F.to_json(F.try_parse_json(text), {"ignoreNullFields": "false"})
 
 
 def prepare(train: DataFrame, val: DataFrame, test: DataFrame, smoke: int = 5000, seed: int = 42) -> tuple[dict[str, DataFrame], dict]:

@@ -16,6 +16,7 @@ def decoded(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def losses(lines: DataFrame, line: str = "value", order: str = "line_number") -> DataFrame:
     """(order, pos, loss): every ``loss:<number>`` of every line in turn."""
+    # Fixed value: how a loss is written in a log.
     found = F.regexp_extract_all(F.col(line), F.lit(r"loss:([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
     return lines.select(order, F.posexplode(found).alias("pos", "loss")).withColumn("loss", F.col("loss").cast("double"))
 
@@ -28,7 +29,11 @@ def summarize(found: DataFrame, order: str = "line_number", n: int = 20) -> Data
     head = found.orderBy(order, "pos").limit(n).agg(F.avg("loss").alias("head_mean"))
     tail = found.orderBy(F.desc(order), F.desc("pos")).limit(n).agg(F.avg("loss").alias("tail_mean"))
     whole = found.agg(F.count("*").alias("n"), F.min("loss").alias("min_loss"), F.max("loss").alias("max_loss"), F.avg("loss").alias("mean_loss"))
-    out = whole.join(F.broadcast(head)).join(F.broadcast(tail))
-    out = out.withColumn("delta", F.col("tail_mean") - F.col("head_mean"))
+    return judged(whole.join(F.broadcast(head)).join(F.broadcast(tail)))
+
+
+def judged(summary: DataFrame) -> DataFrame:
+    """``summary`` with the difference of its tail's and head's means, what trend that is, and whether the tail is under the baseline."""
+    out = summary.withColumn("delta", F.col("tail_mean") - F.col("head_mean"))
     trend = F.when(F.col("delta") < -TREND, "falling").when(F.col("delta") > TREND, "rising").otherwise("flat")
     return out.withColumns({"trend": trend, "below_baseline": F.col("tail_mean") < BASELINE})

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 
 def _number(c: Column, kind: T.DataType) -> Column:
     return c.cast("int").cast("double") if isinstance(kind, T.BooleanType) else c.cast("double")
@@ -51,3 +57,65 @@ def format_metric(value: float | None, percentage: bool) -> str:
 def best_so_far(loss: str, order: str, series: str) -> Column:
     """Running minimum of a loss over the rows of its series up to this one."""
     return F.min(loss).over(Window.partitionBy(series).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+# --- sums that don't depend on the order ----------------------------------------------------------------------------
+
+LIMB = 32  # bits
+_LOWEST = 1126  # a double is a whole number of 53 bits times 2^e with e >= -_LOWEST
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("limb", "low", "middle", "high")]))
+def limbs(values: pd.Series) -> pd.DataFrame:
+    """A finite double as low + middle * 2^32 + high * 2^64, all under 2^34, times 2^(32 * limb - _LOWEST)."""
+    fraction, exponent = np.frexp(values.to_numpy(float))
+    whole = (fraction * 2.0**53).astype(np.int64)
+    limb, shift = np.divmod(exponent.astype(np.int64) - 53 + _LOWEST, LIMB)
+    low = (whole & 0xFFFFFFFF) << shift
+    high = (whole >> LIMB) << shift
+    return pd.DataFrame({"limb": limb, "low": low & 0xFFFFFFFF, "middle": (low >> LIMB) + (high & 0xFFFFFFFF), "high": high >> LIMB})
+
+
+@F.pandas_udf(T.DoubleType())
+def _rounded(parts: pd.Series) -> pd.Series:
+    """The double nearest to the sum of some limbs."""
+
+    def one(own) -> float:
+        total = sum((int(p["low"]) + (int(p["middle"]) << LIMB) + (int(p["high"]) << 2 * LIMB)) << (LIMB * int(p["limb"])) for p in own)
+        try:
+            return total / (1 << _LOWEST)  # of whole numbers: rounded once
+        except OverflowError:
+            return float("inf") if total > 0 else float("-inf")
+
+    return parts.map(one)
+
+
+def exact_sums(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, total, n): the exact sum of a double, rounded once, and how many values it has; the same bits however rows lie.
+
+    Doubles are added up as whole numbers in limbs, combined before the shuffle; a group has some 70 limbs at most.
+    Nulls are skipped (total is null without values); infinities and NaN give what they add up to.
+    """
+    x = F.col(value).cast("double")
+    sound = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = df.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], x.alias("x"), sound.alias("sound"))
+    keys = [f"_{i}" for i in range(len(by))]
+    told = rows.withColumn("part", limbs(F.when(F.col("sound"), F.col("x")).otherwise(F.lit(0.0))))
+    total = lambda c: F.sum(F.col(f"part.{c}").cast("decimal(38,0)")).alias(c)
+    summed = told.groupBy(*keys, "part.limb").agg(total("low"), total("middle"), total("high"), F.count("x").alias("n"), F.sum(F.when(~F.col("sound"), F.col("x"))).alias("odd"))
+    whole = summed.groupBy(*keys).agg(F.collect_list(F.struct("limb", "low", "middle", "high")).alias("parts"), F.sum("n").alias("n"), F.sum("odd").alias("odd"))
+    exact = F.coalesce("odd", F.when(F.col("n") > 0, _rounded("parts")))
+    return whole.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], exact.alias("total"), "n")
+
+
+def validation_loss(df: DataFrame, loss: str, batch: str, rank: str) -> tuple[DataFrame, DataFrame]:
+    """(rank, total, n) and one row (loss, batches): the mean of batch means, every batch of every rank counting once.
+
+    A rank adds up the means of its batches, and the ranks' sums and numbers are added up in turn, as workers do that
+    reduce their losses; sums are exact, so that the result has the same bits for any number of partitions. Batches
+    without a loss don't count.
+    """
+    means = exact_sums(df, loss, [rank, batch]).where("n > 0").select(F.col(rank), (F.col("total") / F.col("n")).alias("mean"))
+    own = exact_sums(means, "mean", [rank])
+    both = exact_sums(own, "total", []).select("total").join(own.agg(F.sum("n").alias("batches")))
+    return own, both.select((F.col("total") / F.col("batches")).alias("loss"), "batches")

@@ -26,6 +26,7 @@ def features(text: Column, wanted: Column) -> Column:
     w = F.coalesce(wanted, F.array().cast("array<string>"))
     n = F.length(t)
     bad = t.rlike(MALFORMED).cast("double")
+    # Fixed value: what counts as a word.
     words = F.regexp_extract_all(t, F.lit(r"(?U)([一-鿿]|[A-Za-z]+|\d+)"), F.lit(1))
     return F.array(
         F.lit(1.0),
@@ -42,36 +43,16 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.lit(40.0), F.greatest(F.lit(-40.0), x))))
 
 
-def fit_pairwise(pairs: DataFrame, order: str, diff: str = "diff", epochs: int = 3000, rate: float = 0.08, l2: float = 0.1, clip: float = 10.0, most_pairs: int = 200_000) -> dict:
-    """Pairwise logistic weights from zero by full-batch ascent; the first four fifths by ``order`` train, the rest is held out.
+def fit_pairwise(pairs: DataFrame, order: str, diff: str = "diff", l2: float = 0.1, clip: float = 10.0, most_steps: int = 100) -> dict:
+    """Pairwise logistic weights; the first four fifths by ``order`` train, the rest is held out.
 
-    Up to ``most_pairs`` pairs are collected and climbed by ``epochs`` steps. More stay where they are: ``_fit_where_they_are``
-    goes to the optimum that the ascent nears (tested to agree). ``order`` is to be unique.
+    The weights are the one maximum of the mean of log sigmoid(weights * diff) less l2 / 2 * |weights|^2 with no weight
+    beyond ``clip``: where an ascent by small steps, clipped at each, ends. It is reached by Newton's method over the
+    weights that are free, at every size: a step is one aggregation of slopes and curvatures where the pairs are, and
+    only sums reach the driver. ``order`` is to be unique. Without pairs the weights are empty.
     """
-    pairs = materialize(pairs.select(order, diff), "pairs")
-    if pairs.count() > most_pairs:
-        fitted = _fit_where_they_are(pairs, order, diff, l2, clip)
-        discard(pairs)
-        return fitted
-    rows = pairs.orderBy(order).select(diff).collect()
-    discard(pairs)
-    d = np.array([r[0] for r in rows], float).reshape(len(rows), -1)
-    cut = max(1, int(0.8 * len(d)))
-    w = np.zeros(d.shape[1])
-    chance = lambda x: 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-    for _ in range(epochs):
-        w = np.clip(w + rate * (((1 - chance(d[:cut])) @ d[:cut]) / cut - l2 * w), -clip, clip)
-    right = lambda x: float((chance(x) > 0.5).sum()) / max(1, len(x))
-    return {"weights": w.tolist(), "pairs": len(d), "train_pairs": cut, "val_pairs": len(d) - cut, "train_accuracy": right(d[:cut]), "val_accuracy": right(d[cut:])}
-
-
-def _fit_where_they_are(pairs: DataFrame, order: str, diff: str, l2: float, clip: float, most_steps: int = 50) -> dict:
-    """Newton's method on the same likelihood; a step is one aggregation of slopes and curvatures, and only sums reach the driver.
-
-    The likelihood is strictly concave, so that there is one optimum. One beyond ``clip`` is an error.
-    """
-    numbered = materialize(curate.numbered(pairs, order, "_n"), "numbered-pairs")
-    n, width = numbered.agg(F.count("*"), F.max(F.size(diff))).first()
+    numbered = materialize(curate.numbered(pairs.select(order, diff), order, "_n"), "numbered-pairs")
+    n, width = numbered.agg(F.count("*"), F.coalesce(F.max(F.size(diff)), F.lit(0))).first()
     cut = max(1, int(0.8 * n))
     x = [F.get(diff, F.lit(i)) for i in range(width)]
     score = lambda w: sum((F.lit(float(a)) * b for a, b in zip(w, x)), F.lit(0.0))
@@ -91,22 +72,25 @@ def _fit_where_they_are(pairs: DataFrame, order: str, diff: str, l2: float, clip
         return sums[0] - l2 / 2 * float(w @ w), sums[1 : 1 + width] - l2 * w, curved + l2 * np.eye(width)
 
     w = np.zeros(width)
-    value, slope, curved = at(w)
-    for _ in range(most_steps):
-        if np.abs(slope).max() < 1e-12:
+    if n:
+        value, slope, curved = at(w)
+    for _ in range(most_steps if n else 0):
+        free = ~(((w >= clip) & (slope > 0)) | ((w <= -clip) & (slope < 0)))
+        if not free.any() or np.abs(slope[free]).max() < 1e-12:
             break
-        step = np.linalg.solve(curved, slope)
-        following = at(w + step)
-        while following[0] < value - 1e-12 and np.abs(step).max() > 1e-12:  # too far
+        step = np.zeros(width)
+        step[free] = np.linalg.solve(curved[np.ix_(free, free)], slope[free])
+        following = np.clip(w + step, -clip, clip)
+        there = at(following)
+        while there[0] < value - 1e-12 and np.abs(step).max() > 1e-12:  # too far
             step = step / 2
-            following = at(w + step)
-        w, (value, slope, curved) = w + step, following
-    if np.abs(w).max() > clip:
-        raise ValueError("the optimum lies beyond the clip")
+            following = np.clip(w + step, -clip, clip)
+            there = at(following)
+        w, (value, slope, curved) = following, there
     seen = F.col("_n") < cut
     right = numbered.agg(F.count_if(seen & (score(w) > 0)), F.count_if(~seen & (score(w) > 0))).first()
     discard(numbered)
-    return {"weights": w.tolist(), "pairs": n, "train_pairs": cut, "val_pairs": n - cut, "train_accuracy": right[0] / cut, "val_accuracy": right[1] / max(1, n - cut)}
+    return {"weights": w.tolist(), "pairs": n, "train_pairs": min(cut, n), "val_pairs": max(0, n - cut), "train_accuracy": right[0] / cut, "val_accuracy": right[1] / max(1, n - cut)}
 
 
 def rule_reward(text: Column, attributes: Column, coverage_weight: float = 1.0, repeat: float = 0.5, loop: float = 0.5, length: float = 0.2) -> Column:
@@ -258,6 +242,18 @@ def balance_loss(df: DataFrame, sequence: str, logits: str, experts: int, k: int
     return sums.select(sequence, "load", (alpha * _sum(F.zip_with("load", "_p", lambda a, b: a * b))).alias("loss"))
 
 
+def expert_counts(df: DataFrame, chosen: str, experts: int) -> DataFrame:
+    """(expert, tokens, upto) of every one of ``experts``: how many slots went to it, and to it and those before it.
+
+    ``chosen`` is the array of a row's experts. Slots are counted before the shuffle; an expert without any has 0.
+    """
+    counts = df.select(F.explode(chosen).alias("expert")).groupBy(F.col("expert").cast("long").alias("expert")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(experts).select(F.col("id").alias("expert"))
+    upto = Window.orderBy("expert").rowsBetween(Window.unboundedPreceding, 0)  # one row an expert
+    tokens = F.coalesce("n", F.lit(0))
+    return every.join(F.broadcast(counts), "expert", "left").select("expert", tokens.alias("tokens"), F.sum(tokens).over(upto).alias("upto"))
+
+
 def ppo_loss(df: DataFrame, actor: str, old: str, reference: str, advantage: str, value: str, reward: str, clip: float = 0.2, value_weight: float = 0.5, kl_weight: float = 0.02) -> DataFrame:
     """One row: policy_loss, value_loss, kl (to the policy that sampled), kl_reference, loss, over rows of summed log-probabilities."""
     a, o, r = F.col(actor), F.col(old), F.col(reference)

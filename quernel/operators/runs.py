@@ -44,6 +44,22 @@ def integrity(df: DataFrame, key: str, output: str, declared: int | None = None)
     })
 
 
+def side_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: left_only, right_only, both, the numbers of distinct keys; null is a key like any other."""
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    seen = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    count = lambda l, r: F.count_if((F.col("l") == l) & (F.col("r") == r))
+    return seen.agg(count(1, 0).alias("left_only"), count(0, 1).alias("right_only"), count(1, 1).alias("both"))
+
+
+def key_changes(left: Column, right: Column) -> Column:
+    """Of two maps struct<either, both, left_only, right_only>: sorted names of keys; a null map has none."""
+    none = F.array().cast("array<string>")
+    l, r = F.coalesce(F.map_keys(left), none), F.coalesce(F.map_keys(right), none)
+    parts = {"either": F.array_union(l, r), "both": F.array_intersect(l, r), "left_only": F.array_except(l, r), "right_only": F.array_except(r, l)}
+    return F.struct(*[F.array_sort(c).alias(n) for n, c in parts.items()])
+
+
 def same_set(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 

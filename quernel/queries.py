@@ -413,8 +413,8 @@ def run_integrity(spark, sf_dir):
 @query("""WITH l AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)
 SELECT (SELECT count(*) FROM l WHERE doc_id NOT IN (SELECT doc_id FROM r)) AS left_only, (SELECT count(*) FROM r WHERE doc_id NOT IN (SELECT doc_id FROM l)) AS right_only, (SELECT count(*) FROM l WHERE doc_id IN (SELECT doc_id FROM r)) AS both""")
 def sides_only(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("l"), (F.col("doc_id") % 3 == 0).alias("r"))
-    return d.agg(F.count_if(F.col("l") & ~F.col("r")).alias("left_only"), F.count_if(~F.col("l") & F.col("r")).alias("right_only"), F.count_if(F.col("l") & F.col("r")).alias("both"))
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    return runs.side_counts(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"), "doc_id")
 
 
 # --- preferences, rewards, losses -----------------------------------------------------------------------------------
@@ -456,12 +456,27 @@ def pair_features(spark, sf_dir):
     return v.select("doc_id", *[_r(F.col("v")[i]).alias(n) for i, n in enumerate(rewards.FEATURES) if n != "bias"])
 
 
-@query()
+_NAMES = ("attr_coverage", "length_quality", "char_repeat", "token_repeat", "eos_complete", "malformed")
+_SUM = " + ".join(f"w{i} * x{i}" for i in range(6))
+
+#: The same maximum, climbed by small steps.
+_FIT_SQL = f"""WITH RECURSIVE {_FEATURE_SQL}, {_PAIRS},
+v AS (SELECT doc_id, CAST(contains(text, 'the') AS INT) AS v0, {_FEATURE_COLUMNS.split(" AS attr_coverage, ")[1].replace("AS length_quality", "AS v1").replace("AS char_repeat", "AS v2").replace("AS token_repeat", "AS v3").replace("AS malformed", "AS v5")}, 1 - CAST(contains(text, 'sos') AS INT) AS v4 FROM f),
+n AS (SELECT {", ".join(f"CAST(a.v{i} - b.v{i} AS DOUBLE) AS x{i}" for i in range(6))}, row_number() OVER (ORDER BY rejected) - 1 AS i, count(*) OVER () AS n FROM p JOIN v a ON a.doc_id = chosen JOIN v b ON b.doc_id = rejected),
+t AS MATERIALIZED (SELECT *, i < greatest(1, CAST(floor(0.8 * n) AS BIGINT)) AS seen FROM n),
+w AS (SELECT 0 AS step, {", ".join(f"0.0::DOUBLE AS w{i}" for i in range(6))} UNION ALL
+ SELECT step + 1, {", ".join(f"least(10.0, greatest(-10.0, any_value(w{i}) + avg((1 - 1 / (1 + exp(-({_SUM})))) * x{i}) - 0.1 * any_value(w{i})))" for i in range(6))} FROM w, t WHERE seen AND step < 400 GROUP BY step),
+z AS (SELECT * FROM w WHERE step = 400), r AS (SELECT any_value(n) AS pairs, count(*) FILTER (seen AND {_SUM} > 0) / count(*) FILTER (seen) AS train_accuracy, count(*) FILTER (NOT seen AND {_SUM} > 0) / greatest(1, count(*) FILTER (NOT seen)) AS val_accuracy FROM t, z)
+SELECT feature, round(weight, 6) + 0.0 AS weight, pairs, round(train_accuracy, 6) AS train_accuracy, round(val_accuracy, 6) AS val_accuracy FROM r, (SELECT 'bias' AS feature, 0.0::DOUBLE AS weight UNION ALL
+ {" UNION ALL ".join(f"SELECT '{name}', w{i} FROM z" for i, name in enumerate(_NAMES))})"""
+
+
+@query(_FIT_SQL)
 def fit_pairwise_reward(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", rewards.features(F.col("text"), F.array(F.lit("the"))).alias("v"))
     p = _pairs(spark, sf_dir).join(d.select(F.col("doc_id").alias("chosen"), F.col("v").alias("a")), "chosen").join(d.select(F.col("doc_id").alias("rejected"), F.col("v").alias("b")), "rejected")
     fitted = rewards.fit_pairwise(p.withColumn("diff", F.zip_with("a", "b", lambda x, y: x - y)), "rejected")
-    rows = [(n, round(w, 9), fitted["pairs"], fitted["train_accuracy"], fitted["val_accuracy"]) for n, w in zip(rewards.FEATURES, fitted["weights"])]
+    rows = [(n, round(w, 6) + 0.0, fitted["pairs"], round(fitted["train_accuracy"], 6), round(fitted["val_accuracy"], 6)) for n, w in zip(rewards.FEATURES, fitted["weights"])]
     return spark.createDataFrame(rows, "feature string, weight double, pairs long, train_accuracy double, val_accuracy double")
 
 
@@ -520,11 +535,11 @@ def resume_batches(spark, sf_dir):
     return curate.skip_batches(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 64, 5)
 
 
-_GATE = """g AS (SELECT vec_id, unnest(range(0, 4)) AS e, embedding[unnest(range(1, 5))]::DOUBLE AS x FROM embeddings), s AS (SELECT vec_id, e, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, e) AS r FROM s)"""
+_GATE = """g AS (SELECT vec_id, unnest(range(0, 64)) AS e, embedding[unnest(range(1, 65))]::DOUBLE AS x FROM embeddings), s AS (SELECT vec_id, e, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM g), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, e) AS r FROM s)"""
 
 
 def _gate(spark, sf_dir) -> DataFrame:
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     return _t(spark, sf_dir, "embeddings").select("vec_id", logits.alias("logits"), rewards.top_experts(logits, 2).alias("top"))
 
 
@@ -535,14 +550,13 @@ def topk_gate(spark, sf_dir):
 
 
 @query(f"""WITH {_GATE}, c AS (SELECT e, count(*) AS n FROM k WHERE r <= 2 GROUP BY e), m AS (SELECT e, avg(p) AS p FROM k GROUP BY e)
-SELECT CAST(e AS BIGINT) AS expert, n AS tokens, CAST(sum(n) OVER (ORDER BY e) AS BIGINT) AS upto, round(p, 6) AS mean_prob, round(n * 4 / sum(n) OVER () * p, 6) AS load FROM c JOIN m USING (e)""")
+SELECT CAST(e AS BIGINT) AS expert, coalesce(n, 0) AS tokens, CAST(sum(coalesce(n, 0)) OVER (ORDER BY e) AS BIGINT) AS upto, round(p, 6) AS mean_prob, round(coalesce(n, 0) * 64 / sum(n) OVER () * p, 6) AS load FROM m LEFT JOIN c USING (e)""")
 def moe_load_balance(spark, sf_dir):
     g = _gate(spark, sf_dir)
-    counts = g.select(F.explode("top").alias("t")).groupBy(F.col("t.expert").alias("expert")).agg(F.count("*").alias("tokens"))
+    counts = rewards.expert_counts(g.select(F.transform("top", lambda t: t["expert"]).alias("chosen")), "chosen", 64)
     probs = g.select(F.posexplode(rewards.softmax(F.col("logits"))).alias("expert", "p")).groupBy(F.col("expert").cast("long").alias("expert")).agg(F.avg("p").alias("p"))
     every = Window.partitionBy(F.lit(0))  # one row an expert
-    out = counts.join(probs, "expert")
-    return out.select("expert", "tokens", F.sum("tokens").over(every.orderBy("expert")).alias("upto"), _r("p").alias("mean_prob"), _r(F.col("tokens") * 4 / F.sum("tokens").over(every) * F.col("p")).alias("load"))
+    return counts.join(probs, "expert").select("expert", "tokens", "upto", _r("p").alias("mean_prob"), _r(F.col("tokens") * 64 / F.sum("tokens").over(every) * F.col("p")).alias("load"))
 
 
 @query("""WITH g AS (SELECT vec_id, label, unnest(range(0, 64)) AS e, embedding[unnest(range(1, 65))]::DOUBLE AS x FROM embeddings), s AS (SELECT vec_id, label, e, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM g),
@@ -564,13 +578,14 @@ def running_best(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", metrics.best_so_far("value", "event_id", "user_id").alias("best"))
 
 
-_LOGP = """v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS p, list_transform(embedding[9:16], lambda x: CAST(x AS DOUBLE)) AS q, list_transform(embedding[17:24], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM embeddings),
+_LOGP = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p, list_transform(list_reverse(embedding), lambda x: CAST(x AS DOUBLE)) AS q, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS m FROM embeddings),
 a AS (SELECT vec_id, list_inner_product(p, m) / greatest(list_sum(m), 1e-8) AS lp, list_inner_product(q, m) / greatest(list_sum(m), 1e-8) AS lq, list_inner_product(list_transform(list_zip(p, q), lambda z: exp(z[2] - z[1]) - (z[2] - z[1]) - 1), m) / greatest(list_sum(m), 1e-8) AS kl FROM v)"""
 
 
 def _logp(spark, sf_dir) -> DataFrame:
-    part = lambda at: F.transform(F.slice("embedding", at, 8), lambda x: x.cast("double"))
-    v = _t(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("p"), part(9).alias("q"), F.transform(part(17), lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("m"))
+    """A vector is a policy's log-probabilities, backwards the reference's, and tells by its signs which tokens count."""
+    p = F.transform("embedding", lambda x: x.cast("double"))
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", p.alias("p"), F.reverse(p).alias("q"), F.transform(p, lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("m"))
     return v.select("vec_id", rewards.masked_mean(F.col("p"), F.col("m")).alias("lp"), rewards.masked_mean(F.col("q"), F.col("m")).alias("lq"), rewards.masked_mean(rewards.k3_kl(F.col("p"), F.col("q")), F.col("m")).alias("kl"))
 
 
@@ -605,7 +620,8 @@ def ppo_loss_terms(spark, sf_dir):
 @query("""WITH b AS (SELECT user_id, sum(value) AS total, avg(value) AS mean, count(*) AS n FROM events GROUP BY user_id) SELECT round(avg(mean), 6) AS loss, count(*) AS batches FROM b""")
 def validation_loss(spark, sf_dir):
     """The mean of batch means, each batch counting once."""
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("m")).agg(_r(F.avg("m")).alias("loss"), F.count("*").alias("batches"))
+    rows = _t(spark, sf_dir, "events").select(F.lit(0).alias("rank"), "user_id", "value")
+    return metrics.validation_loss(rows, "value", "user_id", "rank")[1].select(_r("loss").alias("loss"), "batches")
 
 
 _IDS = """i AS (SELECT o_orderkey, list_transform(range(0, 8), lambda j: (o_orderkey * 7 + j * 3) % 11) AS ids FROM orders)"""
@@ -652,7 +668,7 @@ def shard_by_rank(spark, sf_dir):
 @query("SELECT event_id, CAST(event_id * 8 // 3 AS BIGINT) AS step FROM events")
 def resume_step(spark, sf_dir):
     """Steps after the number of workers went from 8 to 3."""
-    return _t(spark, sf_dir, "events").select("event_id", F.expr("event_id * 8 div 3").alias("step"))
+    return _t(spark, sf_dir, "events").select("event_id", curate.resumed_step(F.col("event_id"), 8, 3).alias("step"))
 
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_HASH.format(seed=9)}, doc_id) - 1 AS rank FROM documents")
@@ -700,3 +716,6 @@ def reward_service(spark, sf_dir):
 def event_windows(spark, sf_dir):
     """An extension: the windowed aggregation that streams use, over the whole table."""
     return windowed(_t(spark, sf_dir, "events")).withColumn("mean_value", _r("mean_value"))
+
+
+from quernel import queries_sources  # noqa: E402, F401  (adds its own)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quernel.functions.attributes import parse
 from quernel.operators.curate import reject_reason
+from quernel.sources import formats
 
-MESSAGE = "struct<role:string,content:string>"
-ROW = f"conversations array<{MESSAGE}>, metadata struct<source:string,source_index:bigint,input_style:string>"
+METADATA = "struct<source:string,source_index:bigint,input_style:string>"
 
 
 def _text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,21 +23,41 @@ def _text_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select((F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_number"), "value")
 
 
-def scan(spark: SparkSession, path: str, strict: bool = True, skip_blank: bool = False) -> DataFrame:
-    """line_number, conversations, metadata, reject_reason of every line.
+def first_lines(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """(line_number, value) of the first ``limit`` lines; the bytes that are read don't grow with the files.
+
+    Where only Spark's readers open the path, all lines are numbered and the first taken.
+    """
+    try:
+        formats.opened(path)
+    except (OSError, ValueError):  # no file system of Arrow's
+        return _text_lines(spark, path).orderBy("line_number").limit(limit)
+    formats.register(spark)
+    return spark.read.format("leading_lines").option("limit", limit).load(path)
+
+
+def scan(spark: SparkSession, path: str, strict: bool = True, skip_blank: bool = False, limit: int = 0) -> DataFrame:
+    """line_number, conversations, metadata, reject_reason of every line, or of the first ``limit`` lines if any.
 
     A blank line is malformed unless ``skip_blank`` (which also drops a byte-order mark). Contents must be JSON strings
     that are not blank, roles system, user, assistant in order, metadata an object. ``strict`` fails on the first
     reject with its line; else rejects stay with their reason.
     """
-    lines = _text_lines(spark, path)
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    lines = first_lines(spark, path, limit) if limit else _text_lines(spark, path)
     if skip_blank:
         lines = lines.withColumn("value", F.regexp_replace("value", r"\A\x{feff}", "")).where(F.trim("value") != "")
-    shapes = F.transform(F.expr("try_variant_get(try_parse_json(value), '$.conversations', 'array<variant>')"), lambda m: F.call_function("schema_of_variant", F.call_function("try_variant_get", m, F.lit("$.content"), F.lit("variant"))))
-    parsed = F.from_json("value", ROW, {"mode": "PERMISSIVE"})
-    rows = lines.select("line_number", "value", parsed.alias("r"), F.try_parse_json("value").isNull().alias("broken"), F.exists(shapes, lambda s: s != "STRING").alias("other"))
-    reason = F.when(F.col("broken"), "malformed json").when(F.coalesce("other", F.lit(False)), "content is no text").otherwise(reject_reason(F.col("r.conversations"), F.col("r.metadata")))
-    out = rows.select("line_number", "r.conversations", "r.metadata", reason.alias("reject_reason"))
+    # a line is parsed once, into a VARIANT, from which roles, contents and metadata are taken
+    read = lines.select("line_number", F.try_parse_json("value").alias("v"))
+    get = lambda v, path, kind: F.call_function("try_variant_get", v, F.lit(path), F.lit(kind))
+    content = get(F.col("v"), "$.conversations", "array<variant>")
+    messages = F.transform(content, lambda m: F.struct(get(m, "$.role", "string").alias("role"), get(m, "$.content", "string").alias("content"), F.call_function("schema_of_variant", get(m, "$.content", "variant")).alias("kind")))
+    rows = read.select("line_number", F.col("v").isNull().alias("broken"), messages.alias("m"), get(F.col("v"), "$.metadata", METADATA).alias("metadata"))
+    rows = rows.withColumn("conversations", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+    other = F.exists("m", lambda m: m["kind"] != "STRING")
+    reason = F.when(F.col("broken"), "malformed json").when(F.coalesce(other, F.lit(False)), "content is no text").otherwise(reject_reason(F.col("conversations"), F.col("metadata")))
+    out = rows.select("line_number", "conversations", "metadata", reason.alias("reject_reason"))
     if not strict:
         return out
     failed = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line_number").cast("string"), F.lit(": "), F.col("reject_reason")))
@@ -53,8 +73,12 @@ def with_attributes(rows: DataFrame, limit: int = 0) -> DataFrame:
     return out.orderBy("line_number").limit(limit) if limit else out
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Compact UTF-8 JSON lines, nulls written; refuses to overwrite."""
+def write(df: DataFrame, path: str, sources: tuple[str, ...] = ()) -> None:
+    """Compact UTF-8 JSON lines, nulls written; refuses to overwrite, and to write where one of ``sources`` is."""
+    whole = lambda p: df.sparkSession._jvm.org.apache.hadoop.fs.Path(p).toUri().normalize().getPath().rstrip("/")
+    for source in sources:
+        if whole(path) == whole(source) or whole(source).startswith(whole(path) + "/"):
+            raise ValueError(f"the output {path} would be written over the source {source}")
     df.write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
 
 
@@ -89,20 +113,33 @@ def from_source(rows: DataFrame, source: str = "train.json") -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file, read one after the other as streams through Spark's file systems: no file is ever held whole."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
-    found = [(r["path"], r["bytes"]) for r in files.collect()]  # names of files, not their contents
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def digest(name: str) -> str:
-        where = jvm.org.apache.hadoop.fs.Path(name)
-        stream = where.getFileSystem(conf).open(where)
-        try:
-            return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
-        finally:
-            stream.close()
-
-    return spark.createDataFrame([(n, b, digest(n)) for n, b in found], "path string, bytes long, sha256 string")
+    """(path, bytes, sha256) of every file under ``path``, computed where the files are read: no byte of one reaches the driver.
+
+    Files are read in pieces, a task a file, whatever their size. Where only Spark's readers open the path, files are
+    held whole by the task that reads them, which bounds them to 2 GB.
+    """
+    try:
+        formats.opened(path)
+    except (OSError, ValueError):  # no file system of Arrow's
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    formats.register(spark)
+    return spark.read.format("file_digests").load(path)
+
+
+def checked_run(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of a complete run directory; a number of rows other than declared, and lines that repeat, are refused.
+
+    One aggregation over line numbers alone tells.
+    """
+    formats.register(spark)
+    declared = formats.whole_json(f"{path.rstrip('/')}/summary.json")["samples"]
+    source = spark.read.format("evaluation_run")
+    seen = source.schema("line_number long").load(path).agg(F.count("*").alias("rows"), F.countDistinct("line_number").alias("keys")).first()
+    if not seen["rows"] or seen["rows"] != declared:
+        raise ValueError(f"{path}: sample count mismatch")
+    if seen["keys"] != seen["rows"]:
+        raise ValueError(f"{path}: repeated lines")
+    return spark.read.format("evaluation_run").load(path)
 
 
 def load_run(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.operators.hooks import answer_lines
-from quernel.operators.logs import decoded, losses, summarize
+from quernel.streaming.state import log_snapshots
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -18,22 +18,18 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes"
 
 
 def follow_log(spark: SparkSession, folder: str, checkpoint: str, report: Callable[[dict], None]):
-    """Hand ``report`` a summary of all lines of the logs in ``folder`` so far, anew with each batch of new lines.
+    """Hand ``report`` a summary of all lines of the logs in ``folder`` so far, anew with each batch that brings losses.
 
-    Losses are kept beside the checkpoint by batch, so that a batch that is run again replaces its own. Lines are in the
-    order of batches, then files, then places. A batch without a loss gives no report if none came before.
+    The folder is one log; its lines are in the order of batches, then files, then places. What is kept of it is a row
+    of state (``state.log_snapshots``), so that a batch costs what it brings.
     """
-    lines = spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("_file"))
-    kept = f"{checkpoint.rstrip('/')}-losses"
 
     def each(batch: DataFrame, epoch: int) -> None:
-        placed = decoded(batch).withColumn("line_number", F.struct(F.lit(epoch).alias("epoch"), "_file", F.monotonically_increasing_id().alias("place")))
-        losses(placed).write.mode("overwrite").parquet(f"{kept}/epoch={epoch}")
-        every = spark.read.option("basePath", kept).parquet(f"{kept}/epoch=*").where(F.col("epoch") <= epoch).drop("epoch")
-        if not every.isEmpty():
-            report(summarize(every).first().asDict() | {"epoch": epoch})
+        for row in batch.collect():  # one row: the folder's
+            report(row.asDict() | {"epoch": epoch})
 
-    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    snapshots = log_snapshots(spark, folder, F.lit("")).drop("log")
+    return snapshots.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def serve_requests(spark: SparkSession, folder: str, out: str, checkpoint: str, factory: Callable):

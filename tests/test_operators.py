@@ -133,7 +133,7 @@ def test_losses_survive_large_arguments(spark):
 
 def test_fit_pairwise_learns_the_sign(spark):
     df = spark.createDataFrame([(i, [1.0, -0.5] if i % 4 else [0.5, 0.5]) for i in range(40)], "n int, diff array<double>")
-    fitted = rewards.fit_pairwise(df, "n", epochs=300)
+    fitted = rewards.fit_pairwise(df, "n")
     assert fitted["weights"][0] > 0 and fitted["train_pairs"] == 32 and fitted["val_accuracy"] == 1.0
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,15 +84,19 @@ def test_logs_with_bad_bytes_and_in_batches(spark, tmp_path):
     assert [s["n"] for s in seen] == [2, 3] and seen[1]["max_loss"] == 2.0 and seen[1]["min_loss"] == 0.5
 
 
-def test_many_pairs_are_fitted_where_they_are(spark):
+def test_fit_is_where_clipped_steps_end(spark):
+    """Against an ascent by small steps, without and with weights at the clip."""
     rows = [(i, [1.0, ((i * 37) % 11 - 4) / 10, ((i * 17) % 7 - 3) / 5 + (0.3 if i % 3 else -0.4)]) for i in range(200)]
     df = spark.createDataFrame(rows, "n int, diff array<double>").repartition(5)
-    near = rewards.fit_pairwise(df, "n")
-    there = rewards.fit_pairwise(df, "n", most_pairs=10)
-    assert there["weights"] == pytest.approx(near["weights"], abs=1e-8)
-    assert {k: v for k, v in there.items() if k != "weights"} == {k: v for k, v in near.items() if k != "weights"}
-    with pytest.raises(ValueError, match="beyond the clip"):
-        rewards.fit_pairwise(df, "n", most_pairs=10, clip=0.01)
+    d = np.array([r[1] for r in rows])[:160]
+    for clip in (10.0, 0.5, 0.01):
+        w = np.zeros(3)
+        for _ in range(3000):
+            w = np.clip(w + 0.5 * ((1 - 1 / (1 + np.exp(-d @ w))) @ d / len(d) - 0.1 * w), -clip, clip)
+        fitted = rewards.fit_pairwise(df, "n", clip=clip)
+        assert fitted["weights"] == pytest.approx(w.tolist(), abs=1e-8)
+        assert fitted["train_accuracy"] == ((d @ w) > 0).mean() and fitted["train_pairs"] == 160 and fitted["val_pairs"] == 40
+    assert rewards.fit_pairwise(df.limit(0), "n")["weights"] == []
 
 
 def test_end_tokens(spark):
