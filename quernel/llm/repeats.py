@@ -8,7 +8,8 @@ begin in a document with a smaller id are marked.
 Texts that occur more than once are settled by their digests, so that groups of copies count as one document. Of the
 others only packed strings whose minimiser at least two documents have leave their task, as far as a Bloom filter of
 FILTER_BYTES at most can tell them; what it lets pass wrongly finds no partner. Minimisers of over HOT_ROWS strings or
-HOT_BYTES are not sorted in one task: their windows are counted one by one, combined before the shuffle.
+HOT_BYTES are not sorted in one task: equal strings become one first, and where still as many are left, their windows
+are counted one by one; both are combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -133,8 +134,8 @@ def _pack(bloom: np.ndarray, window: int, minimiser: int):
 # --- buckets --------------------------------------------------------------------------------------------------------
 
 
-def later(words: list[bytes], docs: np.ndarray, shingles: Shingles, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window in it) of all windows of packed strings that a document with a smaller id has here, too.
+def first_docs(words: list[bytes], docs: np.ndarray, shingles: Shingles, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, window in it, smallest document that has its words here) of all windows of packed strings, in their order.
 
     Windows are sorted by hash, and those of one hash compared; should they differ, all are sorted by their words.
     """
@@ -145,24 +146,29 @@ def later(words: list[bytes], docs: np.ndarray, shingles: Shingles, window: int)
     doc = docs[text]
     slices = lambda i: [shingles.raw[a:b] for a, b in zip(shingles.begin[at[i]].tolist(), shingles.end[at[i] + window - 1].tolist())]
 
-    def least(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def least(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((doc, key))
         new = np.diff(key[order], prepend=key[order][:1]) != 0
         new[:1] = True
         begin = np.flatnonzero(new)
-        head = np.repeat(order[begin], np.diff(np.append(begin, len(order))))
-        marked = doc[order] > doc[head]
-        return order, head, marked
+        return order, np.repeat(order[begin], np.diff(np.append(begin, len(order))))
 
     if not len(at):
-        return at, at
-    order, head, marked = least(h[at].view(np.int64))
-    mine, other = order[marked], head[marked]
-    if slices(mine) != slices(other):  # hashes that agree by chance
-        order, head, marked = least(np.unique(np.array(slices(np.arange(len(at))), object), return_inverse=True)[1])
-        mine = order[marked]
-    mine = np.sort(mine)
-    return text[mine], at[mine] - shingles.first[text[mine]]
+        return at, at, doc
+    order, head = least(h[at].view(np.int64))
+    others = order != head
+    if slices(order[others]) != slices(head[others]):  # hashes that agree by chance
+        order, head = least(np.unique(np.array(slices(np.arange(len(at))), object), return_inverse=True)[1])
+    owner = np.empty_like(doc)
+    owner[order] = doc[head]
+    return text, at - shingles.first[text], owner
+
+
+def later(words: list[bytes], docs: np.ndarray, shingles: Shingles, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window in it) of all windows that a document with a smaller id has here, too."""
+    string, place, owner = first_docs(words, docs, shingles, window)
+    marked = docs[string] > owner
+    return string[marked], place[marked]
 
 
 def _spans(doc: np.ndarray, x: np.ndarray, place: np.ndarray, string: np.ndarray, window: int) -> pa.RecordBatch:
@@ -176,36 +182,57 @@ def _spans(doc: np.ndarray, x: np.ndarray, place: np.ndarray, string: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(x[begin]), spans], names=["doc", "x", "spans"])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole minimisers, about CHUNK bytes of ``words`` at once, from batches sorted by the first column, ``h``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        while batch.num_rows:
+            h = batch.column(0).to_numpy()
+            if held and size >= CHUNK and h[0] != held[-1].column(0)[-1].as_py():
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            # up to the next border of a minimiser from which on there is enough
+            length = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index("words"))).to_numpy() + 1) + size
+            over = np.flatnonzero((length >= CHUNK) & np.append(h[1:] != h[:-1], False))
+            stop = int(over[0]) + 1 if len(over) else batch.num_rows
+            held.append(batch.slice(0, stop))
+            size = int(length[stop - 1])
+            batch = batch.slice(stop)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _sort(window: int):
     """Batches of packed strings sorted by minimiser to the spans of words that an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-
-        def spans(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
+        for table in _chunks(batches):
             doc, x, first = (table.column(c).to_numpy() for c in ("doc", "x", "first"))
             string, place = later(table.column("words").to_pylist(), doc, shingles, window)
             if len(string):
                 yield _spans(doc[string], x[string], first[string] + place, string, window)
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            while batch.num_rows:
-                h = batch.column(0).to_numpy()
-                if held and size >= CHUNK and h[0] != held[-1].column(0)[-1].as_py():
-                    yield from spans(held)
-                    held, size = [], 0
-                # up to the next border of a minimiser from which on there is enough
-                length = np.cumsum(pc.binary_length(batch.column(4)).to_numpy() + 1) + size
-                over = np.flatnonzero((length >= CHUNK) & np.append(h[1:] != h[:-1], False))
-                stop = int(over[0]) + 1 if len(over) else batch.num_rows
-                held.append(batch.slice(0, stop))
-                size = int(length[stop - 1])
-                batch = batch.slice(stop)
-        if held:
-            yield from spans(held)
+    return run
+
+
+def _owned(window: int):
+    """Batches of different strings (h, words, least, most) sorted by minimiser to (h, words, at, owners): windows that a smaller id than ``most`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for table in _chunks(batches):
+            least, most = (table.column(c).to_numpy() for c in ("least", "most"))
+            string, place, owner = first_docs(table.column("words").to_pylist(), least, shingles, window)
+            told = most[string] > owner
+            string, place, owner = string[told], place[told].astype(np.int32), owner[told]
+            begin = np.flatnonzero(np.diff(string, prepend=-1))
+            if len(begin):
+                ends = pa.array(np.append(begin, len(string)).astype(np.int32))
+                rows = table.select(["h", "words"]).take(pa.array(string[begin])).combine_chunks()
+                columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in rows.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(place)), pa.ListArray.from_arrays(ends, pa.array(owner))], names=["h", "words", "at", "owners"])
 
     return run
 
@@ -224,23 +251,30 @@ def _windows(window: int):
     return run
 
 
-def hot_spans(strings: DataFrame, window: int) -> DataFrame:
+def hot_spans(strings: DataFrame, window: int, hot_rows: int, hot_bytes: int) -> DataFrame:
     """The spans of packed strings of hot minimisers.
 
-    Equal strings are one, and their windows are grouped one by one, both combined before the shuffle. A string is then
-    joined with what is known of it, and gives one row.
+    Equal strings are one, combined before the shuffle. Minimisers that then have few strings are sorted as others are;
+    those with many different ones are not: their windows are grouped one by one, combined before the shuffle. Either
+    way a string gets the owners of its windows, and all rows that have it take them from there.
     """
-    each = strings.groupBy("h", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    each = materialize(each.mapInArrow(_windows(window), "h long, words binary, least long, most long, at int, own binary"), "hot-windows")
-    owners = each.groupBy("own").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("own", "first")
+    each = materialize(strings.groupBy("h", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "hot-strings")
+    sizes = each.groupBy("h").agg(F.count("*").alias("rows"), F.sum(F.octet_length("words")).alias("bytes"))
+    many = broadcast_if_small(materialize(sizes.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "many"))
+    kind = "h long, words binary, at array<int>, owners array<long>"
+    few = each.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_owned(window), kind)
+    split = each.join(many, "h", "left_semi").mapInArrow(_windows(window), "h long, words binary, least long, most long, at int, own binary")
+    split = materialize(split, "hot-windows")
+    owners = split.groupBy("own").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("own", "first")
     owners = materialize(owners, "owners")
-    known = each.join(broadcast_if_small(owners), "own").where("most > first")
-    known = materialize(known.groupBy("h", "words").agg(F.collect_list(F.struct("at", F.col("first").alias("owner"))).alias("owned")), "owned")
+    met = split.join(broadcast_if_small(owners), "own").where("most > first").groupBy("h", "words").agg(F.collect_list(F.struct("at", "first")).alias("o"))
+    known = materialize(few.unionByName(met.select("h", "words", F.col("o.at").alias("at"), F.col("o.first").alias("owners"))), "owned")
     discard(each)
-    met = strings.join(broadcast_if_small(known), ["h", "words"])
-    later_ones = F.filter("owned", lambda o: o["owner"] < F.col("doc"))
-    pairs = F.flatten(F.transform(later_ones, lambda o: F.array(F.col("first") + o["at"], F.col("first") + o["at"] + window)))
-    return met.select("doc", "x", pairs.alias("spans")).where(F.size("spans") > 0)
+    discard(split)
+    rows = strings.join(broadcast_if_small(known), ["h", "words"])
+    mine = F.filter(F.arrays_zip("at", "owners"), lambda o: o["owners"] < F.col("doc"))
+    pairs = F.flatten(F.transform(mine, lambda o: F.array(F.col("first") + o["at"], F.col("first") + o["at"] + window)))
+    return rows.select("doc", "x", pairs.alias("spans")).where(F.size("spans") > 0)
 
 
 # --- documents ------------------------------------------------------------------------------------------------------
@@ -271,7 +305,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     hot = broadcast_if_small(materialize(shared.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "hot"))
     few = strings.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     found = few.mapInArrow(_sort(window), "doc long, x long, spans array<int>")
-    out = materialize(found.unionByName(hot_spans(strings.join(hot, "h", "left_semi"), window)), "spans")
+    out = materialize(found.unionByName(hot_spans(strings.join(hot, "h", "left_semi"), window, hot_rows, hot_bytes)), "spans")
     discard(strings)
     discard(shared)
     return out
