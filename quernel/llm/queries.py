@@ -63,6 +63,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs, secrets.train(docs), keep_text=False).drop("secret_spans")
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base patterns alone find, which SQL can tell too."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), None, keep_text=False).drop("secret_spans", "spans")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licences(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
     spans = F.array_join(F.transform("license_spans", lambda s: F.concat_ws(":", s["license"], s["start"], s["end"])), ",")
@@ -99,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_token_counts, op2_toxicity, op3_embedding_dedup, op4_warc, op5_decontamination, op6_mixing, op7_language_id, op8_simhash_dedup, op9_secret_scan, op10_license_scan]
-    ops += [op11_hard_negatives, op12_merkle_manifest, op13_substring_dedup, pipeline]
+    ops += [op11_hard_negatives, op12_merkle_manifest, op13_substring_dedup, secret_base_spans, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -239,8 +244,23 @@ FROM d LEFT JOIN gone ON gone.row = d.row
 """
 
 
+_SECRET_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k(kind, place, pattern, least) AS (
+  VALUES ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
+         ('access', 1, '(AKIA[A-Z0-9]+)', 16), ('hex', 2, '([0-9a-f]+)', 32)),
+m AS (SELECT doc_id, t, kind, place, least, regexp_extract_all(t, pattern, 0) AS whole, regexp_extract_all(t, pattern, 1) AS part, string_split_regex(t, pattern) AS gaps FROM d, k),
+u AS (SELECT doc_id, kind, place, least, whole[i] AS w, part[i] AS p,
+        list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS a
+      FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m)),
+s AS (SELECT doc_id, kind, place, CAST(a AS BIGINT) AS a, CAST(a + length(w) AS BIGINT) AS b FROM u WHERE length(p) >= least),
+g AS (SELECT doc_id, count_if(place = 0) AS x, count_if(place = 1) AS y, count_if(place = 2) AS z, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS l FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(x, 0) AS BIGINT) AS n_assign, CAST(coalesce(y, 0) AS BIGINT) AS n_access, CAST(coalesce(z, 0) AS BIGINT) AS n_hex, sha256(coalesce(l, '')) AS base_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_dedup": _EMBEDDING_SQL, "op4_warc": _WARC_SQL, "op5_decontamination": _DECONTAMINATION_SQL,
-        "op11_hard_negatives": _NEGATIVES_SQL, "op12_merkle_manifest": _MERKLE_SQL, "op13_substring_dedup": _REPEATS_SQL,
+        "secret_base_spans": _SECRET_BASE_SQL, "op11_hard_negatives": _NEGATIVES_SQL, "op12_merkle_manifest": _MERKLE_SQL, "op13_substring_dedup": _REPEATS_SQL,
     }

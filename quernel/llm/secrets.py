@@ -200,6 +200,69 @@ def harmless(rng: random.Random, words: list[str]) -> str:
     return f"{name()}{rng.randint(1, 999)}"
 
 
+def code(rng: random.Random, words: list[str]) -> str:
+    """A line of a program or of markup, in which no one has put a secret."""
+    some = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    base = lambda: rng.choice(words).lower() if rng.random() < 0.7 else "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    short = lambda: rng.choice(["x", "i", "fp", "ctx", "buf", "tmp", "n2", "utf8", "sha256", "int32", "x509", "md5", "b64", "ipv6", "py3k"])
+    snake = lambda: rng.choice(["", "", "", "_", "__"]) + "_".join(base() if rng.random() < 0.85 else short() for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", "", "2", "_1", "64"])
+    camel = lambda: "".join(rng.choice([base().capitalize(), base().capitalize(), base().capitalize(), rng.choice(["HTTP", "URL", "BZ2", "IPv4", "UTF8", "XML", "SSL", "ID", "2D"])]) for _ in range(rng.randint(1, 4)))
+    mixed = lambda: (lambda c: c[0].lower() + c[1:])(camel())
+    upper = lambda: "_".join(base().upper() if rng.random() < 0.9 else some(string.digits, 1, 3) for _ in range(rng.randint(1, 5)))
+    number = lambda: rng.choice([some(string.digits, 1, 4), "0x" + some(_HEXES, 2, 16), "0X" + some(_HEXES.upper(), 2, 8), f"{some(string.digits, 1, 3)}.{some(string.digits, 1, 12)}", f"1e-{some(string.digits, 1, 2)}", f"{some(string.digits, 1, 3)}_{some(string.digits, 3, 3)}", some(string.digits, 8, 20), f"{some(string.digits, 5, 9)}L"])
+    any_name = lambda: rng.choice([snake, snake, snake, camel, mixed, upper])()
+    chain = lambda: ".".join(any_name() for _ in range(rng.randint(1, 4)))
+    call = lambda: f"{chain()}({', '.join(rng.choice([any_name, number, chain, lambda: repr(base()), lambda: any_name() + '=' + number()])() for _ in range(rng.randint(0, 4)))})"
+    escapes = ("\\U0001", "\\U000", "\\u", "\\x", "&#x", "%")
+    told = lambda: " ".join(base() for _ in range(rng.randint(2, 7)))
+    announced = lambda: rng.choice(ALIASES + ["password", "token", "secret", "api_key", "tok", "keys", "passwords", "tokens"])
+    forms = (
+        lambda: f"from {chain()} import {any_name()}, {any_name()}",
+        lambda: f"import {chain()} as {snake()}",
+        lambda: f"def {snake()}(self, {snake()}={number()}, *{snake()}, {announced()}=None):",
+        lambda: f"class {camel()}({chain()}):",
+        lambda: f"{any_name()} = {call()}",
+        lambda: f"self.{any_name()} = {any_name()} | {upper()} & {number()}",
+        lambda: f"raise {camel()}Error('{told()}' % {call()})",
+        lambda: f"if {chain()} is not None and {call()} != {number()}:",
+        lambda: ", ".join(rng.choice(["'{}'", '"{}"', "{}"]).format(any_name()) for _ in range(rng.randint(1, 6))) + ",",
+        lambda: f"{upper()} = {number()}",
+        lambda: f"return {{'{any_name()}': {call()}, \"{any_name()}\": {number()}}}",
+        lambda: f'<{base()} class="{base()}-{base()} {mixed()}" id="{mixed()}{number()}">{told()}</{base()}>',
+        lambda: f"# {told()} (https://{base()}.example.org/{base()}/{upper()}-{some(string.digits, 3, 4)}/{camel()}#{any_name()})",
+        lambda: f"    {announced()} = {call()}",
+        lambda: f"for {announced()}, {any_name()} in {chain()}.items():",
+        lambda: f"    {announced()}: {rng.choice(['str', 'int', 'Optional[str]', 'bytes', chain()])} = {rng.choice(['None', call(), any_name()])}",
+        lambda: f"{chain()}[{rng.choice(['', repr(announced())])}{number()}:{any_name()}] += {call()}",
+        lambda: f"@{chain()}\t# {told()}",
+        lambda: f"    {number()}, {number()}, {number()},{' ' * rng.randint(1, 3)}#  {number()} -> {told().upper()}",
+        lambda: f"    '{rng.choice(escapes)}{some(_HEXES, 2, 5)}{rng.choice(['', base()])}' : {number()},  # {told()}",
+        lambda: " ".join(f"{rng.choice(escapes)}{some(_HEXES, 2, 4)}" for _ in range(rng.randint(1, 6))).replace(" ", rng.choice(["", "", base()])),
+        lambda: f"    0x{some(_HEXES, 2, 2)}: 0x{some(_HEXES, 4, 4)},{' ' * rng.randint(1, 3)}#  0x{some(_HEXES.upper(), 2, 2)} -> {told().upper()}",
+        lambda: f"    '{told()}'{' ' * rng.randint(1, 3)}#  0x{some(_HEXES.upper(), 2, 4)} -> {told().upper()}",
+        lambda: f"'{some(string.digits, 2, 2)}-{base().capitalize()[:3]}-{some(string.digits, 4, 4)}', '{base().capitalize()}_{base().capitalize()}_{some(string.digits, 4, 4)}', '{rng.choice(['', '-'])}0X{some(_HEXES, 1, 2)}p-{some(string.digits, 3, 4)}'",
+        lambda: f"xmlns:{base()}='http://www.{base()}.org/{some(string.digits, 4, 4)}/{camel()}/{base()}-{camel()}.{base()}'",
+        lambda: f"{camel()}{camel()}{camel()}({camel()}{camel()}, {camel()}{camel()}):",
+        lambda: f"{any_name()}('{{{'-'.join(some(_HEXES, k, k) for k in (8, 4, 4, 4, 12))}}}', {call()})",
+        lambda: " = ".join(f"{letter}{k}" for letter in rng.choice(string.ascii_lowercase) for k in range(rng.randint(1, 600), 600, 61)),
+        lambda: f"{any_name()}({':'.join(some(_HEXES, 2, 4) for _ in range(rng.randint(4, 8)))!r}, '{some(string.digits, 1, 3)}.{some(string.digits, 1, 3)}.{some(string.digits, 1, 3)}.1', -0x1.{some(_HEXES, 1, 6)}p-{some(string.digits, 2, 4)})",
+        lambda: f"# {rng.choice(['commit', 'rev', 'changeset', 'bpo', 'id'])} {some(_HEXES, 7, 12)}: {told()}",
+        lambda: f">>> {call()}",
+        lambda: f"'{told()}' {rng.choice(['%s', '{0}', '{!r}'])} \\x{some(_HEXES, 2, 2)}\\x{some(_HEXES, 2, 2)}\\n",
+        lambda: f"{any_name()}->{any_name()}({any_name()}::{any_name()}, &{any_name()}); // {told()}",
+        lambda: f"{announced()}={any_name()}, {announced()}={call()}" if rng.random() < 0.5 else f"{any_name()}.{announced()}({any_name()}, {announced()})",
+        lambda: f"    r'[{some(string.ascii_letters, 1, 3)}-{some(string.ascii_letters, 1, 1)}]+(?P<{base()}>\\d{{{some(string.digits, 1, 1)},}})|{any_name()}$'",
+        lambda: f"{' ' * rng.randint(0, 12)}{rng.choice(['pass', 'try:', 'else:', 'return', 'break', 'yield'])} {rng.choice(['', any_name(), call()])}",
+    )
+    return " " * (4 * rng.randint(0, 3)) + rng.choice(forms)()
+
+
+def code_files(words: list[str], lines: int) -> list[str]:
+    """Texts of about ``lines`` lines of ``code`` in all."""
+    rng = random.Random(len(words))
+    return ["\n".join(code(rng, words) for _ in range(n)) for n in (lines // 2, *[40] * (lines // 80), *[5] * (lines // 40))]
+
+
 def tagged_tokens(line: str, secrets: list[tuple[int, int]]) -> tuple[list[str], list[int]]:
     """Tokens of a line and their tags by the places of its secrets."""
     tokens, tags, last = [], [], None
@@ -244,6 +307,14 @@ def training_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str]
         after = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
         add(f"{head}{value}{after} {line[at:]}", [(len(head), len(head) + len(value))] if secret else [], of_file)
 
+    names = sorted({t for _, line, _, _ in sorted(kinds[2], key=lambda x: x[:2])[:lines] for t in _TOKEN.findall(line) if 2 < len(t) < 12 and t.isalpha() and t.isascii()}) or ["word"]
+    for text in code_files(names, lines):
+        of_file = file_features(text)
+        for line in text.split("\n"):
+            rng = random.Random(zlib.crc32(line.encode("utf-8")))
+            add(line, [], of_file)
+            if rng.random() < 0.15:  # some do have one
+                plant(line, of_file, invent(rng), rng.choice(ALIASES + ["password", "token"]) + rng.choice(JOINS[:4] + JOINS[7:10]), True)
     for k, group in enumerate(kinds):
         for crc, line, own, of_file in sorted(group, key=lambda x: x[:2])[:lines]:
             rng = random.Random(crc)
@@ -263,8 +334,8 @@ def training_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str]
             elif k == 2:
                 words = [w for w in _TOKEN.findall(line) if len(w) > 1 and w.isalpha()] or ["word"]
                 before = rng.choice(ALIASES + ["password", "token", "secret", "api_key"]) + rng.choice(JOINS)
-                for kind in range(4):
-                    if rng.random() < 0.35:
+                for kind, share in enumerate((0.35, 0.35, 0.7, 0.35)):
+                    if rng.random() < share:
                         if kind == 0:
                             plant(line, of_file, invent(rng), before, True)
                         elif kind == 1:

@@ -113,6 +113,18 @@ def test_secrets_that_no_pattern_matches(corpus):
     assert false <= 0.02 * len(clean) * len(HARMLESS)
 
 
+def test_programs_hold_few_secrets(corpus):
+    """Files of the standard library, of which no fit has seen one: most stay clean."""
+    import glob
+    import os
+
+    tagger = secrets.Tagger(corpus[0])
+    files = sorted(f for f in glob.glob(os.path.dirname(os.__file__) + "/*.py"))[::3]
+    texts = [open(f, encoding="utf-8", errors="replace").read() for f in files]
+    marked = [bool(secrets.without(tagger.spans(t), secrets.base_spans(t), t)) for t in texts]
+    assert len(files) > 40 and sum(marked) <= 0.25 * len(files)
+
+
 def test_what_base_spans_cover_is_cut_off():
     text = 'x = "gg' + "0" * 32 + 'zz" y'
     base = secrets.base_spans(text)
@@ -137,21 +149,6 @@ def test_a_corpus_without_secrets_still_gives_a_field():
     assert secrets.Tagger(model).spans("line 3 of plain words") == []
 
 
-_BASE_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k(kind, place, pattern, least) AS (
-  VALUES ('assign', 0, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8),
-         ('access', 1, '(AKIA[A-Z0-9]+)', 16), ('hex', 2, '([0-9a-f]+)', 32)),
-m AS (SELECT doc_id, t, kind, place, least, regexp_extract_all(t, pattern, 0) AS whole, regexp_extract_all(t, pattern, 1) AS part, string_split_regex(t, pattern) AS gaps FROM d, k),
-u AS (SELECT doc_id, kind, place, least, whole[i] AS w, part[i] AS p,
-        list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS a
-      FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m)),
-s AS (SELECT doc_id, kind, place, CAST(a AS BIGINT) AS a, CAST(a + length(w) AS BIGINT) AS b FROM u WHERE length(p) >= least),
-g AS (SELECT doc_id, count_if(place = 0) AS x, count_if(place = 1) AS y, count_if(place = 2) AS z, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS l FROM s GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(x, 0) AS BIGINT) AS n_assign, CAST(coalesce(y, 0) AS BIGINT) AS n_access, CAST(coalesce(z, 0) AS BIGINT) AS n_hex, sha256(coalesce(l, '')) AS base_sha256
-FROM d LEFT JOIN g USING (doc_id)
-"""
-
-
 def test_base_columns_agree_with_sql(spark):
     sf_dir = "/root/testdata/sf0.01"
-    same_rows(queries.op9_secret_scan(spark, sf_dir).drop("spans"), _BASE_SQL, sf_dir)
+    same_rows(queries.op9_secret_scan(spark, sf_dir).drop("spans"), queries.oracle_sql()["secret_base_spans"], sf_dir)
