@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is logistic in the summed scores of its words; the
-document's is the noisy-or of its sentences, 1 - prod(1 - p). A word counts once a sentence. Only documents are labelled: the gradient of the
-noisy-or's likelihood shares a toxic document's blame among its sentences, and the fitted sentence scores then locate
-the offending ones. A word's score is the sum of the weights of its prefixes and itself, hashed. Weights are never
-negative: harmless words around an offence don't make up for it, in sentences of any length.
-
-The bias is learnt with the weights: documents of many harmless sentences push it down until their noisy-or is small,
-whatever their length. A few toxic labels are taken to be wrong (``WRONG``), or one without any telling word would
-pull the bias up for all. Scores are those of the fitted model, every sentence counting.
+A document is a bag of sentences. A sentence's odds are logistic in the summed scores z of its words and a bias b; it
+offends with the probability p by which it goes beyond a sentence without telling words, 1 - p = (1 - sigmoid(b + z)) /
+(1 - sigmoid(b))^(1 - LEAK), and the document's probability is the noisy-or of its sentences, 1 - prod(1 - p). So a
+sentence of harmless words adds next to nothing, and a harmless text scores low however long it is. A word counts once a sentence. Only
+documents are labelled: the gradient of the noisy-or's likelihood shares a toxic document's blame among its sentences,
+and the fitted sentence scores then locate the offending ones. A word's score is the sum of the weights of its prefixes
+and itself, hashed. Weights are never negative: harmless words around an offence don't make up for it.
+
+The bias is learnt with the weights. A few toxic labels are taken to be wrong (``WRONG``), or one without any telling
+word would pull weights up for all. The settings of a fit are chosen by folds of the training rows (``compare``), which
+never see the held-out ones. Scores are those of the fitted model, every sentence counting.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 PER_CLASS = 2500  # labelled documents of each class that a fit looks at
 BIAS = -6.0  # log-odds of a sentence without telling words that a fit begins with
-TOXIC_SHARE = 0.75  # of the likelihood that toxic documents have together, whatever their number
-WRONG = 0.05  # share of harmless documents that the likelihood takes to be labelled toxic
+TOXIC_SHARE = 0.6  # of the likelihood that toxic documents have together, whatever their number
+WRONG = 0.1  # share of harmless documents that the likelihood takes to be labelled toxic
+LEAK = 0.05  # share of a plain sentence's probability that it keeps
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 EPOCHS = 80
-SPARSENESS = 1e-5  # slope of the penalty on the sum of weights
+SPARSENESS = 1e-4  # slope of the penalty on the sum of weights
 LEAST_DOCUMENTS = 4  # features of fewer training documents have no weight
+HALF = math.log(0.5)
 KNOWN_WORDS = 400_000
 WORD = r"[^\W\d_]+"
 SENTENCE = r"[^.!?\n]+"
@@ -62,17 +66,18 @@ def loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels,
     n_words, n_sentences, n_docs = int(max(feature_word.max(initial=-1), words.max(initial=-1))) + 1, len(doc_of), len(labels)
     score = np.bincount(feature_word, theta[feature], minlength=n_words)
     z = np.clip(bias + np.bincount(sentence_of, score[words], minlength=n_sentences), -30, 30)
-    clean = np.exp(np.bincount(doc_of, -np.logaddexp(0, z), minlength=n_docs))
+    clean = np.exp(np.bincount(doc_of, (1 - LEAK) * np.logaddexp(0, bias) - np.logaddexp(0, z), minlength=n_docs))
     says = np.where(labels == 1, wrong + (1 - wrong) * (1 - clean), (1 - wrong) * clean)
     # d clean / dz = -clean * p of the sentence; what clean documents say never levels off, however toxic they look
     blame = share * np.where(labels == 1, -(1 - wrong) * clean / np.maximum(says, 1e-9), 1)
     by_sentence = blame[doc_of] / (1 + np.exp(-z))
+    by_bias = by_sentence - (1 - LEAK) * blame[doc_of] / (1 + np.exp(-bias))
     by_word = np.bincount(words, by_sentence[sentence_of], minlength=n_words)
-    return float(-(share * np.log(np.maximum(says, 1e-300))).sum()), np.bincount(feature, by_word[feature_word], minlength=len(theta)), float(by_sentence.sum())
+    return float(-(share * np.log(np.maximum(says, 1e-300))).sum()), np.bincount(feature, by_word[feature_word], minlength=len(theta)), float(by_bias.sum())
 
 
-def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
-    """Fit by full-batch Adam on the noisy-or likelihood, toxic documents having ``TOXIC_SHARE`` of it together.
+def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS, toxic_share: float = TOXIC_SHARE, wrong: float = WRONG, sparseness: float = SPARSENESS) -> Model:
+    """Fit by full-batch Adam on the noisy-or likelihood, toxic documents having ``toxic_share`` of it together.
 
     ``documents``: (text, 0 or 1). With one class only, or none, every score is that class's rate (0 without rows).
     """
@@ -104,12 +109,12 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     kept, feature = np.unique(feature[stay], return_inverse=True)
     feature_word = feature_word[stay]
     n_docs = len(labels)
-    share = np.where(labels == 1, TOXIC_SHARE / labels.sum(), (1 - TOXIC_SHARE) / (n_docs - labels.sum()))
+    share = np.where(labels == 1, toxic_share / labels.sum(), (1 - toxic_share) / (n_docs - labels.sum()))
     theta, bias = np.zeros(len(kept)), BIAS
     moments = [np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)]
     for epoch in range(1, epochs + 1):
-        value, slope, bias_slope = loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels, share)
-        slope = np.append(slope + SPARSENESS, bias_slope)
+        value, slope, bias_slope = loss(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels, share, wrong)
+        slope = np.append(slope + sparseness, bias_slope)
         moments[0] = 0.9 * moments[0] + 0.1 * slope
         moments[1] = 0.99 * moments[1] + 0.01 * slope**2
         step = 0.2 * (moments[0] / (1 - 0.9**epoch)) / (np.sqrt(moments[1] / (1 - 0.99**epoch)) + 1e-5)
@@ -118,6 +123,35 @@ def fit(documents: list[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     return Model(float(bias), dict(zip(kept[heavy].tolist(), theta[heavy].tolist())))
 
 
+def score_text(text: str | None, model: Model) -> float:
+    """The score of one text."""
+    clean = 0.0
+    for part in re.findall(SENTENCE, (text or "").lower()):
+        found = set(re.findall(WORD, part))
+        if found:
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in found for f in word_features(w))
+            clean += (1 - LEAK) * float(np.logaddexp(0, model.bias)) - float(np.logaddexp(0, z))
+    return -math.expm1(clean)
+
+
+def compare(documents: list[tuple[str, int]], settings: list[dict], folds: int = 3) -> list[tuple[dict, float, float, float]]:
+    """(setting, recall at THRESHOLD, share of harmless documents at it, likelihood) of each by folds of training rows, the best first.
+
+    A setting is the arguments of ``fit``. The best has the highest recall less ten times the share of false ones.
+    """
+    out = []
+    for setting in settings:
+        rows = []
+        for fold in range(folds):
+            place = lambda text: xxhash.xxh32_intdigest((text or "").encode("utf-8", "surrogatepass")) % folds
+            model = fit([d for d in documents if place(d[0]) != fold], **setting)
+            rows += [(score_text(t, model), y) for t, y in documents if place(t) == fold]
+        score, label = np.array(rows, float).T
+        says = np.clip(np.where(label == 1, score, 1 - score), 1e-3, 1)
+        out.append((setting, float((score[label == 1] >= THRESHOLD).mean()), float((score[label == 0] >= THRESHOLD).mean()), float(np.log(says).mean())))
+    return sorted(out, key=lambda r: r[1] - 10 * r[2], reverse=True)
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(text, toxic) of about ``per_class`` labelled documents of each class, held-out ids left out.
 
@@ -144,6 +178,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", threshold:
     def start():
         sentence_re, word_re = re.compile(SENTENCE), re.compile(WORD)
         weights, bias = model.weights, model.bias
+        plain = (1 - LEAK) * float(np.logaddexp(0, bias))
         known: dict[str, float] = {}
 
         def word_score(w):
@@ -166,9 +201,10 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", threshold:
                     found = set(word_re.findall(m[0]))
                     if found:
                         z = min(30.0, bias + sum(map(known.__getitem__, found)))
-                        clean -= math.log1p(math.exp(z))
-                        if z >= 0:
-                            bad.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + math.exp(-z))})
+                        own = plain - math.log1p(math.exp(z))
+                        clean += own
+                        if own <= HALF:
+                            bad.append({"start": m.start(), "end": m.end(), "score": -math.expm1(own)})
                 scores.append(-math.expm1(clean))
                 predicted.append(int(scores[-1] >= threshold))
                 offending.append(bad)

@@ -27,7 +27,7 @@ def plain(theta, bias, feature, feature_word, words, sentence_of, doc_of, labels
         clean = 1.0
         for s in np.flatnonzero(doc_of == d):
             z = bias + sum(theta[f] for w in words[sentence_of == s] for f, v in zip(feature, feature_word) if v == w)
-            clean *= 1 - 1 / (1 + math.exp(-z))
+            clean *= (1 - 1 / (1 + math.exp(-z))) / (1 - 1 / (1 + math.exp(-bias))) ** (1 - toxicity.LEAK)  # beyond a sentence without telling words
         says = wrong + (1 - wrong) * (1 - clean)  # only harmless documents are labelled wrongly
         total -= share[d] * math.log(says if y else 1 - says)
     return total
@@ -50,10 +50,10 @@ def test_scores_are_the_noisy_or_of_all_sentences(spark):
     text = "Some vile words. Rude, rude ones!\n123. Plain ones"
     want = 1.0
     for z in (1.0, -2.0, -3.0):
-        want *= 1 - 1 / (1 + math.exp(-z))
+        want *= (1 - 1 / (1 + math.exp(-z))) / (1 - 1 / (1 + math.exp(3.0))) ** (1 - toxicity.LEAK)
     r = toxicity.score_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert r["score"] == pytest.approx(1 - want) and r["predicted"] == (1 - want >= 0.7)
-    assert [(text[o["start"] : o["end"]], round(o["score"], 9)) for o in r["offending"]] == [("Some vile words", round(1 / (1 + math.exp(-1)), 9))]
+    assert [(text[o["start"] : o["end"]], round(o["score"], 9)) for o in r["offending"]] == [("Some vile words", round(1 - (1 - 1 / (1 + math.exp(-1))) / (1 - 1 / (1 + math.exp(3.0))) ** (1 - toxicity.LEAK), 9))]
 
 
 def test_held_out_documents(spark):
@@ -75,6 +75,33 @@ def test_long_harmless_texts_stay_low(spark):
     assert got[0]["score"] < 0.7 <= got[1]["score"]
 
 
+def test_length_alone_makes_no_score(spark):
+    """Among held-out harmless documents scores hardly follow length, and planted offences are found where they are."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels.where("toxic = 0"), "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1).where("n_chars > 0").orderBy("doc_id").select("doc_id", "text").collect()
+    score = np.array([toxicity.score_text(r["text"], model) for r in rows])
+    assert abs(np.corrcoef(score, np.log([len(r["text"]) for r in rows]))[0, 1]) < 0.3  # 0.22 over the 1,200 of sf0.1
+    words = [w for w in {w.lower() for r in docs.join(labels.where("toxic = 1"), "doc_id").select("text").collect() for w in r["text"].split() if w.isalpha()} if model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.word_features(w)) > 2]
+    rng, planted = random.Random(5), []
+    for r in rows[:60]:
+        parts = r["text"].split(". ")
+        at = rng.randint(0, len(parts))
+        head = ". ".join(parts[:at] + [""])
+        planted.append((len(planted), head + f"you are a {rng.choice(sorted(words))} one. " + ". ".join(parts[at:]), len(head)))
+    got = toxicity.score_documents(spark.createDataFrame(planted, "doc_id long, text string, place long"), model).collect()
+    found = [any(o["start"] <= r["place"] + 12 < o["end"] for o in r["offending"]) for r in got]
+    assert words and sum(found) >= 0.95 * len(found) and sum(len(r["offending"]) for r in got) <= 1.3 * len(got)
+
+
+def test_settings_are_compared_by_folds():
+    rng = random.Random(6)
+    docs = [(" ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) + (". vile thing" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(150)]
+    best = toxicity.compare(docs, [{"epochs": 1}, {}])
+    assert best[0][0] == {} and best[0][1] > 0.9 and best[0][2] == 0.0
+
+
 def test_clashing_columns_of_documents_are_not_read(spark):
     docs = spark.createDataFrame([(1, "a b", 1, "x"), (1, "a c", 0, "y"), (2, "d", None, "z")], "doc_id long, text string, toxic int, label string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
