@@ -8,8 +8,10 @@ shingles are joined with the shingles of documents. A shingle's place in its win
 begin; positional and length bounds drop those that would run over an end of the document, and the words of the
 item-sized window are compared one by one.
 
-One pass reads the documents, whatever the size of the benchmark. It emits only shingles that pass a Bloom filter of all
-items' shingles, of FILTER_BYTES at most, with the words around them: what it lets pass wrongly falls out in the join.
+A pass over the documents emits only shingles that pass a Bloom filter of the items' shingles, with the words around them:
+what it lets pass wrongly falls out in the join. A filter has FILTER_BYTES at most and FILTER_BITS a shingle at least, so
+that about one shingle in 50 passes wrongly: items of more shingles than that have several filters, by ranges of the
+shingles' hash, and a pass for each. Up to some 13 million shingles of items that is one pass.
 Texts are told by 128 bits, so equal texts take part once, and nothing but those digests travels for a document that
 shares no shingle with an item.
 """
@@ -31,6 +33,7 @@ WINDOW = 13
 SHINGLE = 5
 SHARE = 20  # contaminated from one word in so many on
 FILTER_BYTES = 16 << 20  # of the filter that goes to every task, at most
+FILTER_BITS = 10  # of a filter for each shingle, at least
 HASHES = 3  # bits of a shingle in the filter
 PIECE = 1 << 20  # bytes of text whose words are hashed at once
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -186,8 +189,8 @@ def _digest(text: str) -> dict[str, Column]:
 _MATCH = "t1 long, t2 long, total int, h long, size int, place int, before int, words string"
 
 
-def _scan(bloom: np.ndarray, sizes: list[int], window: int):
-    """Batches of (t1, t2, text) to the shingles that pass the filter, with the words that a window around one can have."""
+def _scan(bloom: np.ndarray, sizes: list[int], window: int, ranges: int = 1, own: int = 0):
+    """Batches of (t1, t2, text) to the shingles of one of ``ranges`` that pass its filter, with the words that a window around one can have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -202,7 +205,11 @@ def _scan(bloom: np.ndarray, sizes: list[int], window: int):
                 shingles.read(texts)
                 for size in sizes:
                     h, whole = shingles.of(size)
-                    found = passes(h, bloom)
+                    if ranges == 1:
+                        found = passes(h, bloom)
+                    else:
+                        found = np.flatnonzero(h.view(np.int64) % ranges == own)
+                        found = found[passes(h[found], bloom)]
                     found = found[whole[found]]
                     for i in range(0, len(found), 4096):
                         at = found[i : i + 4096]
@@ -228,9 +235,15 @@ def occurrences(docs: DataFrame, found: DataFrame, text: str = "text", window: i
     schema = "t1 long, t2 long, total int, w1 long, w2 long, first int, n int"
     if not sizes:
         return spark.createDataFrame([], schema)
-    bloom = bloom_filter(found.select(F.explode("hashes").alias("h")))
+    hashes = found.select(F.explode("hashes").alias("h"))
+    number = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    ranges = max(1, -(-number * FILTER_BITS // (8 * FILTER_BYTES)))
     texts = docs.where(F.col(text).isNotNull()).select(*[c.alias(n[1:]) for n, c in _digest(text).items()], text)
-    matches = texts.mapInArrow(_scan(bloom, sizes, window), _MATCH)
+    matches = None
+    for own in range(ranges):
+        bloom = bloom_filter(hashes if ranges == 1 else hashes.where(F.pmod("h", F.lit(ranges)) == own), FILTER_BYTES)
+        part = texts.mapInArrow(_scan(bloom, sizes, window, ranges, own), _MATCH)
+        matches = part if matches is None else matches.unionByName(part)
     matches = materialize(matches.dropDuplicates(["t1", "t2", "size", "place"]), "matches")
     rarity = materialize(matches.groupBy("h", "size").agg(F.count("*").alias("seen")), "rarity")
     each = found.select("w1", "w2", "words", "n", "size", "hashes").dropDuplicates(["w1", "w2"])
