@@ -34,6 +34,7 @@ BITS = 3  # of a coordinate in a code
 SPREAD = 6.5  # confidence bound in standard errors: 4e-11 of the pairs at exactly the threshold are over it
 TILE = 4096
 DENSE = 0.05  # share of open pairs from which rows are recomputed by one matrix product
+ROUNDING = 1e-12  # by which a matrix product may be off a sum of products
 TRIALS = 20_000  # random pairs by which a table's chance to bring a pair together is measured
 SEED = 20240
 
@@ -234,12 +235,16 @@ def _judge(cosine: float):
                     maybe = np.triu(open_pairs(first, second, error, rows, cosine), i + 1)
                     if across:
                         maybe &= block[rows, None] != block[None, :]
-                    if maybe.mean() > DENSE:
-                        a, b = np.nonzero(maybe & (x[rows] @ x.T >= cosine))
+                    if maybe.mean() > DENSE:  # only those at the threshold are left for the formula below, which decides
+                        product = x[rows] @ x.T
+                        sure = maybe & (product >= cosine + ROUNDING)
+                        maybe &= np.abs(product - cosine) < ROUNDING
                     else:
-                        a, b = np.nonzero(maybe)
-                        near = np.concatenate([np.einsum("ij,ij->i", x[a[j : j + 16384] + i], x[b[j : j + 16384]]) >= cosine for j in range(0, len(a), 16384)] or [np.zeros(0, bool)])
-                        a, b = a[near], b[near]
+                        sure = np.zeros_like(maybe)
+                    a, b = np.nonzero(maybe)
+                    near = np.concatenate([np.einsum("ij,ij->i", x[a[j : j + 16384] + i], x[b[j : j + 16384]]) >= cosine for j in range(0, len(a), 16384)] or [np.zeros(0, bool)])
+                    sure[a[near], b[near]] = True
+                    a, b = np.nonzero(sure)
                     if len(a):
                         links += np.bincount(a + i, copies[b], minlength=len(x)).astype(np.int64) + np.bincount(b, copies[a + i], minlength=len(x)).astype(np.int64)
                         open_ = labels[a + i] != labels[b]
