@@ -43,7 +43,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     mixed = mixing.mix(docs, keep_text=False)
-    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "copies")
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "copies", F.round("margin_gap", 9).alias("margin_gap"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
