@@ -136,7 +136,7 @@ def template_diversity(spark, sf_dir):
     return rows.groupBy("p_type").agg(F.count("*").alias("n"), F.countDistinct("template").alias("templates"), F.min("template").alias("first_template"))
 
 
-@query(f"""WITH {_PROMPT_SQL} SELECT p_type AS kind, '品牌,类型,颜色,风格' AS names, count(*) AS n, min(p_partkey) AS first_key FROM a GROUP BY p_type""")
+@query(f"""WITH {_PROMPT_SQL} SELECT p_type AS kind, array_to_string(list_sort(list_distinct(list_transform(attrs, lambda x: x.k))), ',') AS names, count(*) AS n, min(p_partkey) AS first_key FROM a GROUP BY ALL""")
 def structure_frequency(spark, sf_dir):
     rows = _parsed(spark, sf_dir).select("p_partkey", A.structure(F.col("attributes")).alias("s"))
     # most common first, ties by first seen
@@ -289,8 +289,9 @@ def conversation_identity(spark, sf_dir):
     return _nested(spark, sf_dir).select("conv_id", F.size("messages").cast("long").alias("turns"), X.conversation_key(F.col("messages")).alias("key"), curate.only_text(F.col("messages"), "user").alias("only_user"))
 
 
-@query("""WITH n AS (SELECT conv_id, list('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id, md5(array_to_string(t, '')) AS rendered, n AS parsed, true AS same FROM n""")
+@query("""WITH n AS (SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS t, list(trim(text) ORDER BY turn) AS c FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, t, c, list_transform(regexp_extract_all(t, '(?s)<\\|im_start\\|>(?:system|user|assistant)\\s+(.*?)<\\|im_end\\|>', 1), lambda x: trim(x)) AS read FROM n)
+SELECT conv_id, md5(t) AS rendered, CAST(len(read) AS BIGINT) AS parsed, read = c AS same FROM p""")
 def chat_markup_roundtrip(spark, sf_dir):
     rows = _nested(spark, sf_dir).withColumn("text", X.render_chat(F.col("messages")))
     stripped = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), X.strip(m["content"]).alias("content")))
@@ -359,7 +360,7 @@ def jsonl_round_trip(spark, sf_dir):
 
 # --- runs -----------------------------------------------------------------------------------------------------------
 
-@query("""SELECT l.doc_id, false AS mismatch, l.n_chars AS left_output, l.n_chars * 2 AS right_output FROM documents l WHERE doc_id % 2 = 0 AND doc_id % 3 = 0 ORDER BY doc_id LIMIT 100""")
+@query("""SELECT l.doc_id, l.lang IS DISTINCT FROM r.lang AS mismatch, l.n_chars AS left_output, r.n_chars * 2 AS right_output FROM documents l JOIN documents r USING (doc_id) WHERE doc_id % 2 = 0 AND doc_id % 3 = 0 ORDER BY doc_id LIMIT 100""")
 def compare_runs(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     left, right = d.where("doc_id % 2 = 0").select("doc_id", "lang", F.col("n_chars").alias("output")), d.where("doc_id % 3 = 0").select("doc_id", "lang", (F.col("n_chars") * 2).alias("output"))
@@ -495,7 +496,8 @@ def _tagged(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("s"))
 
 
-@query(f"""WITH {_TAGGED} SELECT conv_id, turn, CAST(CASE turn % 4 WHEN 0 THEN 1.5 WHEN 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS reward FROM t""")
+@query(f"""WITH {_TAGGED} SELECT conv_id, turn, CAST(CASE WHEN regexp_matches(s, '(?s)\\A<think>\\n.*?\\n</think>\\n\\n?<answer>\\n.*?\\n</answer>\\n?\\z') THEN 0.5 ELSE 0 END
+ + list_sum(list_transform(['<think>', '</think>', '<answer>', '</answer>'], lambda t: CASE WHEN (length(s) - length(replace(s, t, ''))) / length(t) = 1 THEN 0.25 ELSE 0 END)) AS DOUBLE) AS reward FROM t""")
 def reasoning_format_reward(spark, sf_dir):
     return _tagged(spark, sf_dir).select("conv_id", "turn", rewards.format_reward(F.col("s")).alias("reward"))
 

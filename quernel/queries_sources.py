@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import attributes as A
-from quernel.operators import curate, flows, hooks, metrics, rewards, runs, search
+from quernel.operators import curate, flows, hooks, logs, metrics, rewards, runs, search
 from quernel.plans.storage import new_path
 from quernel.queries import _HASH, _PROMPT_SQL, _parsed, _r, _t, query
-from quernel.sources import formats, jsonl
+from quernel.sources import formats, jsonl, reports
 from quernel.sources.commits import GroupLog
 from quernel.streaming import state
 
@@ -298,3 +298,38 @@ def evaluated_references(spark, sf_dir):
     jsonl.write(_in_order(_conversations(spark, sf_dir), "p_partkey").select("conversations", "metadata"), path)
     samples, _ = flows.evaluate(jsonl.with_attributes(jsonl.scan(spark, path)))
     return samples.select("line_number", F.size("messages").cast("long").alias("n_messages"), "reference", _r("reference_metrics.literal_coverage").alias("coverage"))
+
+
+# --- logs, masks, reports -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id % 16 AS log, count(*) AS n, round(avg(value), 6) AS mean_loss, max(length('step ' || event_id || chr(65533) || ' loss:' || value)) > 0 AS told FROM events GROUP BY 1""")
+def log_with_bad_bytes(spark, sf_dir):
+    """Logs in which every line has a byte that is no UTF-8: it is replaced, and the losses are read."""
+    folder = new_path(spark, "bad-logs")
+    bad = F.unhex(F.lit("FF")).cast("string")
+    e = _t(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("log"), F.concat(F.lit("step "), F.col("event_id").cast("string"), bad, F.lit(" loss:"), F.col("value").cast("string")).alias("value"))
+    e.write.partitionBy("log").text(folder)
+    lines = logs.decoded(spark.read.text(folder)).withColumn("line_number", F.struct("log", F.contains("value", F.lit("�")).alias("told")))
+    found = logs.losses(lines).select("line_number.log", "line_number.told", "loss")
+    return found.groupBy(F.col("log").cast("long").alias("log")).agg(F.count("*").alias("n"), _r(F.avg("loss")).alias("mean_loss"), F.bool_and("told").alias("told"))
+
+
+@query("""WITH i AS (SELECT o_orderkey, list_transform(range(0, 8), lambda j: (o_orderkey * 7 + j * 3) % 11) AS ids FROM orders)
+SELECT o_orderkey, array_to_string(list_transform(range(1, 9), lambda p: CASE WHEN p <= CASE WHEN list_position(ids, 2) > 0 THEN list_position(ids, 2) ELSE 8 END THEN 1 ELSE 0 END), '') AS mask FROM i""")
+def eos_mask(spark, sf_dir):
+    """The places up to and with the first end token."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.col("o_orderkey") * 7 + j * 3) % 11)
+    t = _t(spark, sf_dir, "orders").select("o_orderkey", ids.alias("ids"))
+    return t.select("o_orderkey", F.array_join(F.transform(rewards.upto_eos(F.col("ids"), 2), lambda x: x.cast("string")), "").alias("mask"))
+
+
+@query("""SELECT CASE WHEN grouping(lang) = 1 THEN 'overall' ELSE lang END AS place, count(*) AS samples, round(avg(n_chars), 6) AS mean_chars, count(*) AS counted FROM documents GROUP BY GROUPING SETS ((), (lang))""")
+def report_round_trip(spark, sf_dir):
+    """A roll-up as a nested report that is written as one JSON document, and read again by a run's name."""
+    rows = _t(spark, sf_dir, "documents").select("lang", F.struct("n_chars").alias("metrics"))
+    path = new_path(spark, "report") + f"-{reports.run_name()}.json"
+    reports.write_json(spark, path, {"status": "complete"} | reports.nested(metrics.aggregate(rows, by=["lang"]), "lang"))
+    read = reports.read_json(spark, path)
+    told = {"overall": read["overall"]} | read["by_lang"]
+    return spark.createDataFrame([(k, v["samples"], round(v["n_chars"]["mean"], 6), v["n_chars"]["n"]) for k, v in told.items()], "place string, samples long, mean_chars double, counted long")
