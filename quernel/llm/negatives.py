@@ -328,10 +328,12 @@ def hard_negatives(df: DataFrame, anchors: Column, vector: str = "embedding", la
     own = rows.where("own").groupBy("id").agg(F.min(F.struct("name", "v")).alias("r")).select("id", "r.name", "r.v")
     own = materialize(own, "anchors")
     blocks = max(1, -(-own.count() // together))
+    written = [table, own]
 
     def meet(anchor_rows: DataFrame, most: int | None) -> DataFrame:
         placed = anchor_rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("ab"), "id", "name", "v", "wanted")
         own_blocks = materialize(placed.repartition("ab").sortWithinPartitions("ab").mapInArrow(_anchor_blocks(positives), _ANCHORS), "anchor-blocks")
+        written.append(own_blocks)
         met = table.withColumn("ab", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(broadcast_if_small(own_blocks), ["ab", "dim"])
         return met.mapInArrow(_search(pivots, cell, positives, most, low, high), "anchor long, positive long, positive_score long, id long, score long")
 
@@ -345,6 +347,6 @@ def hard_negatives(df: DataFrame, anchors: Column, vector: str = "embedding", la
     asked = own.join(broadcast_if_small(wanted), "id")
     out = first(meet(asked, negatives), ["anchor", "positive", "positive_score"], negatives)
     out = materialize(out, "negatives")
-    for old in (table, own, found):
+    for old in (*written, found):
         discard(old)
     return out.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -251,16 +251,18 @@ def _windows(window: int):
     return run
 
 
-def hot_spans(strings: DataFrame, window: int, hot_rows: int, hot_bytes: int) -> DataFrame:
+def hot_spans(strings: DataFrame, window: int, hot_rows: int, hot_bytes: int, written: list[DataFrame]) -> DataFrame:
     """The spans of packed strings of hot minimisers.
 
     Equal strings are one, combined before the shuffle. Minimisers that then have few strings are sorted as others are;
     those with many different ones are not: their windows are grouped one by one, combined before the shuffle. Either
-    way a string gets the owners of its windows, and all rows that have it take them from there.
+    way a string gets the owners of its windows, and all rows that have it take them from there. Tables that the result
+    is read from are added to ``written``.
     """
     each = materialize(strings.groupBy("h", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most")), "hot-strings")
     sizes = each.groupBy("h").agg(F.count("*").alias("rows"), F.sum(F.octet_length("words")).alias("bytes"))
-    many = broadcast_if_small(materialize(sizes.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "many"))
+    split_up = materialize(sizes.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "many")
+    many = broadcast_if_small(split_up)
     kind = "h long, words binary, at array<int>, owners array<long>"
     few = each.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_owned(window), kind)
     split = each.join(many, "h", "left_semi").mapInArrow(_windows(window), "h long, words binary, least long, most long, at int, own binary")
@@ -269,8 +271,9 @@ def hot_spans(strings: DataFrame, window: int, hot_rows: int, hot_bytes: int) ->
     owners = materialize(owners, "owners")
     met = split.join(broadcast_if_small(owners), "own").where("most > first").groupBy("h", "words").agg(F.collect_list(F.struct("at", "first")).alias("o"))
     known = materialize(few.unionByName(met.select("h", "words", F.col("o.at").alias("at"), F.col("o.first").alias("owners"))), "owned")
-    discard(each)
-    discard(split)
+    for old in (each, split, split_up, owners):
+        discard(old)
+    written.append(known)
     rows = strings.join(broadcast_if_small(known), ["h", "words"])
     mine = F.filter(F.arrays_zip("at", "owners"), lambda o: o["owners"] < F.col("doc"))
     pairs = F.flatten(F.transform(mine, lambda o: F.array(F.col("first") + o["at"], F.col("first") + o["at"] + window)))
@@ -302,12 +305,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     bloom = bloom_filter(shared.select("h"), FILTER_BYTES)
     strings = docs.select("doc", "x", "text").mapInArrow(_pack(bloom, window, minimiser), "h long, doc long, x long, first int, words binary")
     strings = materialize(strings, "strings")
-    hot = broadcast_if_small(materialize(shared.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "hot"))
+    many = materialize(shared.where((F.col("rows") > hot_rows) | (F.col("bytes") > hot_bytes)).select("h"), "hot")
+    hot, written = broadcast_if_small(many), [strings, shared, many]
     few = strings.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     found = few.mapInArrow(_sort(window), "doc long, x long, spans array<int>")
-    out = materialize(found.unionByName(hot_spans(strings.join(hot, "h", "left_semi"), window, hot_rows, hot_bytes)), "spans")
-    discard(strings)
-    discard(shared)
+    out = materialize(found.unionByName(hot_spans(strings.join(hot, "h", "left_semi"), window, hot_rows, hot_bytes, written)), "spans")
+    for old in written:
+        discard(old)
     return out
 
 
