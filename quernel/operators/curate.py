@@ -183,11 +183,11 @@ def select_prompts(rows: DataFrame, blocked: list[DataFrame], key: str, order: s
         for more in blocked[1:]:
             keys = keys.unionByName(more.select(key))
         pool = exclude(pool, keys, whole, whole)
-    pool = materialize(dedup_first(pool, whole, order).withColumn("_rank", hash_rank(whole, seed)), "pool")
+    pool = materialize(_rows(dedup_first(pool, whole, order), rank=hash_rank(whole, seed), group=F.sha2(whole, 256)), "pool")
     left = pool.count()
     if left < count:
         raise ValueError(f"only {left} keys are left of {count}")
-    return pool.orderBy("_rank").limit(count).withColumn("group_id", F.substring(F.sha2(whole, 256), 1, 16)).drop("_rank")
+    return pool.orderBy("rank").limit(count).select("_row.*", F.substring("group", 1, 16).alias("group_id"))
 
 
 HELD = 1 << 16  # rows that a task holds of all groups before it keeps the first of each
