@@ -322,7 +322,7 @@ def hard_negatives(df: DataFrame, anchors: Column, vector: str = "embedding", la
     some: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE).select("v").collect():
         some.setdefault(len(r["v"]), []).append(r["v"])
-    pivots = {dim: choose_pivots(augment(np.array(some[dim], float).reshape(-1, dim), square[dim]), number) if dim in some else np.zeros((0, dim + 1)) for dim in square}
+    pivots = {dim: choose_pivots(augment(np.array(some[dim], float).reshape(len(some[dim]), dim), square[dim]), number) if dim in some else np.zeros((0, dim + 1)) for dim in square}
     table = rows.select("id", "name", "v").mapInArrow(pivot_table({d: (pivots[d], square[d]) for d in square}, block), _BLOCK)
     table = materialize(table, "pivot-table")
     own = rows.where("own").groupBy("id").agg(F.min(F.struct("name", "v")).alias("r")).select("id", "r.name", "r.v")

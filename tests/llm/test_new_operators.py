@@ -203,7 +203,7 @@ def vectors(seed, n, dim=8):
     centres = rng.standard_normal((4, dim))
     table = [(int(i), [float(x) for x in np.float32(centres[i % 4] + 0.4 * rng.standard_normal(dim))], int(rng.integers(0, 3))) for i in range(n)]
     odd = [(300, None, 1), (None, [1.0] * dim, 1), (500, [1.0] * dim, None), (600, [float("nan")] * dim, 1), (601, [None] + [1.0] * (dim - 1), 1), (602, [float("inf")] * dim, 1)]
-    odd += [(700, [0.0] * dim, 1), (701, [0.5, 0.25], 1), (800, [0.5, 0.5], 1), (801, [0.25, 0.25], 2), (900, [-1.0] * dim, 9), (1000, [1.0] * dim, 0), (1001, [1.0] * dim, 0), (1002, [0.7] * dim, 1), (1003, [0.7] * dim, 2), (1003, [0.7] * dim, 2), (1000, [1.0] * dim, 0)]
+    odd += [(700, [0.0] * dim, 1), (701, [0.5, 0.25], 1), (1300, [], 1), (1301, [], 1), (1302, [], 2), (800, [0.5, 0.5], 1), (801, [0.25, 0.25], 2), (900, [-1.0] * dim, 9), (1000, [1.0] * dim, 0), (1001, [1.0] * dim, 0), (1002, [0.7] * dim, 1), (1003, [0.7] * dim, 2), (1003, [0.7] * dim, 2), (1000, [1.0] * dim, 0)]
     return table + odd + [(1100 + k, [1e4 * x for x in table[k][1]], k % 3) for k in range(20)]
 
 

@@ -50,7 +50,9 @@ TABLE = {"op3_embedding_dedup": "embeddings", "op4_warc": "pages"}
 def test_odd_and_empty_tables(spark, odd_dir, empty_dir, name):
     run = queries.queries()[name]
     got = run(spark, odd_dir)
-    if name != "pipeline":
+    if name in ("op11_hard_negatives", "op12_merkle_manifest", "op13_substring_dedup"):  # row by row
+        same_rows(got, queries.oracle_sql()[name], odd_dir)
+    elif name != "pipeline":
         assert got.count() == spark.read.parquet(f"{odd_dir}/{TABLE.get(name, 'documents')}.parquet").count()
     else:
         assert got.count() > 0
