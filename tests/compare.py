@@ -1,6 +1,7 @@
 """Comparing a query's rows with those of its SQL."""
 
 import math
+import os
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,9 @@ def same_rows(df, sql, sf_dir):
 
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        path = f"{sf_dir}/{t}.parquet"
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     columns = sorted(df.columns)
