@@ -279,12 +279,8 @@ def _values(text: str) -> list[tuple[int, int, int]]:
     return [(a, _ASSIGN.match(text, a).start(2) if kind == "assign" else a, b) for kind, a, b in base_spans(text)]
 
 
-def training_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str], list[int], list[str]]]:
-    """(tokens, tags, features of the file) of lines of ``texts``, as they are, masked and planted, in pieces.
-
-    Of the lines with a base span, with an unusual token (a digit or capital inside 8 letters or more), and of the
-    others about ``lines`` each are taken, by a hash. All choices follow from hashes of the lines.
-    """
+def _kinds(texts: list[str]) -> list[list[tuple[int, str, list, list[str]]]]:
+    """(crc, line, base spans, features of the file) of lines with a base span, with an unusual token, and of the others."""
     kinds: list[list[tuple[int, str, list, list[str]]]] = [[], [], []]
     for text in filter(None, texts):
         found, of_file, at = _values(text), file_features(text), 0
@@ -294,31 +290,49 @@ def training_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str]
             if line.strip():
                 kinds[0 if own else 1 if odd else 2].append((zlib.crc32(line.encode("utf-8", "surrogatepass")), line, own, of_file))
             at += len(line) + 1
-    out = []
+    return kinds
+
 
-    def add(line, secrets, of_file):
+class _Rows(list):
+    """(tokens, tags, features of the file) of lines, in pieces."""
+
+    def add(self, line: str, secrets: list[tuple[int, int]], of_file: list[str]) -> None:
         tokens, tags = tagged_tokens(line, secrets)
         for i in range(0, len(tokens), PIECE):
-            out.append((tokens[i : i + PIECE], tags[i : i + PIECE], of_file))
+            self.append((tokens[i : i + PIECE], tags[i : i + PIECE], of_file))
 
-    def plant(line, of_file, value, before, secret):
+    def plant(self, rng: random.Random, line: str, of_file: list[str], value: str, before: str, secret: bool) -> None:
         at = next((m.start() for m in re.finditer(r"(?<=\s)\S", line) if m.start() >= rng.randint(0, len(line))), 0)
         head = line[:at] + before
         after = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
-        add(f"{head}{value}{after} {line[at:]}", [(len(head), len(head) + len(value))] if secret else [], of_file)
+        self.add(f"{head}{value}{after} {line[at:]}", [(len(head), len(head) + len(value))] if secret else [], of_file)
+
 
-    names = sorted({t for _, line, _, _ in sorted(kinds[2], key=lambda x: x[:2])[:lines] for t in _TOKEN.findall(line) if 2 < len(t) < 12 and t.isalpha() and t.isascii()}) or ["word"]
+def program_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str], list[int], list[str]]]:
+    """(tokens, tags, features of the file) of about ``lines`` invented lines of programs, named after words of ``texts``; some have a secret."""
+    names = sorted({t for _, line, _, _ in sorted(_kinds(texts)[2], key=lambda x: x[:2])[:lines] for t in _TOKEN.findall(line) if 2 < len(t) < 12 and t.isalpha() and t.isascii()}) or ["word"]
+    out = _Rows()
     for text in code_files(names, lines):
         of_file = file_features(text)
         for line in text.split("\n"):
             rng = random.Random(zlib.crc32(line.encode("utf-8")))
-            add(line, [], of_file)
-            if rng.random() < 0.15:  # some do have one
-                plant(line, of_file, invent(rng), rng.choice(ALIASES + ["password", "token"]) + rng.choice(JOINS[:4] + JOINS[7:10]), True)
-    for k, group in enumerate(kinds):
+            out.add(line, [], of_file)
+            if rng.random() < 0.15:
+                out.plant(rng, line, of_file, invent(rng), rng.choice(ALIASES + ["password", "token"]) + rng.choice(JOINS[:4] + JOINS[7:10]), True)
+    return list(out)
+
+
+def training_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str], list[int], list[str]]]:
+    """(tokens, tags, features of the file) of lines of ``texts``, as they are, masked and planted, in pieces.
+
+    Of the lines with a base span, with an unusual token (a digit or capital inside 8 letters or more), and of the
+    others about ``lines`` each are taken, by a hash. All choices follow from hashes of the lines.
+    """
+    out = _Rows()
+    for k, group in enumerate(_kinds(texts)):
         for crc, line, own, of_file in sorted(group, key=lambda x: x[:2])[:lines]:
             rng = random.Random(crc)
-            add(line, [(v, e) for _, v, e in own], of_file)
+            out.add(line, [(v, e) for _, v, e in own], of_file)
             if k == 0:
                 for _ in range(2):  # masked: another word in front, another value
                     text, at, places = "", 0, []
@@ -330,21 +344,21 @@ def training_lines(texts: list[str], lines: int = LINES) -> list[tuple[list[str]
                         text += line[at:s] + front
                         places.append((len(text), len(text) + len(value)))
                         text, at = text + value, e
-                    add(text + line[at:], places, of_file)
+                    out.add(text + line[at:], places, of_file)
             elif k == 2:
                 words = [w for w in _TOKEN.findall(line) if len(w) > 1 and w.isalpha()] or ["word"]
                 before = rng.choice(ALIASES + ["password", "token", "secret", "api_key"]) + rng.choice(JOINS)
                 for kind, share in enumerate((0.35, 0.35, 0.7, 0.35)):
                     if rng.random() < share:
                         if kind == 0:
-                            plant(line, of_file, invent(rng), before, True)
+                            out.plant(rng, line, of_file, invent(rng), before, True)
                         elif kind == 1:
-                            plant(line, of_file, invent(rng), "", True)
+                            out.plant(rng, line, of_file, invent(rng), "", True)
                         elif kind == 2 and before.strip()[-1] in "=:>\"'":
-                            plant(line, of_file, phrase(rng), before, True)
+                            out.plant(rng, line, of_file, phrase(rng), before, True)
                         else:
-                            plant(line, of_file, harmless(rng, words), "", False)
-    return out
+                            out.plant(rng, line, of_file, harmless(rng, words), "", False)
+    return list(out)
 
 
 # --- fitting --------------------------------------------------------------------------------------------------------
@@ -449,7 +463,7 @@ def fit_lines(rows: list[tuple[list[str], list[int], list[str]]], epochs: int =
 
 
 def fit(texts: list[str], lines: int = LINES) -> Model:
-    return fit_lines(training_lines(texts, lines))
+    return fit_lines(training_lines(texts, lines) + program_lines(texts, lines))
 
 
 # --- decoding -------------------------------------------------------------------------------------------------------
