@@ -138,9 +138,9 @@ def candidate_rollup(spark, sf_dir):
 
 @query("""SELECT 'lang-' || lang AS file, doc_id, substr(md5(text), 1, 8) AS made FROM documents""")
 def append_groups(spark, sf_dir):
-    """Documents by group of a thousand ids, appended by a run that stops half-way and by another that goes on: each once."""
+    """Documents by group of fifty ids, appended by a run that stops half-way and by another that goes on: each once."""
     log = GroupLog(spark, new_path(spark, "appended"), "grp")
-    source = _t(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 1000)).cast("string").alias("grp"), "doc_id", "lang", "text")
+    source = _t(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 50)).cast("string").alias("grp"), "doc_id", "lang", "text")
     make = lambda rows: rows.select("grp", F.concat_ws("-", F.lit("lang"), "lang").alias("file"), "doc_id", F.substring(F.md5("text"), 1, 8).alias("made"))
     log.append(make(source.where(F.pmod(F.xxhash64("grp"), F.lit(2)) == 0)))  # as far as the first run got
     log.run(source, make, 3)

@@ -9,7 +9,8 @@ from quernel.functions.attributes import parse
 from quernel.operators.curate import reject_reason
 from quernel.sources import formats
 
-METADATA = "struct<source:string,source_index:bigint,input_style:string>"
+MESSAGE = "struct<role:string,content:string>"
+ROW = f"conversations array<{MESSAGE}>, metadata struct<source:string,source_index:bigint,input_style:string>"
 
 
 def _text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -48,16 +49,12 @@ def scan(spark: SparkSession, path: str, strict: bool = True, skip_blank: bool =
     lines = first_lines(spark, path, limit) if limit else _text_lines(spark, path)
     if skip_blank:
         lines = lines.withColumn("value", F.regexp_replace("value", r"\A\x{feff}", "")).where(F.trim("value") != "")
-    # a line is parsed once, into a VARIANT, from which roles, contents and metadata are taken
-    read = lines.select("line_number", F.try_parse_json("value").alias("v"))
-    get = lambda v, path, kind: F.call_function("try_variant_get", v, F.lit(path), F.lit(kind))
-    content = get(F.col("v"), "$.conversations", "array<variant>")
-    messages = F.transform(content, lambda m: F.struct(get(m, "$.role", "string").alias("role"), get(m, "$.content", "string").alias("content"), F.call_function("schema_of_variant", get(m, "$.content", "variant")).alias("kind")))
-    rows = read.select("line_number", F.col("v").isNull().alias("broken"), messages.alias("m"), get(F.col("v"), "$.metadata", METADATA).alias("metadata"))
-    rows = rows.withColumn("conversations", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
-    other = F.exists("m", lambda m: m["kind"] != "STRING")
-    reason = F.when(F.col("broken"), "malformed json").when(F.coalesce(other, F.lit(False)), "content is no text").otherwise(reject_reason(F.col("conversations"), F.col("metadata")))
-    out = rows.select("line_number", "conversations", "metadata", reason.alias("reject_reason"))
+    # a line is parsed by its schema, and once more into a VARIANT, which tells whether it is JSON and its contents are texts
+    read = lines.select("line_number", F.try_parse_json("value").alias("v"), F.from_json("value", ROW, {"mode": "PERMISSIVE"}).alias("r"))
+    kinds = F.transform(F.expr("try_variant_get(v, '$.conversations', 'array<variant>')"), lambda m: F.call_function("schema_of_variant", F.call_function("try_variant_get", m, F.lit("$.content"), F.lit("variant"))))
+    rows = read.select("line_number", "r", F.col("v").isNull().alias("broken"), F.exists(kinds, lambda k: k != "STRING").alias("other"))
+    reason = F.when(F.col("broken"), "malformed json").when(F.coalesce("other", F.lit(False)), "content is no text").otherwise(reject_reason(F.col("r.conversations"), F.col("r.metadata")))
+    out = rows.select("line_number", "r.conversations", "r.metadata", reason.alias("reject_reason"))
     if not strict:
         return out
     failed = F.raise_error(F.concat(F.lit(f"{path}:"), F.col("line_number").cast("string"), F.lit(": "), F.col("reject_reason")))
