@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.text import WS, char_repetition, has_loop, repetition, strip
+from quernel.functions.text import WS, char_repetition, has_loop, let, repetition, trimmed
 
 # Attribute names that count as key attributes.
 KEY_ATTRIBUTES = ("类型", "颜色", "材质", "面料", "版型", "长度", "衣长", "裙长", "裤长", "袖长")
@@ -15,33 +15,59 @@ NATURAL_LEAD = "请根据以下商品信息生成一段中文电商广告文案"
 #: Coverage fields, the ones that rescoring derives anew.
 COVERAGE = ("attribute_hits", "attribute_count", "key_attribute_hits", "key_attribute_count", "literal_coverage", "key_literal_coverage", "all_attributes_covered", "missing_attributes")
 
+PAIRS = "array<struct<key:string,value:string>>"
 _CLAUSE = rf"(?d)\A{WS}*([^为:：]+?){WS}*(?:为|:|：){WS}*(.+?){WS}*\z"
 
 
+def _judged(pairs: Column) -> Column:
+    """The result for pairs that are in form: an error where a name or a value is empty."""
+    empty = F.exists(pairs, lambda a: (a["key"] == "") | (a["value"] == ""))
+    return _result(F.when(~empty, F.array_distinct(pairs)), F.when(empty, "empty attributes"))
+
+
+def _result(attributes: Column, error: Column) -> Column:
+    return F.struct(attributes.cast(PAIRS).alias("attributes"), error.cast("string").alias("error"))
+
+
+def _pair(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
+
+
+def _structured(text: Column) -> Column:
+    body = F.regexp_replace(text, rf"\A{STRUCTURED_LABEL}{WS}*[:：]{WS}*", "")
+    parts = F.transform(F.split(body, r"\*", -1), lambda p: F.split(p, "#", -1))
+    pairs = lambda own: F.transform(own, lambda p: _pair(trimmed(F.get(p, F.lit(0))), trimmed(F.get(p, F.lit(1)))))
+    wrong = _result(F.lit(None), F.lit("invalid structured attribute"))
+    return let(parts, lambda own: F.when(F.exists(own, lambda p: F.size(p) != 2), wrong).otherwise(let(pairs(own), _judged)))
+
+
+def _natural(text: Column) -> Column:
+    body = F.regexp_replace(F.regexp_replace(text, rf"\A{NATURAL_LEAD}{WS}*[:：]{WS}*", ""), r"[。.!！]+\z", "")
+    # (name, values) of every clause; a name has a character at least, so that an empty one tells a clause out of form
+    clauses = F.transform(F.split(body, "[，,；;]", -1), lambda c: _pair(F.regexp_extract(c, _CLAUSE, 1), F.regexp_extract(c, _CLAUSE, 2)))
+    pairs = lambda own: F.flatten(F.transform(own, lambda c: F.transform(F.split(c["value"], "、", -1), lambda v: _pair(c["key"], trimmed(v)))))
+    wrong = _result(F.lit(None), F.lit("unsupported natural attribute"))
+    return let(clauses, lambda own: F.when(F.exists(own, lambda c: c["key"] == ""), wrong).otherwise(let(pairs(own), _judged)))
+
+
 def parse(prompt: Column) -> Column:
     """struct(attributes array<struct<key,value>>, error string): ordered, pairs distinct, names may repeat.
 
     A prompt with ``#`` is a list of key#value joined by ``*``; another one is a list of clauses, values split at ``、``.
-    Any part out of form makes the whole prompt an error with null attributes; a null prompt is an error too.
+    Any part out of form makes the whole prompt an error with null attributes; a null prompt is an error too. Each step
+    is computed once a row; ``with_parsed`` sees to it that the whole is, however often its fields are used.
     """
-    text = strip(prompt)
-    parts = F.split(F.regexp_replace(text, rf"\A{STRUCTURED_LABEL}{WS}*[:：]{WS}*", ""), r"\*", -1)
-    one_mark = F.forall(parts, lambda p: F.size(F.split(p, "#", -1)) == 2)
-    structured = F.transform(parts, lambda p: F.struct(strip(F.get(F.split(p, "#", -1), F.lit(0))).alias("key"), strip(F.get(F.split(p, "#", -1), F.lit(1))).alias("value")))
-    body = F.regexp_replace(F.regexp_replace(text, rf"\A{NATURAL_LEAD}{WS}*[:：]{WS}*", ""), r"[。.!！]+\z", "")
-    clauses = F.split(body, "[，,；;]", -1)
-    well_formed = F.forall(clauses, lambda c: c.rlike(_CLAUSE))
-    values = lambda c: F.split(F.regexp_extract(c, _CLAUSE, 2), "、", -1)
-    natural = F.flatten(F.transform(clauses, lambda c: F.transform(values(c), lambda v: F.struct(F.regexp_extract(c, _CLAUSE, 1).alias("key"), strip(v).alias("value")))))
-    marked = text.contains("#")
-    pairs = F.when(marked & one_mark, structured).when(~marked & well_formed, natural)
-    error = (
-        F.when(prompt.isNull(), "no prompt")
-        .when(marked & ~one_mark, "invalid structured attribute")
-        .when(~marked & ~well_formed, "unsupported natural attribute")
-        .when(F.exists(pairs, lambda a: (a["key"] == "") | (a["value"] == "")), "empty attributes")
-    )
-    return F.struct(F.when(error.isNull(), F.array_distinct(pairs)).alias("attributes"), error.alias("error"))
+    either = let(trimmed(prompt), lambda t: F.when(t.contains("#"), _structured(t)).otherwise(_natural(t)))
+    return F.when(prompt.isNull(), _result(F.lit(None), F.lit("no prompt"))).otherwise(either)
+
+
+def with_parsed(df: DataFrame, prompt: Column, name: str = "parsed") -> DataFrame:
+    """``df`` with the column ``name``: ``parse`` of the prompt, once a row.
+
+    As an array of one that is exploded: a plain column would be computed anew in every filter and for every field
+    that the optimiser moves below it.
+    """
+    return df.select("*", F.explode(F.array(parse(prompt))).alias(name))
 
 
 def hits(attributes: Column, text: Column) -> Column:

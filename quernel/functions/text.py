@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Code points that count as white space; one spelling that Java and RE2 both read.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same code points one by one.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LOOP_SHORTEST, LOOP_LONGEST = 2, 32
 # The texts that the chat markup puts around messages.
 DEFAULT_SYSTEM = "You are a helpful assistant"
@@ -21,6 +23,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
 
+def trimmed(c: Column) -> Column:
+    """``strip`` without a regular expression that looks at every place, for what is done many times a row; bytes that are no UTF-8 stay."""
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
 def squeeze(c: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(c, WS, "")
@@ -48,8 +55,9 @@ def repetition(items: Column, n: int = 4) -> Column:
 
 
 def char_repetition(c: Column, n: int = 4) -> Column:
-    """``repetition`` of the code points besides white space; windows are compared as strings."""
-    return let(chars(squeeze(c)), lambda x: _repeated(x, n, lambda y, i: F.array_join(F.slice(y, i, F.lit(n)), "")))
+    """``repetition`` of the code points besides white space; windows are the strings that stand ahead of every place."""
+    grams = F.regexp_extract_all(squeeze(c), F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return let(grams, lambda g: F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.size(g)).when(g.isNotNull(), F.lit(0.0)))
 
 
 def has_loop(c: Column) -> Column:

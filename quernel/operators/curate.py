@@ -98,6 +98,14 @@ def small(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to three tasks a core.
+
+    For narrow tables whose rows cost far more to work on than to read: a file of a few MB is one task else.
+    """
+    return df.repartition(max(12, 3 * df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def _unit(rank: Column) -> Column:
     """The first 48 bits of a hash in hex digits as a number from 0 to 1."""
     return F.conv(F.substring(rank, 1, 12), 16, 10).cast("double") / float(1 << 48)

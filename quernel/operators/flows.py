@@ -64,7 +64,7 @@ def prepare(train: DataFrame, val: DataFrame, test: DataFrame, smoke: int = 5000
 def analyse(rows: DataFrame) -> DataFrame:
     """Rows with attributes, parse error, coverage, key coverage (true without key attributes), phrase count, repetition, loop, structure and template."""
     user, answer = curate.only_text(F.col("conversations"), "user"), curate.only_text(F.col("conversations"), "assistant")
-    out = rows.withColumn("_p", A.parse(user)).withColumn("answer", answer).select("*", "_p.attributes", "_p.error").drop("_p")
+    out = A.with_parsed(rows, user, "_p").withColumn("answer", answer).select("*", "_p.attributes", "_p.error").drop("_p")
     own = A.coverage(F.col("attributes"), F.col("answer"), ("类型", "颜色"))
     error = F.coalesce(F.col("error"), F.when(F.col("answer").isNull(), "not one answer"))
     return out.withColumns({
@@ -150,7 +150,7 @@ def rescored(samples: DataFrame) -> DataFrame:
     state = runs.integrity(samples, "line_number", "output").first() if "output" in samples.columns else None
     if state and not (state["unique"] and state["complete"]):
         raise ValueError("lines repeat, or only some rows have an output")
-    out = samples.withColumn("attributes", A.parse(F.element_at("messages", 2)["content"])["attributes"])
+    out = A.with_parsed(samples, F.element_at("messages", 2)["content"], "_p").withColumn("attributes", F.col("_p.attributes")).drop("_p")
     out = out.withColumn("reference_metrics", A.rescore(F.col("reference_metrics"), F.col("reference"), F.col("attributes")))
     return out.withColumn("output_metrics", A.rescore(F.col("output_metrics"), F.col("output"), F.col("attributes"))) if state else out
 

@@ -72,7 +72,7 @@ def repetition_loop_by_role(spark, sf_dir):
 
 def _prompts(spark, sf_dir, style: str) -> DataFrame:
     """part as attribute prompts and an answer that names the type and sometimes the colour."""
-    p = _t(spark, sf_dir, "part").withColumn("b", F.replace("p_brand", F.lit("#"), F.lit("-")))
+    p = curate.spread(_t(spark, sf_dir, "part"), "p_partkey").withColumn("b", F.replace("p_brand", F.lit("#"), F.lit("-")))
     structured = F.concat(F.lit("商品属性：类型#"), "p_type", F.lit(" *颜色# "), "p_name", F.lit("*品牌#"), "b", F.lit("*类型#"), "p_type", F.lit("*风格#"), F.split("p_name", " ")[0])
     natural = F.concat(F.lit("请根据以下商品信息生成一段中文电商广告文案：类型为"), "p_type", F.lit("，颜色为"), "p_name", F.lit("，品牌:"), "b", F.lit("；风格为"), F.split("p_name", " ")[0], F.lit("。"))
     answer = F.concat(F.lit("这款"), "p_type", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("是"), "p_name")).otherwise(F.lit("")), F.lit(" 好看好看好看 "), F.col("p_size").cast("string"), F.lit(".5 码"), F.col("b"))
@@ -88,7 +88,7 @@ a AS (SELECT p_partkey, p_size, p_type, p_name, b,
 
 
 def _parsed(spark, sf_dir, style="structured") -> DataFrame:
-    return _prompts(spark, sf_dir, style).withColumn("parsed", A.parse(F.col("prompt"))).select("*", "parsed.attributes", "parsed.error")
+    return A.with_parsed(_prompts(spark, sf_dir, style), F.col("prompt")).select("*", "parsed.attributes", "parsed.error")
 
 
 @query(f"""WITH {_PROMPT_SQL}, u AS (SELECT p_partkey, attrs, unnest(range(1, 5)) AS i FROM a)

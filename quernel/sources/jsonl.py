@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernel.functions.attributes import parse
+from quernel.functions.attributes import with_parsed
 from quernel.operators.curate import reject_reason
 from quernel.sources import formats
 
@@ -65,7 +65,7 @@ def with_attributes(rows: DataFrame, limit: int = 0) -> DataFrame:
     """Rows with the parsed attributes of the user message (and their sorted key), the first ``limit`` lines if any."""
     if limit < 0:
         raise ValueError("limit must not be negative")
-    out = rows.withColumn("_p", parse(F.get("conversations", F.lit(1))["content"])).select("*", "_p.*").drop("_p")
+    out = with_parsed(rows, F.get("conversations", F.lit(1))["content"], "_p").select("*", "_p.*").drop("_p")
     out = out.withColumn("attribute_key", F.array_sort("attributes"))
     return out.orderBy("line_number").limit(limit) if limit else out
 
