@@ -27,7 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
 
 PIECE = 1 << 20  # bytes of a file that are held at once
-SPLIT = 32 << 20  # bytes of lines that one task reads
+SPLIT = 32 << 20  # bytes of lines, or of small files, that one task reads
+OPENING = 1 << 20  # bytes that a task could read while it opens a file
 BLOCK = 4 << 20  # bytes of lines that are parsed at once
 MESSAGES = "array<struct<role:string,content:string>>"
 ATTRIBUTES = "array<struct<key:string,value:string>>"
@@ -73,8 +74,28 @@ class Part(InputPartition):
     stop: int
 
 
+@dataclass
+class Files(InputPartition):
+    """Some files, (path, bytes) each."""
+
+    files: list[tuple[str, int]]
+
+
+def packed(found: list[tuple[str, int]], most: int = SPLIT) -> list[Files]:
+    """Files in their order, together as long as they have ``most`` bytes, OPENING for each besides its own; larger ones alone."""
+    out, filled = [], most
+    for path, size in found:
+        cost = size + OPENING
+        if filled + cost > most:
+            out.append(Files([]))
+            filled = 0
+        out[-1].files.append((path, size))
+        filled += cost
+    return out
+
+
 class DigestSource(DataSource):
-    """(path, bytes, sha256) of a file, or of every file under a folder; a partition reads one file."""
+    """(path, bytes, sha256) of a file, or of every file under a folder; a partition reads a large file, or small ones one after the other."""
 
     @classmethod
     def name(cls) -> str:
@@ -91,12 +112,15 @@ class DigestReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def partitions(self) -> list[Part]:
-        return [Part(p, 0, size) for p, size in files(self.path)]
+    def partitions(self) -> list[Files]:
+        return packed(files(self.path))
 
-    def read(self, part: Part) -> Iterator[tuple]:
-        if part is not None and part.path:
-            yield part.path, part.stop, digest(opened(self.path)[0], part.path)
+    def read(self, part: Files) -> Iterator[tuple]:
+        if part is None:
+            return
+        system = opened(self.path)[0]
+        for path, size in part.files:
+            yield path, size, digest(system, path)
 
 
 class LeadingSource(DataSource):

@@ -112,7 +112,7 @@ def from_source(rows: DataFrame, source: str = "train.json") -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of every file under ``path``, computed where the files are read: no byte of one reaches the driver.
 
-    Files are read in pieces, a task a file, whatever their size. Where only Spark's readers open the path, files are
+    Files are read in pieces, whatever their size; a task has one large file, or many small ones. Where only Spark's readers open the path, files are
     held whole by the task that reads them, which bounds them to 2 GB.
     """
     try:

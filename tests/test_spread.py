@@ -29,3 +29,17 @@ def test_parts_are_worked_on_in_many_tasks(spark, sf_dir):
 @pytest.mark.parametrize("text", ["", " \u3000\n", "a", "\x1fa b\x85", "\u2028é😀\u200a", "\u200b a"])
 def test_trimmed_is_strip(spark, text):
     assert len(set(spark.range(1).select(F.lit(text).alias("t")).select(X.trimmed(F.col("t")), X.strip(F.col("t"))).first())) == 1
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    import hashlib
+
+    from quernel.sources import formats, jsonl
+
+    for i in range(100):
+        (tmp_path / f"f{i:03d}").write_bytes(b"x" * i)
+    df = jsonl.file_digests(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() <= 8
+    assert sorted((r["bytes"], r["sha256"]) for r in df.collect()) == [(i, hashlib.sha256(b"x" * i).hexdigest()) for i in range(100)]
+    parts = formats.packed([("a", 1), ("b", formats.SPLIT), ("c", 5), ("d", 2)])
+    assert [[f[0] for f in p.files] for p in parts] == [["a"], ["b"], ["c", "d"]] and formats.packed([]) == []
