@@ -43,3 +43,37 @@ def test_small_files_share_a_task(spark, tmp_path):
     assert sorted((r["bytes"], r["sha256"]) for r in df.collect()) == [(i, hashlib.sha256(b"x" * i).hexdigest()) for i in range(100)]
     parts = formats.packed([("a", 1), ("b", formats.SPLIT), ("c", 5), ("d", 2)])
     assert [[f[0] for f in p.files] for p in parts] == [["a"], ["b"], ["c", "d"]] and formats.packed([]) == []
+
+
+def test_anchors_of_texts_are_filtered_where_they_are_computed():
+    import random
+
+    import numpy as np
+
+    from quernel.operators import search
+
+    rng = random.Random(4)
+    text = bytes(rng.choice(b"abcde ") for _ in range(5000)) + b"a" * 100
+    classes = list(range(search.CLASSES))
+    whole, wanted = search.anchors(text, classes), search.anchors(text[1000:1040], classes)
+    for k in classes:
+        assert set(wanted[k]) <= set(whole[k])
+    got = search.anchors(text, classes, {k: search.Filter.of(wanted[k].view(np.int64)) for k in classes})
+    for k in classes:
+        assert set(wanted[k]) <= set(got[k]) <= set(whole[k])
+    assert len(got[4]) < len(whole[4]) / 4
+    assert all(len(v) == 0 for v in search.anchors(b"", classes, {k: search.Filter.of(wanted[k]) for k in classes}).values())
+
+
+def test_anchors_of_many_texts_travel_together():
+    import pyarrow as pa
+
+    from quernel.operators import search
+
+    texts = ["", "a", "ab" * 40] + [f"text number {i} of a batch" for i in range(2000)] + ["".join(chr(97 + i * i % 23) + str(i) for i in range(60_000))]
+    ids = list(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([-i for i in ids]), pa.array(texts)], names=["one", "two", "text"])
+    got = list(search._anchor_rows(False, [1, 4])(iter([batch])))
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    want = [(i, -i, k, h) for i, t in enumerate(texts) for k, v in search.anchors(t.encode(), [1, 4]).items() for h in v.view("int64").tolist()]
+    assert rows == want and len(got) <= 2 + len(rows) // search.HELD * 2
