@@ -77,3 +77,8 @@ def test_anchors_of_many_texts_travel_together():
     rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
     want = [(i, -i, k, h) for i, t in enumerate(texts) for k, v in search.anchors(t.encode(), [1, 4]).items() for h in v.view("int64").tolist()]
     assert rows == want and len(got) <= 2 + len(rows) // search.HELD * 2
+
+
+def test_enhancement_filter_parses_once_in_many_tasks(spark, sf_dir):
+    df = queries.queries()["enhancement_filter"](spark, sf_dir)
+    assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
