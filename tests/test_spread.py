@@ -82,3 +82,8 @@ def test_anchors_of_many_texts_travel_together():
 def test_enhancement_filter_parses_once_in_many_tasks(spark, sf_dir):
     df = queries.queries()["enhancement_filter"](spark, sf_dir)
     assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
+
+
+def test_metrics_rollup_parses_once_in_many_tasks(spark, sf_dir):
+    df = queries.queries()["metrics_rollup"](spark, sf_dir)
+    assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
