@@ -87,3 +87,9 @@ def test_enhancement_filter_parses_once_in_many_tasks(spark, sf_dir):
 def test_metrics_rollup_parses_once_in_many_tasks(spark, sf_dir):
     df = queries.queries()["metrics_rollup"](spark, sf_dir)
     assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
+
+
+def test_candidate_files_are_written_and_read_in_many_tasks(spark, sf_dir):
+    from quernel import queries_sources
+
+    assert queries_sources._candidate_file(spark, sf_dir).rdd.getNumPartitions() >= 12
