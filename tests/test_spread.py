@@ -93,3 +93,10 @@ def test_candidate_files_are_written_and_read_in_many_tasks(spark, sf_dir):
     from quernel import queries_sources
 
     assert queries_sources._candidate_file(spark, sf_dir).rdd.getNumPartitions() >= 12
+
+
+def test_rows_of_a_run_are_parsed_once_in_many_tasks(spark, sf_dir):
+    from quernel import queries_sources
+
+    rows = queries_sources._conversations(spark, sf_dir)
+    assert plan(rows.where("attributes is not null")).count(A.NATURAL_LEAD) == 1 and rows.rdd.getNumPartitions() >= 12
