@@ -100,3 +100,8 @@ def test_rows_of_a_run_are_parsed_once_in_many_tasks(spark, sf_dir):
 
     rows = queries_sources._conversations(spark, sf_dir)
     assert plan(rows.where("attributes is not null")).count(A.NATURAL_LEAD) == 1 and rows.rdd.getNumPartitions() >= 12
+
+
+def test_punctuation_in_values_parses_once_in_many_tasks(spark, sf_dir):
+    df = queries.queries()["punctuation_in_values"](spark, sf_dir)
+    assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
