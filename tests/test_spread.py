@@ -105,3 +105,8 @@ def test_rows_of_a_run_are_parsed_once_in_many_tasks(spark, sf_dir):
 def test_punctuation_in_values_parses_once_in_many_tasks(spark, sf_dir):
     df = queries.queries()["punctuation_in_values"](spark, sf_dir)
     assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
+
+
+def test_marks_in_values_parses_once_in_many_tasks(spark, sf_dir):
+    df = queries.queries()["marks_in_values"](spark, sf_dir)
+    assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
