@@ -110,3 +110,8 @@ def test_punctuation_in_values_parses_once_in_many_tasks(spark, sf_dir):
 def test_marks_in_values_parses_once_in_many_tasks(spark, sf_dir):
     df = queries.queries()["marks_in_values"](spark, sf_dir)
     assert plan(df).count(A.NATURAL_LEAD) == 1 and "RepartitionByExpression" in plan(df)
+
+
+def test_enhancement_filter_leaves_no_work_to_the_tasks_that_read(spark, sf_dir):
+    below = plan(queries.queries()["enhancement_filter"](spark, sf_dir)).split("RepartitionByExpression")[1]
+    assert "好看" not in below and "Filter" not in below
