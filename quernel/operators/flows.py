@@ -169,10 +169,10 @@ def compare(left: DataFrame, right: DataFrame, limit: int = 200) -> tuple[DataFr
     return paired, {"compared_samples": paired.count(), "left_only": only[0], "right_only": only[1]} | sides
 
 
-def evaluate_candidates(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def evaluate_candidates(groups: DataFrame, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics by candidate, roll-up overall and by group) of groups (group_id, attributes, candidates array<struct<candidate_id, text, content_token_ids, eos_normal>>).
 
-    Groups of fewer than two candidates, or with repeated candidate ids, fail.
+    Groups of fewer than two candidates, or with repeated candidate ids, fail. ``only`` names the metrics of the roll-up, all by default.
     """
     ids = F.transform("candidates", lambda c: c["candidate_id"])
     problem = F.when(F.size("candidates") < 2, "fewer than two candidates").when(F.size(ids) != F.size(F.array_distinct(ids)), "candidate ids repeat")
@@ -180,4 +180,4 @@ def evaluate_candidates(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = groups.select("group_id", "attributes", F.explode(checked).alias("c"))
     scored = rows.select("group_id", F.col("c.candidate_id").alias("candidate_id"), A.score(F.col("c.text"), F.col("attributes"), F.col("c.content_token_ids"), F.col("c.eos_normal")).alias("metrics"))
     scored = materialize(scored, "candidates")
-    return scored, metrics.aggregate(scored, by=["group_id"])
+    return scored, metrics.aggregate(scored, by=["group_id"], only=only)

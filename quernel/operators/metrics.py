@@ -17,21 +17,24 @@ def _number(c: Column, kind: T.DataType) -> Column:
     return c.cast("int").cast("double") if isinstance(kind, T.BooleanType) else c.cast("double")
 
 
-def aggregate(df: DataFrame, metrics: str = "metrics", by: list[str] | None = None, overall: bool = True) -> DataFrame:
+def aggregate(df: DataFrame, metrics: str = "metrics", by: list[str] | None = None, overall: bool = True, only: list[str] | None = None) -> DataFrame:
     """Long form: group columns, level ('overall' or 'group'), metric, mean, n.
 
     Means skip null (not applicable) values and n counts the others; booleans count as 0 and 1. ``*_micro`` metrics are
     sums of hits over sums of counts, null without counts; ``samples`` has the number of rows as n. One aggregation
-    over grouping sets; a null group is told from the overall level by the grouping id.
+    over grouping sets; a null group is told from the overall level by the grouping id. ``only`` names the metrics that
+    are wanted: no other is computed, nor becomes a row of each group to be dropped again.
     """
     by = by or []
-    fields = [f for f in df.schema[metrics].dataType.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    numeric = [f for f in df.schema[metrics].dataType.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    wanted = lambda name: only is None or name in only
+    fields = [f for f in numeric if wanted(f.name)]
     aggs = [F.count(F.lit(1)).alias("samples")]
     for f in fields:
         value = _number(F.col(metrics)[f.name], f.dataType)
         aggs += [F.avg(value).alias(f"mean_{f.name}"), F.count(value).alias(f"n_{f.name}")]
-    names = {f.name for f in fields}
-    micro = [p for p in ("", "key_") if f"{p}attribute_count" in names]
+    names = {f.name for f in numeric}
+    micro = [p for p in ("", "key_") if f"{p}attribute_count" in names and wanted(f"{p}literal_coverage_micro")]
     for p in micro:
         total = F.sum(F.col(metrics)[f"{p}attribute_count"])
         aggs.append(F.when(total > 0, F.sum(F.col(metrics)[f"{p}attribute_hits"]) / total).alias(f"micro_{p}"))
@@ -40,7 +43,7 @@ def aggregate(df: DataFrame, metrics: str = "metrics", by: list[str] | None = No
         wide = df.groupingSets(sets, *by).agg(F.grouping_id(*by).alias("gid"), *aggs)
     else:
         wide = df.agg(F.lit(1).alias("gid"), *aggs)
-    rows = [F.struct(F.lit("samples").alias("metric"), F.lit(None).cast("double").alias("mean"), F.col("samples").alias("n"))]
+    rows = [F.struct(F.lit("samples").alias("metric"), F.lit(None).cast("double").alias("mean"), F.col("samples").alias("n"))] if wanted("samples") else []
     rows += [F.struct(F.lit(f.name).alias("metric"), F.col(f"mean_{f.name}").alias("mean"), F.col(f"n_{f.name}").alias("n")) for f in fields]
     rows += [F.struct(F.lit(f"{p}literal_coverage_micro").alias("metric"), F.col(f"micro_{p}").alias("mean"), F.col("samples").alias("n")) for p in micro]
     level = F.when(F.col("gid") == 0, "group").otherwise("overall")

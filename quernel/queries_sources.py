@@ -132,8 +132,8 @@ def candidate_file(spark, sf_dir):
 @query(f"""WITH {_CANDIDATE_SQL} SELECT CASE WHEN grouping(group_id) = 1 THEN 'overall' ELSE 'group' END AS level, group_id, round(avg(coverage), 6) AS coverage, count(*) AS n FROM c GROUP BY GROUPING SETS ((), (group_id))""")
 def candidate_rollup(spark, sf_dir):
     """Overall and by group, from one aggregation."""
-    _, rollup = flows.evaluate_candidates(_candidate_file(spark, sf_dir))
-    return rollup.where("metric = 'literal_coverage'").select("level", "group_id", _r("mean").alias("coverage"), "n")
+    _, rollup = flows.evaluate_candidates(_candidate_file(spark, sf_dir), only=["literal_coverage"])
+    return rollup.select("level", "group_id", _r("mean").alias("coverage"), "n")
 
 
 @query("""SELECT 'lang-' || lang AS file, doc_id, substr(md5(text), 1, 8) AS made FROM documents""")

@@ -115,3 +115,20 @@ def test_marks_in_values_parses_once_in_many_tasks(spark, sf_dir):
 def test_enhancement_filter_leaves_no_work_to_the_tasks_that_read(spark, sf_dir):
     below = plan(queries.queries()["enhancement_filter"](spark, sf_dir)).split("RepartitionByExpression")[1]
     assert "好看" not in below and "Filter" not in below
+
+
+def test_rollup_computes_the_metrics_that_are_wanted(spark):
+    from quernel.operators import metrics
+
+    record = F.when(F.col("id") % 5 > 0, F.struct((F.col("id") % 3).alias("attribute_hits"), F.lit(3).alias("attribute_count"), (F.col("id") % 3 / 3).alias("literal_coverage"), (F.col("id") % 2 == 0).alias("loop")))
+    df = spark.range(40).select((F.col("id") % 4).alias("g"), record.alias("metrics"))
+    whole = [tuple(r) for r in metrics.aggregate(df, by=["g"]).collect()]
+    for only in (["literal_coverage"], ["samples", "loop"], ["literal_coverage_micro", "attribute_hits"]):
+        part = metrics.aggregate(df, by=["g"], only=only)
+        assert sorted(map(tuple, part.collect()), key=str) == sorted((r for r in whole if r[2] in only), key=str)
+    assert "loop" not in plan(metrics.aggregate(df, by=["g"], only=["literal_coverage"])).split("Aggregate")[0]
+
+
+def test_candidate_rollup_has_one_row_a_group(spark, sf_dir):
+    df = queries.queries()["candidate_rollup"](spark, sf_dir)
+    assert "avg" in plan(df) and plan(df).count("avg(") == 1
