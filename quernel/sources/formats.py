@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.json
 from pyarrow import fs
 from pyspark import cloudpickle
@@ -300,9 +301,18 @@ class CandidateSource(DataSource):
         return CandidateReader(self.options["path"], schema, _split(self.options))
 
 
+def sound(candidates: pa.ListArray) -> bool:
+    """Whether every group has two candidates or more, with ids of their own; no object is made of a row."""
+    if not pc.all(pc.greater_equal(pc.fill_null(pc.list_value_length(candidates), 0), 2), min_count=0).as_py():
+        return False
+    flat = pc.list_flatten(candidates)
+    ids = pc.struct_field(flat, "candidate_id") if flat.type.get_field_index("candidate_id") >= 0 else pa.nulls(len(flat))
+    return pa.table({"group": pc.list_parent_indices(candidates), "id": ids}).group_by(["group", "id"]).aggregate([]).num_rows == len(flat)
+
+
 class CandidateReader(LinesReader):
     def check(self, rows: pa.Table, path: str) -> None:
-        if "candidates" not in rows.column_names:
+        if "candidates" not in rows.column_names or all(sound(c) for c in rows.column("candidates").chunks):
             return
         names = rows.column("group_id").to_pylist() if "group_id" in rows.column_names else range(rows.num_rows)
         for name, candidates in zip(names, rows.column("candidates").to_pylist()):

@@ -132,3 +132,18 @@ def test_rollup_computes_the_metrics_that_are_wanted(spark):
 def test_candidate_rollup_has_one_row_a_group(spark, sf_dir):
     df = queries.queries()["candidate_rollup"](spark, sf_dir)
     assert "avg" in plan(df) and plan(df).count("avg(") == 1
+
+
+def test_sound_candidates_are_told_by_columns():
+    import pyarrow as pa
+
+    from quernel.sources import formats
+
+    kind = pa.list_(pa.struct([("candidate_id", pa.string()), ("seed", pa.int64())]))
+    group = lambda *ids: [{"candidate_id": i, "seed": 1} for i in ids]
+    one = lambda rows: formats.sound(pa.array(rows, kind))
+    good = [group("a", "b"), group("a", "b", None), group("b", "a")]
+    assert one([]) and one(good) and formats.sound(pa.array([group("x"), *good], kind)[1:])
+    for bad in ([], group("a"), None, group("a", "a"), group("a", "b", "a"), group(None, None)):
+        assert not one([*good, bad]), bad
+    assert not formats.sound(pa.array([[{"seed": 1}, {"seed": 2}]], pa.list_(pa.struct([("seed", pa.int64())]))))
