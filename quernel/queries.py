@@ -118,7 +118,7 @@ SELECT CASE WHEN g = 1 THEN 'overall' ELSE 'group' END AS level, style, x.metric
 def metrics_rollup(spark, sf_dir):
     rows = _parsed(spark, sf_dir).select(F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd").alias("style"), A.score(F.col("answer"), F.col("attributes")).alias("metrics"))
     wanted = ["samples", "literal_coverage", "key_literal_coverage", "repeated_char_4gram_ratio", "loop", "eos_normal", "literal_coverage_micro", "key_literal_coverage_micro"]
-    return metrics.aggregate(rows, by=["style"]).where(F.col("metric").isin(wanted)).withColumn("mean", _r("mean"))
+    return metrics.aggregate(rows, by=["style"], only=wanted).withColumn("mean", _r("mean"))
 
 
 @query(f"""WITH {_PROMPT_SQL} SELECT p_partkey, CAST(len(list_filter(attrs, lambda x: contains('另一条 ' || p_type, x.v))) AS BIGINT) AS attribute_hits, round(len(list_filter(attrs, lambda x: contains('另一条 ' || p_type, x.v))) / 4, 6) AS coverage, true AS has_loop FROM a""")

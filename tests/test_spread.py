@@ -147,3 +147,8 @@ def test_sound_candidates_are_told_by_columns():
     for bad in ([], group("a"), None, group("a", "a"), group("a", "b", "a"), group(None, None)):
         assert not one([*good, bad]), bad
     assert not formats.sound(pa.array([[{"seed": 1}, {"seed": 2}]], pa.list_(pa.struct([("seed", pa.int64())]))))
+
+
+def test_metrics_rollup_computes_what_it_shows(spark, sf_dir):
+    told = plan(queries.queries()["metrics_rollup"](spark, sf_dir))
+    assert told.count("avg(") == 5 and "mean_char_length" not in told
