@@ -100,7 +100,7 @@ def run_directory(spark, sf_dir):
     path, rows = new_path(spark, "run"), _conversations(spark, sf_dir)
     output = F.concat(F.lit("另一条 "), F.filter("attributes", lambda a: a["key"] == "类型")[0]["value"])
     samples = rows.select(F.col("p_partkey").alias("line_number"), "metadata.input_style", F.slice("conversations", 1, 2).alias("messages"), "attributes", F.col("answer").alias("reference"), output.alias("output"))
-    flows.write_run(spark, path, samples, {"status": "complete", "samples": samples.count()}, {"protocol": {}})
+    flows.write_run(spark, path, samples, {"status": "complete", "samples": _t(spark, sf_dir, "part").count()}, {"protocol": {}})  # a sample a part: parsed as they are written, and not to be counted before
     read = jsonl.checked_run(spark, path)
     shown = F.array_join(F.transform("attributes", lambda a: F.concat_ws("=", a["key"], a["value"])), "|")
     return read.select("line_number", "input_style", F.size("messages").cast("long").alias("messages"), shown.alias("attributes"), "reference", "output")

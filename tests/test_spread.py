@@ -152,3 +152,13 @@ def test_sound_candidates_are_told_by_columns():
 def test_metrics_rollup_computes_what_it_shows(spark, sf_dir):
     told = plan(queries.queries()["metrics_rollup"](spark, sf_dir))
     assert told.count("avg(") == 5 and "mean_char_length" not in told
+
+
+def test_run_directory_parses_as_it_writes_and_not_to_count(spark, sf_dir, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    counted, count = [], DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda df: counted.append(plan(df)) or count(df))
+    rows = queries.queries()["run_directory"](spark, sf_dir)
+    assert counted and not any(A.NATURAL_LEAD in p for p in counted)
+    assert count(rows) == count(spark.read.parquet(f"{sf_dir}/part.parquet"))
