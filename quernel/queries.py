@@ -166,8 +166,10 @@ def style_parity_audit_all(spark, sf_dir):
 @query(f"""WITH {_PROMPT_SQL}, u AS (SELECT DISTINCT p_partkey, x.v AS v, c FROM (SELECT p_partkey, unnest(attrs) AS x FROM a), (VALUES ('-'), (' '), ('/'), (',')) t(c) WHERE contains(x.v, c)) SELECT c AS mark, count(*) AS n FROM u GROUP BY c""")
 def punctuation_in_values(spark, sf_dir):
     marks = F.array(*[F.lit(c) for c in "- /,"])
-    values = _parsed(spark, sf_dir).select("p_partkey", F.explode("attributes").alias("a")).select("p_partkey", F.col("a.value").alias("v")).distinct()
-    return values.select(F.explode(F.filter(marks, lambda c: F.col("v").contains(c))).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+    values = _parsed(spark, sf_dir).select("p_partkey", F.explode("attributes").alias("a")).select("p_partkey", F.col("a.value").alias("v"))
+    # only values with a mark are kept apart, not all of them
+    found = values.select("p_partkey", "v", F.explode(F.filter(marks, lambda c: F.col("v").contains(c))).alias("mark")).distinct()
+    return found.groupBy("mark").agg(F.count("*").alias("n"))
 
 
 _SHORT = "CASE WHEN p_size % 3 = 0 THEN replace(answer, ' 好看好看好看 ', ' 穿着舒适 ') WHEN p_size % 3 = 1 THEN replace(answer, ' 好看好看好看 ', ' 穿着舒适，穿着舒适 ') ELSE answer END"

@@ -162,3 +162,9 @@ def test_run_directory_parses_as_it_writes_and_not_to_count(spark, sf_dir, monke
     rows = queries.queries()["run_directory"](spark, sf_dir)
     assert counted and not any(A.NATURAL_LEAD in p for p in counted)
     assert count(rows) == count(spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def test_punctuation_in_values_keeps_only_marked_values_apart(spark, sf_dir):
+    told = plan(queries.queries()["punctuation_in_values"](spark, sf_dir))
+    assert told.count("Aggregate") == 2 and "Generate explode" not in told.split("Aggregate")[1]
+    assert "mark#" in told.split("Aggregate")[2].split("]")[0]
